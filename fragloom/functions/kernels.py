@@ -16,6 +16,7 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..rules import HEAD_CHARS, MAX_OBJECT_CHARS, MAX_UNCLOSED_CHARS
 
@@ -119,8 +120,18 @@ def _scan_document(text, reserved, sections, scripts, scripts_first):
         at = text.find("{", after)
 
 
-_SPAN_DDL = (
-    "array<struct<kind:string,s:int,e:int,closed:boolean,strict:boolean,label:string,text:string>>"
+def _array_of(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+
+
+_SPAN_TYPE = _array_of(
+    kind=T.StringType(),
+    s=T.IntegerType(),
+    e=T.IntegerType(),
+    closed=T.BooleanType(),
+    strict=T.BooleanType(),
+    label=T.StringType(),
+    text=T.StringType(),
 )
 _SPAN_NAMES = ["kind", "s", "e", "closed", "strict", "label", "text"]
 _SPAN_ARROW = pa.list_(
@@ -138,7 +149,7 @@ _SPAN_ARROW = pa.list_(
 )
 
 
-@F.arrow_udf(_SPAN_DDL)
+@F.arrow_udf(_SPAN_TYPE)
 def object_spans(
     text: pa.Array, reserved: pa.Array, sections: pa.Array, scripts: pa.Array, first: pa.Array
 ) -> pa.Array:
@@ -229,9 +240,12 @@ def _json_rows(text):
 
 
 FIELD_DDL = "struct<key:string,vtype:string,value:string>"
-_ROW_DDL = (
-    "array<struct<row_idx:int,n_keys:int,longest:int,broken_head:boolean,"
-    f"fields:array<{FIELD_DDL}>>>"
+_ROW_TYPE = _array_of(
+    row_idx=T.IntegerType(),
+    n_keys=T.IntegerType(),
+    longest=T.IntegerType(),
+    broken_head=T.BooleanType(),
+    fields=_array_of(key=T.StringType(), vtype=T.StringType(), value=T.StringType()),
 )
 _ROW_ARROW = pa.list_(
     pa.struct(
@@ -251,7 +265,7 @@ _ROW_ARROW = pa.list_(
 )
 
 
-@F.arrow_udf(_ROW_DDL)
+@F.arrow_udf(_ROW_TYPE)
 def json_rows(text: pa.Array) -> pa.Array:
     """Parsed and flattened JSON: one row per object, null where it does not parse.
 
@@ -262,7 +276,7 @@ def json_rows(text: pa.Array) -> pa.Array:
     return pa.array(out, type=_ROW_ARROW)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def name_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
     """Ratcliff/Obershelp similarity of two short names."""
     from difflib import SequenceMatcher
@@ -272,11 +286,11 @@ def name_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
 
 
 _TAG = re.compile(r"<[^>]*>")
-_CELLS_DDL = "array<array<string>>"
+_CELLS_TYPE = T.ArrayType(T.ArrayType(T.StringType()))
 _CELLS_ARROW = pa.list_(pa.list_(pa.string()))
 
 
-@F.arrow_udf(_CELLS_DDL)
+@F.arrow_udf(_CELLS_TYPE)
 def cell_texts(cells: pa.Array) -> pa.Array:
     """Visible text of table cells: tags dropped, entities decoded, each piece stripped."""
     from html import unescape

@@ -19,7 +19,18 @@ def stream_fragments(
     """Fragment every file that lands, once, until nothing new is left."""
     files = spark.readStream.format("binaryFile").schema(_FILES).load(landing)
     docs = accepted(landed(files))
-    keys = ("doc_id", "path")
+    return stream_documents(docs, output, checkpoint, keys=("doc_id", "path"), js_first=js_first)
+
+
+def stream_documents(
+    docs: DataFrame,
+    output: str,
+    checkpoint: str,
+    *,
+    keys: tuple[str, ...] = ("doc_id",),
+    js_first: bool = False,
+) -> StreamingQuery:
+    """Fragment a stream of documents; nothing is kept between batches."""
     found = detect.fragments(docs, keys=keys, js_first=js_first)
     return (
         found.writeStream.format("parquet")
