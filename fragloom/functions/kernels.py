@@ -278,11 +278,14 @@ def json_rows(text: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.DoubleType())
 def name_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Ratcliff/Obershelp similarity of two short names."""
+    """Ratcliff/Obershelp similarity of two short names; null where one is null."""
     from difflib import SequenceMatcher
 
     pairs = zip(left.to_pylist(), right.to_pylist())
-    return pa.array([SequenceMatcher(None, a, b).ratio() for a, b in pairs], type=pa.float64())
+    scores = [
+        None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in pairs
+    ]
+    return pa.array(scores, type=pa.float64())
 
 
 _TAG = re.compile(r"<[^>]*>")

@@ -23,9 +23,6 @@ VERSIONS_DDL = (
     "schema_id string, entity_type string, version int, parent_version string, "
     f"created_at timestamp, fields {FIELDS_DDL}"
 )
-CHANGES = [
-    *PAIR, "change_type", "field_name", "old_value", "new_value", "breaking", "migration_notes",
-]
 _KIND_ORDER = {"added": 0, "renamed": 1, "removed": 2, "type_changed": 3, "nullable_changed": 4}
 
 
@@ -125,14 +122,19 @@ def _letters(name: Column) -> Column:
     )
 
 
+def _tagged(letters: Column, role: str) -> Column:
+    return F.transform(letters, lambda x: F.concat(F.lit(f"{role}:"), x))
+
+
 def rename_candidates(pairs: DataFrame) -> DataFrame:
     """Removed and added fields of compatible type whose names are similar enough.
 
     Removed fields meet added ones over shared letters instead of all against all.  A
     ratio above 0.6 needs more than 0.3 x (|a| + |b|) common letters and |b| >= 3/7 |a|,
     so at least 3/7 of either name; two names with that much in common also share one of
-    the first ceil(4/7 n) + 1 letters of each.  A name contained in the other shares its
-    first letter with any of the other's.  Both joins together lose no pair.
+    the first ceil(4/7 n) + 1 letters of each ("near").  A name contained in the other
+    shares its own first letter with some letter of the other ("a_first", "b_first").
+    No pair is lost.
     """
     types = {}
     for kind in {t for pair in rules.WIDENINGS for t in pair}:
@@ -150,41 +152,37 @@ def rename_candidates(pairs: DataFrame) -> DataFrame:
         *PAIR, F.col("field").alias("new_name"), F.col("new.base_type").alias("base_type")
     )
 
-    def lettered(df: DataFrame, name: str, plain: str) -> DataFrame:
-        return df.withColumn(plain, _plain(F.col(name))).withColumn(
-            "_ls", F.concat(_letters(F.col(plain)), F.array(F.lit("")))
-        )
-
-    left, right = lettered(removed, "old_name", "a"), lettered(added, "new_name", "b")
+    def lettered(df: DataFrame, name: str, plain: str, roles: tuple[str, str, str]) -> DataFrame:
+        """A row per letter and role: in the name's prefix, its first letter, any letter."""
+        df = df.withColumn(plain, _plain(F.col(name)))
+        letters = F.concat(_letters(F.col(plain)), F.array(F.lit("")))
 
-    def prefix(df: DataFrame) -> DataFrame:
-        n = F.size("_ls") - 1
-        keep = F.least(F.size("_ls"), F.ceil(n * 4 / 7).cast("int") + 1)
-        return df.withColumn("letter", F.explode(F.slice("_ls", F.lit(1), keep))).drop("_ls")
+        def marked(ls: Column) -> Column:
+            n = F.size(ls) - 1
+            prefix = F.slice(ls, F.lit(1), F.least(n + 1, F.ceil(n * 4 / 7).cast("int") + 1))
+            parts = zip(roles, (prefix, F.slice(ls, F.lit(1), F.lit(1)), ls))
+            return F.concat(*[_tagged(part, role) for role, part in parts])
 
-    def first(df: DataFrame) -> DataFrame:
-        return df.withColumn("letter", F.get("_ls", F.lit(0))).drop("_ls")
+        return df.withColumn("letter", F.explode(let(letters, marked)))
 
-    def every(df: DataFrame) -> DataFrame:
-        return df.withColumn("letter", F.explode("_ls")).drop("_ls")
-
-    on = [*PAIR, "base_type", "letter"]
+    left = lettered(removed, "old_name", "a", ("near", "a_first", "b_first"))
+    right = lettered(added, "new_name", "b", ("near", "b_first", "a_first"))
     inside = F.contains("a", F.col("b")) | F.contains("b", F.col("a"))
     la, lb = F.length("a"), F.length("b")
     near = (F.least(la, lb) * 2.0 / (la + lb)) > rules.RENAME_MIN_SIMILARITY
-    columns = [*PAIR, "old_name", "new_name", "a", "b"]
     met = (
-        prefix(left).join(prefix(right), on).filter(inside | near).select(*columns)
-        .union(first(left).join(every(right), on).filter(inside).select(*columns))
-        .union(every(left).join(first(right), on).filter(inside).select(*columns))
+        left.join(right, [*PAIR, "base_type", "letter"])
+        .filter(inside | near)
+        .select(*PAIR, "old_name", "new_name", "a", "b")
         .distinct()
+        .withColumn("inside", inside)
     )
-    contained = met.filter(inside).withColumn("score", F.lit(0.8))
-    scored = met.filter(~inside).withColumn("score", name_ratio("a", "b"))
+    unlike = lambda c: F.when(~F.col("inside"), F.col(c))
     return (
-        contained.unionByName(scored)
+        met.withColumn("ratio", name_ratio(unlike("a"), unlike("b")))
+        .withColumn("score", F.coalesce("ratio", F.lit(0.8)))
         .filter(F.col("score") > rules.RENAME_MIN_SIMILARITY)
-        .drop("a", "b")
+        .select(*PAIR, "old_name", "new_name", "score")
     )
 
 
@@ -221,17 +219,16 @@ def renames(pairs: DataFrame) -> DataFrame:
     ).toDF(*PAIR, "old_name", "new_name", "score")
 
 
-def _change(kind: str, name: Column, old, new, breaking: Column, note: Column) -> list[Column]:
-    text = lambda v: (F.lit(None) if v is None else v).cast("string")
-    return [
-        *[F.col(c) for c in PAIR],
+def _change(kind: str, old, new, breaking: Column, *note) -> Column:
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(
         F.lit(kind).alias("change_type"),
-        name.alias("field_name"),
-        text(old).alias("old_value"),
-        text(new).alias("new_value"),
+        F.col("field").alias("field_name"),
+        as_col(old).cast("string").alias("old_value"),
+        as_col(new).cast("string").alias("new_value"),
         breaking.cast("boolean").alias("breaking"),
-        note.alias("migration_notes"),
-    ]
+        F.concat(*[as_col(v) for v in note]).alias("migration_notes"),
+    )
 
 
 def changes(fields: DataFrame) -> DataFrame:
@@ -239,63 +236,51 @@ def changes(fields: DataFrame) -> DataFrame:
 
     A renamed field is reported as renamed alone, not also as added and removed.
     """
-    pairs = field_pairs(fields)
-    found = renames(pairs)
-    name, quote, arrow = F.col("field"), F.lit("'"), F.lit(" → ")
-    gone = found.select(*PAIR, F.col("old_name").alias("field"))
-    come = found.select(*PAIR, F.col("new_name").alias("field"))
-    on = [*PAIR, "field"]
-    added = pairs.filter(F.col("old").isNull()).join(come, on, "left_anti")
-    removed = pairs.filter(F.col("new").isNull()).join(gone, on, "left_anti")
-    both = pairs.filter(F.col("old").isNotNull() & F.col("new").isNotNull())
-    o, n = F.col("old"), F.col("new")
+    from ..plans.staging import staged
+
+    pairs = staged(field_pairs(fields), "field-pairs")
+    found = staged(renames(pairs), "renames")
+    handled = found.select(*PAIR, F.explode(F.array("old_name", "new_name")).alias("field"), F.lit(True).alias("handled"))
+    one_sided = F.col("old").isNull() | F.col("new").isNull()
+    # Only fields on one side can have been renamed; the rest need no look-up.
+    lonely = pairs.filter(one_sided).join(handled, [*PAIR, "field"], "left_anti")
+    both = pairs.filter(~one_sided)
+    o, n, name = F.col("old"), F.col("new"), F.col("field")
     shown = lambda c: F.initcap(c.cast("string"))
-    return (
-        added.select(
-            *_change(
-                "added", name, None, n["base_type"], ~n["nullable"],
-                F.concat(F.lit("New field '"), name, F.lit("' added as "), n["base_type"]),
-            )
-        )
-        .unionByName(
-            found.select(
-                *_change(
-                    "renamed", F.col("new_name"), F.col("old_name"), F.col("new_name"), F.lit(True),
-                    F.concat(
-                        F.lit("Field renamed: '"), F.col("old_name"), quote, arrow, quote,
-                        F.col("new_name"), quote,
-                    ),
-                )
-            )
-        )
-        .unionByName(
-            removed.select(
-                *_change(
-                    "removed", name, o["base_type"], None, F.lit(True),
-                    F.concat(F.lit("Field '"), name, F.lit("' removed")),
-                )
-            )
-        )
-        .unionByName(
-            both.filter(o["base_type"] != n["base_type"]).select(
-                *_change(
-                    "type_changed", name, o["base_type"], n["base_type"],
-                    ~is_widening(o["base_type"], n["base_type"]),
-                    F.concat(F.lit("Type changed: "), o["base_type"], arrow, n["base_type"]),
-                )
-            )
-        )
-        .unionByName(
-            both.filter(o["nullable"] != n["nullable"]).select(
-                *_change(
-                    "nullable_changed", name, shown(o["nullable"]), shown(n["nullable"]),
-                    o["nullable"] & ~n["nullable"],
-                    F.concat(
-                        F.lit("Nullability changed: "), shown(o["nullable"]), arrow, shown(n["nullable"])
-                    ),
+    alone = F.when(
+        o.isNull(),
+        _change("added", None, n["base_type"], ~n["nullable"], "New field '", name, "' added as ", n["base_type"]),
+    ).otherwise(_change("removed", o["base_type"], None, F.lit(True), "Field '", name, "' removed"))
+    retyped = F.when(
+        o["base_type"] != n["base_type"],
+        _change(
+            "type_changed", o["base_type"], n["base_type"], ~is_widening(o["base_type"], n["base_type"]),
+            "Type changed: ", o["base_type"], " → ", n["base_type"],
+        ),
+    )
+    renulled = F.when(
+        o["nullable"] != n["nullable"],
+        _change(
+            "nullable_changed", shown(o["nullable"]), shown(n["nullable"]), o["nullable"] & ~n["nullable"],
+            "Nullability changed: ", shown(o["nullable"]), " → ", shown(n["nullable"]),
+        ),
+    )
+    old_name, new_name = F.col("old_name"), F.col("new_name")
+    renamed = found.withColumn("field", new_name).select(
+        *PAIR,
+        F.inline(
+            F.array(
+                _change(
+                    "renamed", old_name, new_name, F.lit(True),
+                    "Field renamed: '", old_name, "' → '", new_name, "'",
                 )
             )
-        )
+        ),
+    )
+    return (
+        lonely.select(*PAIR, F.inline(F.array(alone)))
+        .unionByName(both.select(*PAIR, F.inline(F.array_compact(F.array(retyped, renulled)))))
+        .unionByName(renamed)
     )
 
 

@@ -1894,7 +1894,7 @@ def _(spark, sf):
 
 @register(
     "evo_16_history",
-    _CHANGES + "SELECT v.entity_type, CAST(v.version AS INTEGER) AS version, coalesce(string_agg(concat(c.change_type, ':', c.field_name), ',' "
+    _CHANGES + "SELECT v.entity_type, CAST(v.version AS INTEGER) AS version, coalesce(string_agg(c.change_type || ':' || c.field_name, ',' "
     "ORDER BY c.change_type, c.field_name), '') AS changes FROM (SELECT DISTINCT entity_type, version FROM fields) v LEFT JOIN changes c "
     "ON c.entity_type = v.entity_type AND c.version = v.version GROUP BY v.entity_type, v.version",
 )
