@@ -89,7 +89,10 @@ def offsets(lengths: Column) -> Column:
 
 
 def regex_spans(text: Column, pattern: str, **groups: int) -> Column:
-    """All matches as ``array<struct<s, e, m, *groups>>`` with 0-based half-open offsets."""
+    """All matches as ``array<struct<s, e, m, *groups>>`` with 0-based half-open offsets.
+
+    Most texts match most patterns nowhere, which one look for a first match settles.
+    """
     p = F.lit(pattern)
     parts = F.struct(
         F.split(text, pattern, -1).alias("gaps"),
@@ -115,7 +118,8 @@ def regex_spans(text: Column, pattern: str, **groups: int) -> Column:
             ),
         )
 
-    return let(parts, located)
+    ddl = "struct<" + ",".join(["s:int,e:int,m:string", *[f"{g}:string" for g in groups]]) + ">"
+    return F.when(text.rlike(pattern), let(parts, located)).otherwise(empty(ddl))
 
 
 def lines(text: Column) -> Column:

@@ -19,7 +19,10 @@ FRAGMENT_KEY = ("frag_id", "format")
 def product_ids(text: Column) -> Column:
     """Distinct product ids of a text, in alphabetical order."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in rules.PRODUCT_ID_PATTERNS]
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+    # Every kind of id has a hyphen.
+    return F.when(
+        F.contains(text, F.lit("-")), F.array_sort(F.array_distinct(F.concat(*found)))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def emails(text: Column) -> Column:
@@ -77,7 +80,8 @@ def tag(
     *,
     keys: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """Add ``entities``, the mentions of each fragment.
+    """Add ``entities``, the mentions of each fragment, and ``index_entries``, what of them
+    goes into the entity index.
 
     ``external`` holds mentions of other taggers (``keys``, ``frag_id``, ``format`` and the
     fields of a mention); those below the score limit are ignored.
@@ -120,7 +124,7 @@ def tag(
             "tag.entities", lambda: F.concat(F.col("_ext"), _pattern_mentions(F.col("_ext")))
         ),
     )
-    return df.drop("_ext")
+    return bind(df.drop("_ext"), index_entries=cached("mentions.index", _index_entries))
 
 
 def mentions(tagged: DataFrame, *, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -196,14 +200,9 @@ def _index_entries() -> Column:
     return let(useful, first_of_each)
 
 
-def with_index_entries(tagged: DataFrame) -> DataFrame:
-    """Add ``index_entries``: what each fragment contributes to the entity index."""
-    return bind(tagged, index_entries=cached("mentions.index", _index_entries))
-
-
 def entity_index(tagged: DataFrame, *, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Long-form inverted index: one row per entity, fragment and label."""
-    return with_index_entries(tagged).select(*keys, *FRAGMENT_KEY, F.inline("index_entries"))
+    return tagged.select(*keys, *FRAGMENT_KEY, F.inline("index_entries"))
 
 
 def entity_postings(index: DataFrame, *, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

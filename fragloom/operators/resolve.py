@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.columns import let
 from ..functions.groups import attach_best
-from .mentions import FRAGMENT_KEY, with_index_entries
+from .mentions import FRAGMENT_KEY
 
 _RANK = rules.PRIORITY
 
@@ -50,7 +50,7 @@ def product_mentions(tagged: DataFrame, *, keys: tuple[str, ...] = ("doc_id",))
         e, F.when(F.length(digit_core(e)) >= rules.MIN_CORE_DIGITS, digit_core(e))
     )
     ids = F.array_distinct(F.array_compact(F.flatten(F.transform(_product_ids(), variants))))
-    return with_index_entries(tagged).select(*keys, *FRAGMENT_KEY, F.explode(ids).alias("product_id"))
+    return tagged.select(*keys, *FRAGMENT_KEY, F.explode(ids).alias("product_id"))
 
 
 def _has_content() -> Column:
@@ -68,8 +68,7 @@ def orphans(tagged: DataFrame, *, keys: tuple[str, ...] = ("doc_id",)) -> DataFr
     """Fragments with content that belong to no entity, each its own ``orphan_`` entity."""
     name = F.concat_ws("_", F.lit("orphan"), F.lower("format"), F.col("start"))
     return (
-        with_index_entries(tagged)
-        .filter(is_orphan())
+        tagged.filter(is_orphan())
         .select(F.concat_ws("/", *keys).alias("scope"), name.alias("entity_id"), *keys, *FRAGMENT_KEY, "start")
     )
 
@@ -93,8 +92,7 @@ def _claims(tagged: DataFrame, keys: tuple[str, ...], scope: str) -> DataFrame:
         ),
     )
     return (
-        with_index_entries(tagged)
-        .filter(_has_content() & (F.size(_product_ids()) > 0))
+        tagged.filter(_has_content() & (F.size(_product_ids()) > 0))
         .select(
             within.alias("scope"), *keys, *FRAGMENT_KEY, "start", F.explode(claims).alias("claim")
         )

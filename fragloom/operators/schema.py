@@ -122,12 +122,6 @@ def is_orphan_id(entity_id: Column) -> Column:
     return F.startswith(entity_id, F.lit("orphan_"))
 
 
-_FIELD_COLUMNS = [
-    *ENTITY, "schema_id", "is_child", "field", "type_info", "type_conflicts", "has_conflict",
-    "example_value", "is_key", "is_index", "first_at", "late",
-]
-
-
 def _main_fields(split: DataFrame) -> DataFrame:
     fields = infer(
         split.filter(F.col("row_num").isNull() & ~F.endswith("key", F.lit("_conflict")))
@@ -145,7 +139,6 @@ def _main_fields(split: DataFrame) -> DataFrame:
         is_key_candidate(F.col("field"), F.col("has_conflict"), F.col("type_info.base_type")).alias("is_key"),
         (F.col("type_info.indexed") | contains_any(name, rules.INDEX_FIELD_WORDS)).alias("is_index"),
         F.col("at").alias("first_at"),
-        F.lit(0).alias("late"),
     )
 
 
@@ -169,15 +162,11 @@ def _child_fields(split: DataFrame) -> DataFrame:
         F.lit(False).alias("is_key"),
         contains_any(F.lower("field"), rules.CHILD_INDEX_FIELD_WORDS).alias("is_index"),
         "first_at",
-        F.lit(0).alias("late"),
     )
 
 
-def _foreign_keys(main: DataFrame, child: DataFrame) -> DataFrame:
-    """``<entity>_id`` on the child table of every parent that has a key candidate."""
-    keyed = main.filter("is_key").select(*ENTITY).distinct()
-    owners = child.groupBy(*ENTITY, "schema_id").agg(F.min("first_at").alias("first_at"))
-    name = F.concat("entity_id", F.lit("_id"))
+def _foreign_key() -> Column:
+    """``<entity>_id``, the last field of the child table of a parent with a key candidate."""
     info = F.struct(
         F.lit("identifier").alias("base_type"),
         F.lit("VARCHAR(50)").alias("sql_type"),
@@ -192,34 +181,42 @@ def _foreign_keys(main: DataFrame, child: DataFrame) -> DataFrame:
         F.lit(True).alias("indexed"),
         F.lit(None).cast("string").alias("element_type"),
     )
-    return owners.join(keyed, ENTITY, "left_semi").select(
-        *ENTITY,
-        "schema_id",
-        F.lit(True).alias("is_child"),
-        name.alias("field"),
+    return F.struct(
+        F.concat("entity_id", F.lit("_id")).alias("field"),
         info.alias("type_info"),
         F.lit(False).alias("type_conflicts"),
         F.lit(False).alias("has_conflict"),
         F.col("entity_id").alias("example_value"),
         F.lit(True).alias("is_key"),
         F.lit(True).alias("is_index"),
-        "first_at",
-        F.lit(1).alias("late"),
+        (F.col("pos") + 1).alias("pos"),
     )
 
 
+_OWN = ["field", "type_info", "type_conflicts", "has_conflict", "example_value", "is_key", "is_index", "pos"]
+
+
 def schema_fields(merged_fields: DataFrame) -> DataFrame:
     """One row per schema and field, with ``pos`` in order of first sight.
 
     Expanded table rows go to a child schema of their own; everything else is the
-    entity's main schema.
+    entity's main schema.  All windows share one partitioning by entity.
     """
     split = split_row_keys(merged_fields)
-    main, child = _main_fields(split), _child_fields(split)
-    every = main.select(*_FIELD_COLUMNS).unionByName(child.select(*_FIELD_COLUMNS))
-    every = every.unionByName(_foreign_keys(main, child).select(*_FIELD_COLUMNS))
-    order = Window.partitionBy(*SCHEMA, "is_child").orderBy("late", "first_at", "field")
-    return every.withColumn("pos", F.row_number().over(order)).drop("late", "first_at")
+    every = _main_fields(split).unionByName(_child_fields(split))
+    entity = Window.partitionBy(*ENTITY)
+    placed = Window.partitionBy(*ENTITY, "is_child").orderBy("first_at", "field")
+    whole = Window.partitionBy(*ENTITY, "is_child")
+    every = every.withColumns(
+        {
+            "_keyed": F.max(F.col("is_key") & ~F.col("is_child")).over(entity),
+            "pos": F.row_number().over(placed),
+            "_size": F.count("*").over(whole),
+        }
+    )
+    linked = F.col("is_child") & F.col("_keyed") & (F.col("pos") == F.col("_size"))
+    rows = F.array_compact(F.array(F.struct(*_OWN), F.when(linked, _foreign_key())))
+    return every.select(*ENTITY, "schema_id", "is_child", F.inline(rows))
 
 
 def category(entity_id: Column, names: Column) -> Column:

@@ -45,7 +45,7 @@ def run(
     merged = merge.merged(fields, groups)
     typed = schema.schema_fields(fields)
     return {
-        "fragments": tagged.drop("rows", "entities"),
+        "fragments": tagged.drop("rows", "entities", "index_entries"),
         "summary": report.format_counts(tagged),
         "records": normalize.records(tagged, keys),
         "entity_index": mentions.entity_index(tagged, keys=keys),

@@ -1470,7 +1470,7 @@ def _(spark, sf):
 
 
 def _page_schema_fields(spark, sf) -> DataFrame:
-    return schema.schema_fields(_page_merged(spark, sf))
+    return schema.schema_fields(staged(_page_merged(spark, sf), "merged"))
 
 
 def _page_schemas(spark, sf) -> tuple[DataFrame, DataFrame]:
