@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.columns import let
-from ..functions.groups import ranked
+from ..functions.groups import join_spread, ranked
 from ..functions.kernels import name_ratio
 
 PAIR = ["entity_type", "version"]
@@ -523,23 +523,20 @@ def rewrite_queries(queries: DataFrame, changes: DataFrame, keys: list[str]) ->
     """Queries written for an old version, with fields under their present names.
 
     ``queries(keys, entity_type, from_version, query)``; the renames of all later
-    versions of the type are applied in order.
+    versions of the type are applied in order.  A type's renames are listed once and
+    looked up per query, spread out where one type has most of the queries.
     """
-    edges = changes.filter(F.col("change_type") == "renamed").select(
-        "entity_type",
-        F.struct("version", F.col("old_value").alias("old"), F.col("new_value").alias("new")).alias("edge"),
-    )
-    later = (
-        queries.select(*keys, "entity_type", "from_version")
-        .join(edges, "entity_type")
-        .filter(F.col("edge.version") > F.col("from_version"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    edge = F.struct("version", F.col("old_value").alias("old"), F.col("new_value").alias("new"))
+    listed = (
+        changes.filter(F.col("change_type") == "renamed")
+        .groupBy("entity_type")
+        .agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     )
     literal = lambda s: F.regexp_replace(s, r"([\\$])", r"\\$1")
     word = lambda s: F.concat(F.lit(r"(?Uui)\b\Q"), s, F.lit(r"\E\b"))
+    later = F.filter("edges", lambda e: e["version"] > F.col("from_version"))
     replaced = F.aggregate(
-        "edges", F.col("query"), lambda q, e: F.regexp_replace(q, word(e["old"]), literal(e["new"]))
+        later, F.col("query"), lambda q, e: F.regexp_replace(q, word(e["old"]), literal(e["new"]))
     )
-    joined = queries.join(later, keys, "left")
+    joined = join_spread(queries, listed, ["entity_type"], keys, "left")
     return joined.withColumn("rewritten", F.coalesce(replaced, "query")).drop("edges")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.groups import join_spread
 
 
 def below(df: DataFrame, field: str, limit: float) -> DataFrame:
@@ -39,29 +40,29 @@ def unknown_columns(
     schema_fields: DataFrame,
     *,
     keys: list[str],
-    known_names: DataFrame | None = None,
+    known_names: list[str] | None = None,
 ) -> DataFrame:
     """Queries that name columns their schema lacks, with the first three such names.
 
     ``queries(keys, entity_type, query)``, ``schema_fields(entity_type, field)``; names in
-    ``known_names(field)`` (tables, functions) are never unknown.
+    ``known_names`` (tables, functions) are never unknown.  A schema's field names are
+    listed once per type and looked up per query.
     """
+    listed = schema_fields.groupBy("entity_type").agg(F.collect_set("field").alias("fields"))
+    joined = join_spread(queries.select(*keys, "entity_type", "query"), listed, ["entity_type"], keys, "left")
+    fields = F.coalesce("fields", F.array().cast("array<string>"))
     words = F.regexp_extract_all("query", F.lit(rules.QUERY_IDENTIFIER), F.lit(1))
-    named = queries.select(*keys, "entity_type", F.posexplode(words).alias("at", "name")).filter(
-        ~F.upper("name").isin(rules.SQL_WORDS)
+    known = F.array(*[F.lit(n) for n in known_names or [""]])
+    missing = F.filter(
+        words,
+        lambda w: ~F.upper(w).isin(rules.SQL_WORDS)
+        & ~F.array_contains(F.col("known_fields"), w)
+        & ~F.array_contains(known, w),
     )
-    fields = schema_fields.select("entity_type", F.col("field").alias("name")).distinct()
-    missing = named.join(fields, ["entity_type", "name"], "left_anti")
-    if known_names is not None:
-        missing = missing.join(known_names.select(F.col("field").alias("name")), "name", "left_anti")
-    listed = F.array_sort(F.collect_list(F.struct("at", "name")))
-    return (
-        missing.groupBy(*keys)
-        .agg(F.transform(F.slice(listed, 1, 3), lambda x: x["name"]).alias("names"))
-        .select(
-            *keys,
-            F.concat(F.lit("Unknown columns: "), F.array_join("names", ", ")).alias("error"),
-        )
+    found = joined.withColumn("known_fields", fields).withColumn("names", F.slice(missing, 1, 3))
+    return found.filter(F.size("names") > 0).select(
+        *keys,
+        F.concat(F.lit("Unknown columns: "), F.array_join("names", ", ")).alias("error"),
     )
 
 

@@ -29,13 +29,18 @@ def repeated_entities(index: DataFrame, *, within: list[str] | None = None) -> D
 
 def totals(fragments: DataFrame, index: DataFrame) -> DataFrame:
     """Fragments, distinct entities and entities in two places or more."""
+    none = F.lit(0).cast("bigint")
     per_entity = index.groupBy("entity").agg(F.count("*").alias("n"))
     entities = per_entity.agg(
+        none.alias("n_fragments"),
         F.count("*").alias("n_entities"),
-        F.coalesce(F.sum((F.col("n") >= 2).cast("int")), F.lit(0)).alias("n_repeated"),
+        F.coalesce(F.sum((F.col("n") >= 2).cast("bigint")), none).alias("n_repeated"),
     )
-    # Two single rows side by side.
-    return fragments.agg(F.count("*").alias("n_fragments")).join(entities)
+    counted = fragments.agg(
+        F.count("*").alias("n_fragments"), none.alias("n_entities"), none.alias("n_repeated")
+    )
+    names = ["n_fragments", "n_entities", "n_repeated"]
+    return counted.unionByName(entities).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def label_counts(mentions: DataFrame) -> DataFrame:

@@ -287,7 +287,7 @@ def _(spark, sf):
     changes = staged(evolve.changes(fields), "changes")
     scripts = evolve.migrations(evolve.migration_steps(changes, fields))
     writers.write_migrations(scripts, evolve.compatibility_views(fields), path)
-    return spark.read.text(path).select("entity_type", "version", "script").distinct()
+    return spark.read.parquet(path).select("entity_type", "version", "script")
 
 
 @register("snk_5_result_tables")
@@ -1986,8 +1986,7 @@ def _(spark, sf):
         "p_partkey", F.concat(F.lit("type"), "p_partkey").alias("entity_type"), F.expr(_AUDITED).alias("query")
     )
     fields = _version_fields(spark, sf).filter("version = 2").select("entity_type", "field")
-    known = spark.createDataFrame([("types",), ("DESC",)], "field string")
-    return query.unknown_columns(log, fields, keys=["p_partkey"], known_names=known)
+    return query.unknown_columns(log, fields, keys=["p_partkey"], known_names=["types", "DESC"])
 
 
 @register(

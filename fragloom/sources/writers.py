@@ -33,7 +33,10 @@ def write_validators(validators: DataFrame, path: str) -> None:
 
 
 def write_migrations(migrations: DataFrame, views: DataFrame, path: str) -> None:
-    """Forward, rollback and view script of each version under its type and version."""
+    """Forward, rollback and view script of each type and version, a folder per kind.
+
+    One row per script: a folder per version would mean a file per version.
+    """
     scripts = migrations.select(
         "entity_type",
         "version",
@@ -46,7 +49,7 @@ def write_migrations(migrations: DataFrame, views: DataFrame, path: str) -> None
     ).unionByName(
         views.select("entity_type", "version", F.lit("view").alias("script"), F.col("view").alias("value"))
     )
-    scripts.write.mode("overwrite").partitionBy("entity_type", "version", "script").text(path)
+    scripts.write.mode("overwrite").partitionBy("script").parquet(path)
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
