@@ -164,8 +164,30 @@ def only_if(condition: Column, value: Column, ddl: str) -> Column:
     return F.when(condition, value).otherwise(empty(ddl))
 
 
+_FEW = 16
+
+
 def overlaps_any(spans: Column, s: Column, e: Column) -> Column:
-    return F.exists(spans, lambda o: (o["s"] < e) & (o["e"] > s))
+    """Whether ``[s, e)`` touches one of ``spans``, which are sorted and disjoint.
+
+    Few spans are looked through; among many the first one ending after ``s`` is found
+    by halving, as a page can hold thousands.
+    """
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        return let(
+            ((acc["lo"] + acc["hi"]) / 2).cast("int"),
+            lambda mid: F.when(acc["lo"] >= acc["hi"], acc)
+            .when(F.get(spans, mid)["e"] > s, F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+            .otherwise(F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))),
+        )
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+    first = F.aggregate(steps, whole, halve, lambda acc: acc["lo"])
+    return F.when(
+        F.size(spans) <= _FEW, F.exists(spans, lambda o: (o["s"] < e) & (o["e"] > s))
+    ).otherwise(F.coalesce(F.get(spans, first)["s"] < e, F.lit(False)))
 
 
 def first_fit(candidates: Column, ddl: str) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 BUCKETS = 64
 
 
@@ -40,21 +42,14 @@ def attach_best(
     return salted.join(lookup, [*on, "_bucket"]).drop("_bucket")
 
 
-def ranked(df: DataFrame, group: str, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """``row_number`` within ``group`` without putting a whole group into one task.
 
     Rows are range-partitioned by (group, order) and written; a row's number is the
     count of its group in earlier partitions plus its place in its own partition.
     """
-    from pyspark.sql import Window
-
-    from ..plans.staging import staged
-
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = staged(
-        df.repartitionByRange(parts, group, *order).withColumn("_part", F.spark_partition_id()),
-        "ranked",
+        df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "ranked"
     )
     counts = placed.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

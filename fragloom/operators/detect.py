@@ -631,7 +631,7 @@ def blocks(
     # A literal that a detector cannot do without is looked for before its pattern runs.
     has = lambda *marks: contains_any(t, list(marks))
     no_bodies, no_spans = "struct<s:int,e:int,ld:boolean>", "struct<s:int,e:int,label:string>"
-    taken = lambda *names: F.concat(*[_spans(F.col(n)) for n in names])
+    taken = lambda *names: F.array_sort(F.concat(*[_spans(F.col(n)) for n in names]))
     col = lambda name, build: cached(f"blocks.{name}", build)
 
     df = bind(df, _ld=col("ld", lambda: only_if(has("<"), json_ld_bodies(t), no_bodies)))

@@ -110,7 +110,7 @@ def test_long_run_of_lines(spark):
 @pytest.mark.parametrize(
     "text, fields",
     [
-        ("{a: 1, b: 'x', // note\n}", {"a": "1", "b": "x"}),
+        ("{a: 1, // note\n b: 'x',}", {"a": "1", "b": "x"}),
         ('{"a": {"b": 1, "c": [1,2,]', {"a_b": "1", "a_c": "[1, 2]"}),
         ("{'b': 1}", None),  # quoted keys are not touched
         ('{"a": 1, ', None),  # a comma before a brace that is only added later stays
