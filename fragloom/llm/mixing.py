@@ -27,8 +27,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 BUDGET = 1.5
 MOST_EPOCHS = 2
-#: Documents of a source that are put in order together, on average.
-BUCKET_ROWS = 20_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
@@ -97,7 +95,6 @@ def assign(
     schedules: Sequence[Sequence[float]] = SCHEDULES,
     budget: float = BUDGET,
     seed: str = "mix",
-    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, taken, copies``.
 
@@ -123,7 +120,7 @@ def assign(
 
     # Running sums: buckets follow the order of the draw.
     scale = F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    n_buckets = F.ceil(F.col("n_docs") / F.lit(bucket_rows))
+    n_buckets = F.ceil(F.sqrt("n_docs"))  # as many buckets as documents in each
     known = plan.select(F.col("source").alias("source_"), "source_size", "rank", "target", n_buckets.alias("n_buckets"))
     placed = sized.join(known, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     placed = placed.withColumn("bucket", F.floor(scale * F.col("n_buckets")).cast("long"))
