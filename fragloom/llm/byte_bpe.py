@@ -91,8 +91,11 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         special = set(whole)
         pieces = [None if i in special else self.split(t) for i, t in enumerate(texts)]
-        new_first = list({p[0] for p in pieces if p is not None} - self.first.keys())
-        new_later = list({x for p in pieces if p is not None for x in p[1:]} - self.later.keys())
+        new_first = [x for x in {p[0] for p in pieces if p is not None} if x not in self.first]
+        spread: set[str] = set()
+        for p in pieces:
+            spread.update(p[1:] if p is not None else ())
+        new_later = [x for x in spread if x not in self.later]
         self.first.update(zip(new_first, self._whole(new_first), strict=True))
         self.later.update(zip(new_later, self._later(new_later), strict=True))
         known, out = self.later.__getitem__, []

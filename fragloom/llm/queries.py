@@ -9,13 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash_dedup, token_counts, token_files
+from . import exact_dedup, language_id, mixing, page_text, piece_codec, simhash_dedup, token_counts, token_files
 from .shared import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+PIECE_SEED = 20
 #: Contracts' white space in DuckDB's patterns.
 _SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
@@ -44,6 +45,19 @@ def _(spark, sf):
     return exact_dedup.groups(table(spark, sf, "documents"))
 
 
+@register("op2_piece_dropout")
+def _(spark, sf):
+    model = public_tokenizers.path(PIECES)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    back = piece_codec.decode(piece_codec.encode(docs, model, seed=PIECE_SEED), model)
+    return back.select(
+        "doc_id",
+        "ids",
+        F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 @register("op5_token_counts")
 def _(spark, sf):
     # The cache of this call starts empty, so that its work is that of a first run.
@@ -59,11 +73,21 @@ def _(spark, sf):
     return token_files.read(spark, path, manifest)
 
 
+@register("op7_page_text")
+def _(spark, sf):
+    return page_text.main_text(table(spark, sf, "pages"))
+
+
 @register("op8_simhash_dedup")
 def _(spark, sf):
     return simhash_dedup.groups(table(spark, sf, "documents"))
 
 
+@register("op9_language_id")
+def _(spark, sf):
+    return language_id.languages(table(spark, sf, "documents"))
+
+
 def _integral(t: str, s: str) -> str:
     return (
         f"(CASE WHEN {t} <= 0.5 THEN {s}.a * {t} + ({s}.b - {s}.a) * {t} * {t} ELSE ({s}.a + {s}.b) / 4 + "
