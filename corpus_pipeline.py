@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fragloom.llm import exact_dedup, mixing, simhash_dedup
+from fragloom.llm import exact_dedup, language_id, mixing, piece_codec, simhash_dedup
 from fragloom.llm.shared import checkpoint_dir
 
 
+#: Documents whose language is known with less than this are rejected, as are those without
+#: a letter.
+LEAST_SCORE = 0.35
+PIECES, PIECE_SEED = "piece_bpe_32k.model", 20
+
+
+def of_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents in no learnt language go."""
+    return language_id.identified(docs, LEAST_SCORE)
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts, the row with the smallest doc_id stays."""
     return exact_dedup.dedup(docs)
@@ -25,10 +37,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece with merge-dropout: ids of every text, with the text decoded from them."""
+    model = public_tokenizers.path(PIECES)
+    return piece_codec.decode(piece_codec.encode(docs, model, seed=PIECE_SEED), model)
+
+
 STAGES = [
+    ("language id", of_known_language),
     ("exact dedup", without_copies),
     ("near dedup", without_near_copies),
     ("mixing", mixed),
+    ("sentencepiece", in_pieces),
 ]
 
 #: Fingerprints and a trained classifier are not SQL.
