@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, page_text, piece_codec, simhash_dedup, token_counts, token_files
+from . import exact_dedup, language_id, mixing, page_text, piece_codec, simhash_dedup, substring_dedup, token_counts, token_files
 from .shared import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,19 @@ def _(spark, sf):
         "taken",
         F.round(F.get("copies", F.lit(0))["position"], 3).alias("first_position"),
     )
+
+
+@register(
+    "op3_substring_dedup",
+    f"WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents), "
+    "starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20), "
+    "judged AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM starts), "
+    "gone AS (SELECT DISTINCT doc_id, i + j AS p FROM judged, (SELECT unnest(range(0, 20)) AS j) WHERE k > 1), "
+    "words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d), "
+    "kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id) "
+    "SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, "
+    "sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)",
+)
+def _(spark, sf):
+    found = substring_dedup.remove_repeats(table(spark, sf, "documents"), with_text=False)
+    return found.drop("kept")
