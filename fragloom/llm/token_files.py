@@ -7,9 +7,10 @@ bits a document.  ``select(i)``, helped by the position of every ``SAMPLE``-th o
 the i-th end without unpacking the others.
 
 Layout, little-endian: 8 bytes magic; uint64 number of documents, of ids, of low bits per
-end, of bytes of the low array, of the high vector and of the samples; then for each
-document int64 id and one byte that is 1 where the id is present; the low array, the high
-vector and the samples (uint64), each padded to 8 bytes; and the ids as uint32.
+end, of bytes of the low array, of the high vector and of the samples, and of bytes per id;
+then for each document int64 id and one byte that is 1 where the id is present; the low
+array, the high vector and the samples (uint64), each padded to 8 bytes; and the ids, as
+uint16 if the tokenizer has no larger ones, else as uint32.
 """
 
 from __future__ import annotations
@@ -92,17 +93,21 @@ def _padded(data: bytes) -> bytes:
     return data + bytes(-len(data) % 8)
 
 
-def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """A file's content for documents with their ids as little-endian uint32 bytes."""
+def pack(doc_ids: list[int | None], ids: list[bytes], width: int = 4) -> bytes:
+    """A file's content for documents with their ids as little-endian uint32 bytes; the file
+    has ``width`` bytes an id."""
     n = len(doc_ids)
     ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
     top = int(ends[-1]) if n else 0
     ef = EliasFano.of(ends, top)
     parts = [_padded(ef.low.tobytes()), _padded(ef.high.tobytes()), _padded(ef.samples.tobytes())]
-    head = np.array([n, top, ef.low_bits, len(ef.low), len(ef.high), len(ef.samples) * 8], "<u8")
+    head = np.array([n, top, ef.low_bits, len(ef.low), len(ef.high), len(ef.samples) * 8, width], "<u8")
     keys = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
     present = _padded(np.array([d is not None for d in doc_ids], np.uint8).tobytes())
-    return b"".join([MAGIC, head.tobytes(), keys, present, *parts, *ids])
+    whole = b"".join(ids)
+    if width == 2:
+        whole = np.frombuffer(whole, "<u4").astype("<u2").tobytes()
+    return b"".join([MAGIC, head.tobytes(), keys, present, *parts, whole])
 
 
 class TokenFile:
@@ -111,8 +116,8 @@ class TokenFile:
     def __init__(self, content: bytes):
         if bytes(memoryview(content)[:8]) != MAGIC:
             raise ValueError("not a token file")
-        n, top, low_bits, low, high, samples = (int(x) for x in np.frombuffer(content, "<u8", 6, 8))
-        at = 56
+        n, top, low_bits, low, high, samples, width = (int(x) for x in np.frombuffer(content, "<u8", 7, 8))
+        at = 64
         self.keys = np.frombuffer(content, "<i8", n, at)
         at += 8 * n
         self.present = np.frombuffer(content, np.uint8, n, at)
@@ -123,7 +128,7 @@ class TokenFile:
             at += length + -length % 8
         self.ends = EliasFano(n, low_bits, sections[0], sections[1], sections[2].view("<u8"))
         self.n, self.n_ids = n, top
-        self.ids = memoryview(content)[at : at + 4 * top]
+        self.ids = np.frombuffer(content, f"<u{width}", top, at)
 
     def span(self, i: int) -> tuple[int, int]:
         """Where document i begins and ends in the id array."""
@@ -131,7 +136,7 @@ class TokenFile:
 
     def tokens(self, i: int) -> np.ndarray:
         begin, end = self.span(i)
-        return np.frombuffer(self.ids[4 * begin : 4 * end], "<u4")
+        return self.ids[begin:end].astype("<u4")
 
 
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long"
@@ -165,7 +170,8 @@ def write(
 
         store, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         store.create_dir(folder, recursive=True)
-        encode = byte_bpe.encoder(tokenizer).encode
+        encoder = byte_bpe.encoder(tokenizer)
+        encode, width = encoder.encode, 2 if max(len(encoder.lengths) - 1, end_id) < 1 << 16 else 4
         part = TaskContext.get().partitionId()
         keys: list[int | None] = []
         ids: list[bytes] = []
@@ -174,7 +180,7 @@ def write(
         def closed() -> pa.RecordBatch:
             name = f"{part:07d}-{seq:07d}-{uuid.uuid4().hex}.ids"
             with store.open_output_stream(f"{folder}/{name}") as out:
-                out.write(pack(keys, ids))
+                out.write(pack(keys, ids, width))
             row = [[part], [seq], [name], [len(keys)], [size]]
             types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays(
@@ -207,7 +213,7 @@ def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
                 file = TokenFile(content.as_buffer())
                 ends = file.ends.all()
                 starts = np.concatenate([[0], ends[:-1]]) if file.n else ends
-                crcs = [zlib.crc32(file.ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                crcs = [zlib.crc32(file.ids[a:b].astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 owner = pa.array(file.keys, mask=file.present == 0)
                 yield pa.RecordBatch.from_arrays(
                     [
