@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, page_text, piece_codec, simhash_dedup, substring_dedup, token_counts, token_files
+from . import bm25_search, exact_dedup, language_id, mixing, page_text, piece_codec, simhash_dedup, substring_dedup, token_counts, token_files
 from .shared import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,24 @@ def _(spark, sf):
 def _(spark, sf):
     found = substring_dedup.remove_repeats(table(spark, sf, "documents"), with_text=False)
     return found.drop("kept")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register(
+    "op4_bm25_search",
+    f"WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents), "
+    "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL), "
+    "stats AS (SELECT count(*)::DOUBLE AS n, sum(len(w)) / count(*)::DOUBLE AS mean FROM d), "
+    "df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
+    "scored AS (SELECT q.doc_id AS query_id, t.doc_id, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * "
+    "(t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len(w) / mean)))), 6) AS score FROM tf q JOIN df USING (term) JOIN tf t USING (term) "
+    "JOIN d ON d.doc_id = t.doc_id CROSS JOIN stats WHERE q.doc_id % 100 = 0 GROUP BY ALL) "
+    "SELECT query_id, (row_number() OVER w)::INTEGER AS rank, doc_id, score FROM scored "
+    "WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10",
+)
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25_search.search(docs, asked)
