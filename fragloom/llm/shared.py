@@ -16,7 +16,7 @@ from ..plans.staging import checkpoint_dir, staged
 # Executors need not have this package installed: functions are shipped themselves.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["by_value", "checkpoint_dir", "kept_in_process", "normal_space", "staged", "table", "word_count"]
+__all__ = ["by_value", "checkpoint_dir", "kept_in_process", "looked_up", "normal_space", "staged", "table", "word_count"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = "[ \\t-\\r]+"
@@ -47,5 +47,16 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(spaced, F.lit(WORD)).cast("long")
 
 
+def looked_up(facts: DataFrame, lookup: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """``facts`` joined to ``lookup`` (one row per ``key``), with the facts of one key spread
+    by ``spread`` over up to 64 salts.  A look-up row is repeated for the salts in use, which
+    the facts' tasks combine to one bit mask per key."""
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    in_use = salted.groupBy(key).agg(F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_in_use"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    placed = lookup.join(in_use, key).withColumn("_salt", salt).filter("getbit(_in_use, _salt) = 1").drop("_in_use")
+    return salted.join(placed, [key, "_salt"]).drop("_salt")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .shared import by_value
+from .shared import by_value, looked_up, staged
 
 by_value(__name__)
 
@@ -85,6 +85,6 @@ def token_counts(
         F.octet_length(content).cast("long").alias("n_bytes"),
         F.unhex(F.sha2(content, 256)).alias("digest"),
     )
-    return own.join(stored, "digest").select(
+    return looked_up(staged(own, "digests"), stored, "digest", "doc_id").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
