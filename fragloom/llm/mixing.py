@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged, word_count
+from .shared import row_hash, staged, word_count
 
 #: Target weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -96,11 +96,12 @@ def assign(
     budget: float = BUDGET,
     seed: str = "mix",
 ) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken, copies``.
+    """One row per document: ``doc_id, source, size, source_size, target, taken, copies, row``.
 
     ``size`` is the number of words; ``taken`` says how many words the mix takes of the
     document, repeats counted, at most twice its size.  ``copies`` has for each pass that
-    takes something of it ``(epoch, words, time, position)``.  The document in which a
+    takes something of it ``(epoch, words, time, position)``; ``row`` is a hash of all columns, by
+    which rows that repeat an id find their own.  The document in which a
     target ends gives only the words that are still due, so that the words taken of a
     source differ from its target by less than one.
 
@@ -109,7 +110,10 @@ def assign(
     empty result.
     """
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+        row_hash(docs).alias("row"),
     ).withColumn("draw", F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256))
     sized = staged(sized, "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -129,7 +133,7 @@ def assign(
     starts = per_bucket.select(
         "rank", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start")
     )
-    own = Window.partitionBy("rank", "bucket").orderBy("draw", F.col("size")).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("rank", "bucket").orderBy("draw", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     located = placed.join(starts, ["rank", "bucket"]).withColumn(
         "start", F.col("bucket_start") + F.coalesce(F.sum("size").over(own), F.lit(0))
     )
@@ -156,7 +160,7 @@ def assign(
     copies = F.filter(F.array(*[copy(e) for e in range(MOST_EPOCHS)]), lambda c: c["words"] > 0)
     taken = F.aggregate(F.col("copies"), F.lit(0).cast("long"), lambda s, c: s + c["words"])
     return located.withColumn("copies", F.transform(copies, position)).select(
-        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies"
+        "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", "row"
     )
 
 
@@ -164,13 +168,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mix itself: the documents taken, in training order, once for each pass that takes
     at least half of their words.  All columns of ``docs`` stay as they are.
 
-    Rows are range-partitioned and sorted by training position.  ``id_col`` has to be
-    unique where copies should follow their own document.
+    Rows are range-partitioned and sorted by training position.  Rows that repeat an id are
+    told apart by their other columns, and wholly equal rows share their copies out.
     """
     passes = assign(docs, id_col, text_col, source_col, **options).select(
-        F.col("doc_id").alias("_mix_id"), "size", F.explode("copies").alias("copy")
+        F.col("doc_id").alias("id"), "row", F.filter("copies", lambda c: 2 * c["words"] >= F.col("size"))["position"].alias("due")
     )
-    passes = passes.filter(2 * F.col("copy.words") >= F.col("size")).select("_mix_id", F.col("copy.position").alias("_mix_position"))
-    taken = docs.join(passes, docs[id_col].eqNullSafe(F.col("_mix_id")))
-    ordered = taken.repartitionByRange("_mix_position", "_mix_id").sortWithinPartitions("_mix_position", "_mix_id")
-    return ordered.drop("_mix_id", "_mix_position")
+    # A key is one row but for wholly equal ones.
+    keyed = passes.groupBy("id", "row").agg(F.count(F.lit(1)).alias("alike"), F.array_sort(F.flatten(F.collect_list("due"))).alias("due"))
+    keyed = keyed.filter(F.size("due") > 0)
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), row_hash(docs).alias("row")
+    )
+    keyed = keyed.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    found = whole.join(keyed, ["id", "row"])
+    mine = F.row_number().over(Window.partitionBy("id", "row").orderBy("alike")) - 1
+    found = found.withColumn("mine", mine)
+    own = F.filter("due", lambda _, i: i % F.col("alike") == F.col("mine"))
+    ordered = found.select("whole", "id", F.explode(own).alias("position")).repartitionByRange("position", "id")
+    return ordered.sortWithinPartitions("position", "id").select("whole.*")

@@ -16,7 +16,7 @@ from ..plans.staging import checkpoint_dir, staged
 # Executors need not have this package installed: functions are shipped themselves.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["by_value", "checkpoint_dir", "kept_in_process", "looked_up", "normal_space", "staged", "table", "word_count"]
+__all__ = ["by_value", "checkpoint_dir", "kept_in_process", "looked_up", "normal_space", "row_hash", "staged", "table", "word_count"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = "[ \\t-\\r]+"
@@ -41,6 +41,11 @@ def normal_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row but maps, which have no order to hash."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+
+
 def word_count(text: Column) -> Column:
     """Number of words, without building them."""
     spaced = F.concat(F.lit(" "), F.coalesce(text, F.lit("")))

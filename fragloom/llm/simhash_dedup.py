@@ -23,11 +23,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import by_value, staged
+from .shared import by_value, row_hash, staged
 
 by_value(__name__)
 
@@ -263,6 +263,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     guarantee of one side.
     """
     n = fps.count()
+    if not n:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     allocation = plan(fps, n, distance)
     index = _entries(fps, allocation, False).withColumnRenamed("fp", "a")
     probes = _entries(fps, allocation, True).withColumnRenamed("fp", "b")
@@ -272,8 +274,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int) -> tuple[DataFrame, DataFrame]:
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).alias("text"))
+    marked = docs.select(F.col(id_col).alias("doc_id"), row_hash(docs).alias("row"), F.col(text_col).alias("text"))
     prints = staged(fingerprints(marked, "text", "doc_id", "row"), "simhash")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
     nulls = F.min("row")  # only of rows without an id
@@ -308,10 +309,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = found.select(
         F.col("best.doc_id").alias("_id"), F.coalesce("best.row", "best_row").alias("_row")
     ).distinct()
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), row.alias("_row"), F.col(id_col).alias("_own"))
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), row_hash(docs).alias("_row"), F.col(id_col).alias("_own")
+    )
     kept = whole.join(stay, "_row").filter(F.col("_own").eqNullSafe(F.col("_id")))
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy("_row").orderBy("_own"))
     return kept.withColumn("_n", first).filter("_n = 1").select("d.*")
