@@ -38,7 +38,7 @@ by_value(__name__)
 WINDOW = 20
 PREFIX = 6
 #: Suffixes of one six-word prefix that one tree holds.
-GROUP = 1000
+GROUP = 2000
 SALTS = 16
 _BEFORE = WINDOW - PREFIX
 _TIE = 40  # a document's place: 16 bits of its text's hash, then the word's position
@@ -161,15 +161,18 @@ def _suffixes(marked: DataFrame, group: int) -> DataFrame:
                         continue
                     if keys is None:
                         keys = _rolled(_word_hashes(words), WINDOW).tolist()
+                    known_earlier = 0
                     for start in range(first, last + 1):
                         content = b" ".join(words[start : start + WINDOW])
                         mine = (doc, tie + start, keys[start])
-                        known = least.get(content)
-                        if known is None or mine < known:
+                        known = least.setdefault(content, mine)
+                        if known[:2] < mine[:2]:
+                            known_earlier |= 1 << place - start
+                        elif mine[:2] < known[:2]:
                             least[content] = mine
-                        other = known if known is None or mine < known else mine
-                        if other is not None and other[:2] != least[content][:2]:
-                            out.append((other[2] ^ other[0], other[0], other[1], -1, 0, 0, b""))
+                            out.append((known[0] ^ known[2], known[0], known[1], -1, 1, 0, b""))
+                    if known_earlier:
+                        out.append((doc ^ key, doc, tie + place, -1, known_earlier, 0, b""))
                 if len(least) > _COPIES:
                     out += whole()
                     least.clear()
@@ -235,7 +238,7 @@ def _found(suffixes: DataFrame) -> DataFrame:
 
         def judged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             keys, docs, ats, ahead, first, last = (rows.column(i).to_numpy() for i in range(6))
-            mask = np.ones(len(keys), np.int64)
+            mask = first.astype(np.int64)
             open_ = np.flatnonzero(ahead >= 0)
             if len(open_):
                 contents = rows.column(6).take(pa.array(open_)).to_pylist()
