@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -36,13 +37,15 @@ SPACE = "▁"
 DROPOUT = 0.1
 VARIANTS = 2
 #: Spelt cuts a worker remembers; beyond it, the memory is begun anew.
-MEMORY = 1_000_000
+MEMORY = 500_000
 _CUTS = re.compile(r" *[^ ]+| +").findall
 _MASK = (1 << 64) - 1
 _NEVER = np.int64(1 << 62)
 #: Cuts up to this length are spelt side by side, so many at once.
 SIDE_BY_SIDE = 48
 _AT_ONCE = 20_000
+#: Characters whose cuts are looked at together.
+_RUN = 1 << 20
 
 
 class Pieces:
@@ -72,14 +75,21 @@ class Pieces:
         self.shift = n.bit_length()
         self.none = (1 << self.shift) - 1
         self.first = self.ids | {" ": self.ids.get(SPACE, self.none), SPACE: self.none}
-        self.merges: dict[int, tuple[float, int]] = {}
+        self.scores = {i: -model.get_score(i) for i in self.ids.values()}
+
+    @cached_property
+    def merges(self) -> dict[int, tuple[float, int]]:
+        """For each pair that forms a piece its place on the agenda and the piece; decoding
+        does without them."""
+        merges = {}
         for piece, i in self.ids.items():
             if any(c not in self.ids for c in piece):
                 raise ValueError("a piece has a character that is no piece")
             for at in range(1, len(piece)):
                 left, right = self.ids.get(piece[:at]), self.ids.get(piece[at:])
                 if left is not None and right is not None:
-                    self.merges[left << self.shift | right] = (-model.get_score(i), i)
+                    merges[left << self.shift | right] = self.scores[i], i
+        return merges
 
     def spell(self, cut: str, key: int, dropout: float) -> list[int]:
         """Ids of one cut, in which a space stands for the model's own mark."""
@@ -121,26 +131,24 @@ class Pieces:
             i = end[i]
         return out
 
-
-    def _arrays(self) -> tuple[np.ndarray, ...]:
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, ...]:
         """The merges as sorted arrays (pair, order of its score, piece) and the symbols of
         all characters."""
-        if not hasattr(self, "arrays"):
-            pairs = np.array(sorted(self.merges), np.int64)
-            scores = np.array([self.merges[p][0] for p in pairs.tolist()])
-            order = np.unique(scores, return_inverse=True)[1].astype(np.int64)
-            made = np.array([self.merges[p][1] for p in pairs.tolist()], np.int64)
-            symbols = np.full(0x110000, self.none, np.int64)
-            for c, i in self.first.items():
-                if len(c) == 1:
-                    symbols[ord(c)] = i
-            self.arrays = pairs, order, made, symbols
-        return self.arrays
+        pairs = np.array(sorted(self.merges), np.int64)
+        scores = np.array([self.merges[p][0] for p in pairs.tolist()])
+        order = np.unique(scores, return_inverse=True)[1].astype(np.int64)
+        made = np.array([self.merges[p][1] for p in pairs.tolist()], np.int64)
+        symbols = np.full(0x110000, self.none, np.int64)
+        for c, i in self.first.items():
+            if len(c) == 1:
+                symbols[ord(c)] = i
+        return pairs, order, made, symbols
 
     def spell_all(self, cuts: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
         """:meth:`spell` for many cuts, whose agendas are worked off side by side: in each
         round every cut takes the best candidate of its own."""
-        pairs, order, made, first = self._arrays()
+        pairs, order, made, first = self.arrays
         limit = np.uint64(int(dropout * (1 << 32)))
         out: list[bytes] = [b""] * len(cuts)
         codes = np.frombuffer("".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -247,6 +255,13 @@ class Codec:
         return b"".join(map(self.pieces.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _codec(path: str, seed: int, dropout: float, variants: int) -> Codec:
     made = kept_in_process("piece_codecs", dict)
     at = (path, seed, dropout, variants)
@@ -279,14 +294,13 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, seed, dropout, variants)
-        for batch in batches:
+        for batch in _sliced(batches):
             owners, texts = iter(batch.column(1).to_pylist()), batch.column(2).to_pylist()
-            spelt = [x for run in parts([t or "" for t in texts]) for x in codec.encode_all(run, list(islice(owners, len(run))))]
-            found = [None if text is None else ids for text, ids in zip(texts, spelt, strict=True)]
-            ends = np.cumsum([0, *(0 if x is None else len(x) for x in found)])
-            values = pa.array(np.concatenate([x for x in found if x is not None] or [np.zeros(0, "<i4")]), pa.int32())
-            offsets = pa.array(ends, pa.int32(), mask=np.array([*(x is None for x in found), False]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=["row", out_col])
+            spelt = [x for run in parts([t or "" for t in texts], _RUN) for x in codec.encode_all(run, list(islice(owners, len(run))))]
+            ends = np.cumsum([0, *(len(x) for x in spelt)])
+            offsets = pa.array(ends, pa.int32(), mask=np.array([*(t is None for t in texts), False]))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(spelt), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["row", out_col])
 
     schema = T.StructType([rows.schema["row"], T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(run, schema).select("row.*", out_col)
@@ -301,12 +315,10 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, 0, 0.0, 1)
-        for batch in batches:
+        for batch in _sliced(batches):
             ids = batch.column(1)
-            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-            texts = [
-                codec.decode(values[offsets[i] : offsets[i + 1]]) if ids[i].is_valid else None for i in range(len(ids))
-            ]
+            values, offsets, known = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_pylist()
+            texts = [codec.decode(values[a:b]) if k else None for a, b, k in zip(offsets[:-1], offsets[1:], known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", out_col])
 
     schema = T.StructType([whole.schema["row"], T.StructField(out_col, T.StringType())])
