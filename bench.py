@@ -52,16 +52,13 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
+    small = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.001")
     for name in HEADLINE:
-        took = []
-        while len(took) < 2:  # the first run also compiles
+        for folder in (small, sf):  # the run over the small tables compiles; the other counts
             begin = time.time()
-            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-            took.append(time.time() - begin)
-            if took[0] > 10:
-                break
-        times[name] = round(min(took), 3)
-        print(name, [round(t, 2) for t in took], file=sys.stderr, flush=True)
+            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - begin, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": sf}))
 

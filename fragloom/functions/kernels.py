@@ -12,13 +12,14 @@ import json
 import re
 import sys
 from bisect import bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..rules import HEAD_CHARS, MAX_OBJECT_CHARS, MAX_UNCLOSED_CHARS
+from ..rules import CSV_DELIMITERS, LINE_PATTERN
 
 # Executors need not have this package installed: ship the functions themselves.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,21 +33,30 @@ _BLANK_LINE = re.compile(r"\n\s*\n")
 _KEY_LIKE = re.compile(r"[\"']\w+[\"']\s*:|\w+\s*:")
 
 
-def closing_brace(text: str, start: int, stop: int) -> int | None:
-    """End of the object opening at ``start``, or None if it does not close by ``stop``."""
-    depth, at = 0, start
+def closing_brace(text: str, start: int, stop: int, known: dict[int, int | None]) -> int | None:
+    """End of the object opening at ``start``, or None if it does not close by ``stop``.
+
+    One pass settles every brace it meets outside strings and notes it in ``known``, so
+    that a text is read once however many of its objects never close.
+    """
+    if start in known:
+        return known[start]
+    open_, at = [], start
     while mark := _MARK.search(text, at, stop):
         at = mark.end()
         char = mark.group()
         if char in _REST_OF_STRING:
             rest = _REST_OF_STRING[char].match(text, at, stop)
             if rest is None:
-                return None
+                break
             at = rest.end()
+        elif char == "{":
+            open_.append(mark.start())
         else:
-            depth += 1 if char == "{" else -1
-            if depth == 0:
+            known[open_.pop()] = at
+            if not open_:
                 return at
+    known.update(dict.fromkeys(open_))
     return None
 
 
@@ -81,17 +91,16 @@ def _scan_document(text, reserved, sections, scripts, scripts_first):
         if not text[s0:e0].strip() or clash(s0, e0) is not None:
             continue
         at = text.find("{", s0, e0)
-        end = closing_brace(text, at, min(e0, at + MAX_OBJECT_CHARS)) if at >= 0 else None
+        end = closing_brace(text, at, e0, {}) if at >= 0 else None
         s, e = (at, end) if end else (s0, e0)
         taken.append((s, e))
         bounds = index()
         body = text[s:e]
         yield "section", s, e, end is not None, end is not None and _parses(body), section["label"], body
 
-    literals = []
+    literals, known = [], {}
     for script in scripts:
-        brace = script["e"] - 1
-        end = closing_brace(text, brace, min(len(text), brace + MAX_OBJECT_CHARS))
+        end = closing_brace(text, script["e"] - 1, len(text), known)
         if end and clash(script["s"], end) is None:
             literals.append((script["s"], end))
             yield "script", script["s"], end, True, False, script["label"], text[script["s"]:end]
@@ -105,16 +114,15 @@ def _scan_document(text, reserved, sections, scripts, scripts_first):
         if busy_until is not None:
             after = busy_until
         else:
-            after = closing_brace(text, at, min(len(text), at + MAX_OBJECT_CHARS))
+            after = closing_brace(text, at, len(text), known)
             if after:
                 if clash(at, after) is None:
                     body = text[at:after]
                     yield "object", at, after, True, _parses(body), None, body
             else:
-                window = text[at:at + MAX_UNCLOSED_CHARS]
-                gap = _BLANK_LINE.search(window)
-                body = window[:gap.start()] if gap else window
-                after = at + len(body)
+                gap = _BLANK_LINE.search(text, at)
+                after = gap.start() if gap else len(text)
+                body = text[at:after]
                 if clash(at, after) is None and _KEY_LIKE.search(body):
                     yield "object", at, after, False, False, None, body
         at = text.find("{", after)
@@ -206,14 +214,13 @@ def _fields(obj):
 
 
 def _row(row_idx, obj):
-    strings = [v for v in obj.values() if isinstance(v, str)]
-    return {
-        "row_idx": row_idx,
-        "n_keys": len(obj),
-        "longest": max(map(len, strings), default=0),
-        "broken_head": any("\n" in v[:HEAD_CHARS] for v in strings),
-        "fields": _fields(obj),
-    }
+    return {"row_idx": row_idx, "n_keys": len(obj), "fields": _fields(obj)}
+
+
+def _bare(row_idx, value):
+    """A row of a value that has no key of its own."""
+    kind, text = _leaf(value)
+    return {"row_idx": row_idx, "n_keys": 1, "fields": [{"key": "value", "vtype": kind, "value": text}]}
 
 
 def _json_rows(text):
@@ -224,27 +231,14 @@ def _json_rows(text):
     if isinstance(parsed, dict):
         return [_row(None, parsed)]
     if isinstance(parsed, list):
-        return [_row(i, item) for i, item in enumerate(parsed) if isinstance(item, dict)]
-    if parsed is None:
-        return None
-    kind, value = _leaf(parsed)
-    return [
-        {
-            "row_idx": -1,
-            "n_keys": 1,
-            "longest": 0,
-            "broken_head": False,
-            "fields": [{"key": "value", "vtype": kind, "value": value}],
-        }
-    ]
+        return [_row(i, item) if isinstance(item, dict) else _bare(i, item) for i, item in enumerate(parsed)]
+    return None if parsed is None else [_bare(-1, parsed)]
 
 
 FIELD_DDL = "struct<key:string,vtype:string,value:string>"
 _ROW_TYPE = _array_of(
     row_idx=T.IntegerType(),
     n_keys=T.IntegerType(),
-    longest=T.IntegerType(),
-    broken_head=T.BooleanType(),
     fields=_array_of(key=T.StringType(), vtype=T.StringType(), value=T.StringType()),
 )
 _ROW_ARROW = pa.list_(
@@ -252,8 +246,6 @@ _ROW_ARROW = pa.list_(
         [
             ("row_idx", pa.int32()),
             ("n_keys", pa.int32()),
-            ("longest", pa.int32()),
-            ("broken_head", pa.bool_()),
             (
                 "fields",
                 pa.list_(
@@ -269,13 +261,118 @@ _ROW_ARROW = pa.list_(
 def json_rows(text: pa.Array) -> pa.Array:
     """Parsed and flattened JSON: one row per object, null where it does not parse.
 
-    ``row_idx`` is null for a single object, the position for the objects of a list
-    and -1 for a bare scalar.
+    ``row_idx`` is null for a single object, the position for the items of a list (those
+    that are no objects have the key ``value``) and -1 for a bare scalar.
     """
     out = [None if t is None else _json_rows(t) for t in text.to_pylist()]
     return pa.array(out, type=_ROW_ARROW)
 
 
+_PIECE = re.compile(
+    r"""(?P<double>"(?:[^"\\]|\\.)*+")|(?P<single>'(?:[^'\\]|\\.)*+')|(?P<note>//[^\n]*|/\*[\s\S]*?\*/)"""
+    r"""|(?P<space>\s+)|(?P<word>[^\W\d][\w$-]*)|(?P<other>[\s\S])"""
+)
+_CLOSER = {"{": "}", "[": "]"}
+
+
+def _repaired(text):
+    """JSON as it may have been meant: see :func:`repaired_json`."""
+    out, before, open_ = [], "", []
+
+    def without_comma():
+        if before == ",":
+            del out[max(i for i, piece in enumerate(out[-8:], max(0, len(out) - 8)) if piece == ",")]
+
+    for piece in _PIECE.finditer(text):
+        kind, found = piece.lastgroup, piece.group()
+        if kind == "note" or kind == "space":
+            if kind == "space" and out and out[-1] != " ":
+                out.append(" ")
+            continue
+        if kind == "single" and before in ("", "{", "[", ",", ":"):
+            found = json.dumps(found[1:-1].replace("\\'", "'"), ensure_ascii=False)
+        elif kind == "word" and before in ("{", ",") and re.match(r"\s*:", text[piece.end():piece.end() + 80]):
+            found = json.dumps(found, ensure_ascii=False)
+        elif found in _CLOSER:
+            open_.append(_CLOSER[found])
+        elif found in ("}", "]"):
+            without_comma()
+            if open_ and open_[-1] == found:
+                open_.pop()
+        out.append(found)
+        before = found
+    without_comma()
+    return "".join(out + open_[::-1])
+
+
+@F.arrow_udf(T.StringType())
+def repaired_json(text: pa.Array) -> pa.Array:
+    """Damaged JSON with its small faults mended: single quotes, bare keys, comments, commas
+    before a closer, and closers missing at the end.  What stands inside quotes stays."""
+    return pa.array([None if t is None else _repaired(t) for t in text.to_pylist()], type=pa.string())
+
+
+_CSV_TYPE = _array_of(
+    s=T.IntegerType(), e=T.IntegerType(), n=T.IntegerType(), delimiter=T.StringType(), first=T.StringType(), text=T.StringType()
+)
+_CSV_NAMES = ["s", "e", "n", "delimiter", "first", "text"]
+_CSV_ARROW = pa.list_(pa.struct([*[(n, pa.int32()) for n in "sen"], *[(n, pa.string()) for n in _CSV_NAMES[3:]]]))
+_LINE = re.compile(LINE_PATTERN.replace(r"\z", r"\Z"))
+_END = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])\Z")
+
+
+def _csv_runs(text, taken):
+    """Runs of lines with one delimiter, at least half of them equally often, from the first
+    line that is free; each line is counted once."""
+    spans, at = [], 0
+    while at < len(text):
+        end = _LINE.match(text, at).end()
+        spans.append((at, end))
+        at = end
+    bodies = [_END.sub("", text[a:b]) for a, b in spans]
+    counts = [[0 if not line.strip() else line.count(d) for line in bodies] for d in CSV_DELIMITERS]
+    stops = []  # for each delimiter and line: the first line after it without the delimiter
+    for own in counts:
+        stop, upto = [0] * len(own), len(own)
+        for i in range(len(own) - 1, -1, -1):
+            upto = upto if own[i] else i
+            stop[i] = upto
+        stops.append(stop)
+    busy = sorted((t["s"], t["e"]) for t in taken)
+    starts, reach = [s for s, _ in busy], []
+    for _, e in busy:
+        reach.append(max(e, reach[-1]) if reach else e)
+    i = 0
+    while i < len(spans):
+        body = bodies[i]
+        k = next((k for k, own in enumerate(counts) if own[i]), None)
+        if k is None or "{" in body or "}" in body or i + 1 == len(spans) or not counts[k][i + 1]:
+            i += 1
+            continue
+        stop = stops[k][i]
+        begin, end = spans[i][0], spans[stop - 1][0] + len(bodies[stop - 1])
+        before = bisect_right(starts, end - 1)
+        if before and reach[before - 1] > begin:
+            i += 1
+            continue
+        run = counts[k][i:stop]
+        if max(Counter(run).values()) >= max(1, len(run) // 2):
+            yield begin, end, len(run), CSV_DELIMITERS[k], body.split(CSV_DELIMITERS[k], 1)[0], text[begin:end]
+            i = stop
+        else:
+            i += 1
+
+
+@F.arrow_udf(_CSV_TYPE)
+def csv_runs(text: pa.Array, taken: pa.Array) -> pa.Array:
+    """Delimited runs of each document outside the spans taken; a null text has none."""
+    out = [
+        [] if t is None else [dict(zip(_CSV_NAMES, r)) for r in _csv_runs(t, busy)]
+        for t, busy in zip(text.to_pylist(), taken.to_pylist())
+    ]
+    return pa.array(out, type=_CSV_ARROW)
+
+
 @F.arrow_udf(T.DoubleType())
 def name_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
     """Ratcliff/Obershelp similarity of two short names; null where one is null."""

@@ -26,7 +26,7 @@ from ..functions.columns import (
     regex_spans,
     trim_ws,
 )
-from ..functions.kernels import object_spans
+from ..functions.kernels import csv_runs, object_spans
 
 _META = "meta:array<struct<key:string,value:string>>"
 _BLOCK = f"struct<s:int,back:int,det:int,e:int,format:string,confidence:double,text:string,{_META}>"
@@ -321,111 +321,20 @@ def html_blocks(elements: Column, taken: Column, text: Column) -> Column:
     return F.transform(first_fit(free, "struct<s:int,e:int,name:string>"), block)
 
 
-def csv_blocks(text: Column, lns: Column, taken: Column) -> Column:
-    """Runs of delimited lines whose delimiter count mostly agrees.
-
-    Whether a block can start at a line depends on the lines after it alone (at most
-    200), so every line is judged on its own and overlapping blocks are settled after.
-    """
-    delimiters = F.array(*[F.lit(d) for d in rules.CSV_DELIMITERS])
-
-    def per_line(d: str) -> Column:
-        return F.transform(
-            lns,
-            lambda ln: F.when(ln["blank"], F.lit(0)).otherwise(
-                F.length(ln["body"]) - F.length(F.replace(ln["body"], F.lit(d)))
-            ),
-        )
-
-    counts = F.array(
-        *[
-            F.when(F.contains(text, F.lit(d)), per_line(d)).otherwise(
-                F.array_repeat(F.lit(0), F.size(lns))
-            )
-            for d in rules.CSV_DELIMITERS
-        ]
-    )
-
-    def start(v: Column, i: Column) -> Column:
-        """Candidate at line ``i``: which delimiter, how many lines, does the count agree."""
-        body = F.get(v["lines"], i)["body"]
-        which = F.when(F.contains(body, F.lit("{")) | F.contains(body, F.lit("}")), F.lit(-1))
-        for k in range(len(rules.CSV_DELIMITERS)):
-            which = which.when(F.get(F.get(v["counts"], F.lit(k)), i) > 0, F.lit(k))
-        which = which.otherwise(F.lit(-1))
-
-        def run(k: Column) -> Column:
-            ahead = F.slice(F.get(v["counts"], k), i + 1, rules.MAX_CSV_LINES)
-            filled = let(
-                ahead,
-                lambda a: let(
-                    F.array_position(a, F.lit(0)),
-                    lambda stop: F.when(stop == 0, a).otherwise(
-                        F.slice(a, F.lit(1), (stop - 1).cast("int"))
-                    ),
-                ),
-            )
-            return let(
-                filled,
-                lambda a: let(
-                    F.array_max(
-                        F.transform(
-                            F.array_distinct(a),
-                            lambda n: F.size(a) - F.size(F.array_remove(a, n)),
-                        )
-                    ),
-                    lambda agreeing: F.when(
-                        agreeing >= F.greatest(F.lit(1), (F.size(a) / 2).cast("int")),
-                        F.struct(
-                            F.get(v["lines"], i)["s"].alias("s"),
-                            F.get(v["lines"], i + F.size(a) - 1)["e"].alias("e"),
-                            i.alias("line"),
-                            F.size(a).alias("n"),
-                            k.alias("delimiter"),
-                        ),
-                    ),
-                ),
-            )
-
-        return let(
-            which,
-            lambda k: F.when(
-                (k >= 0) & (F.get(F.get(v["counts"], F.greatest(k, F.lit(0))), i + 1) > 0), run(k)
-            ),
-        )
-
-    def block(c: Column, ls: Column) -> Column:
-        d = F.get(delimiters, c["delimiter"])
-        raw = F.array_join(
-            F.transform(F.slice(ls, c["line"] + 1, c["n"]), lambda ln: ln["raw"]), ""
-        )
-        first_cell = F.split_part(F.get(ls, c["line"])["body"], d, F.lit(1))
-        return let(
-            first_cell.rlike("[A-Za-z]"),
-            lambda header: _block(
-                _CSV,
-                F.when(header, F.lit("CSV")).otherwise(F.lit("CSV_NO_HEADER")),
-                c["s"],
-                c["e"],
-                F.when(header, F.lit(0.9)).otherwise(F.lit(0.7)),
-                F.substring(raw, F.lit(1), c["e"] - c["s"]),
-                delimiter=d,
-                rows=c["n"],
-            ),
-        )
-
-    def blocks(v: Column) -> Column:
-        found = F.filter(
-            F.transform(F.sequence(F.lit(0), F.size(v["lines"]) - 1), lambda i: start(v, i)),
-            lambda c: c.isNotNull() & ~overlaps_any(v["taken"], c["s"], c["e"]),
-        )
-        kept = first_fit(found, "struct<s:int,e:int,line:int,n:int,delimiter:int>")
-        return F.when(
-            F.size(v["lines"]) > 1, F.transform(kept, lambda c: block(c, v["lines"]))
-        ).otherwise(empty(_BLOCK))
-
+def csv_block(run: Column) -> Column:
+    """Block of one run of delimited lines found by the kernel."""
     return let(
-        F.struct(lns.alias("lines"), counts.alias("counts"), taken.alias("taken")), blocks
+        run["first"].rlike("[A-Za-z]"),
+        lambda header: _block(
+            _CSV,
+            F.when(header, F.lit("CSV")).otherwise(F.lit("CSV_NO_HEADER")),
+            run["s"],
+            run["e"],
+            F.when(header, F.lit(0.9)).otherwise(F.lit(0.7)),
+            run["text"],
+            delimiter=run["delimiter"],
+            rows=run["n"],
+        ),
     )
 
 
@@ -677,6 +586,8 @@ def blocks(
         _taken=col("taken", lambda: taken("_found", "_yaml", "_tables", "_html")),
         _lines=col("lines", lambda: lines(t)),
     )
+    delimited = F.when(has(*rules.CSV_DELIMITERS), t)
+    df = df.withColumn("_delimited", delimited).withColumn("_runs", csv_runs("_delimited", "_taken"))
     busy, lns = F.col("_taken"), F.col("_lines")
     every = lambda: F.concat(
         "_found",
@@ -684,7 +595,7 @@ def blocks(
         "_tables",
         "_html",
         js_blocks(F.col("_objects"), busy),
-        only_if(has(*rules.CSV_DELIMITERS), csv_blocks(t, lns, busy), _BLOCK),
+        F.transform("_runs", csv_block),
         only_if(has(":", "="), key_value_blocks(lns, busy), _BLOCK),
         only_if(has(";"), sql_blocks(t, busy), _BLOCK),
         raw_blocks(t, busy),

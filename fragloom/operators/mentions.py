@@ -79,12 +79,13 @@ def tag(
     external: DataFrame | None = None,
     *,
     keys: tuple[str, ...] = ("doc_id",),
+    min_score: float = rules.EXTERNAL_MENTION_MIN_SCORE,
 ) -> DataFrame:
     """Add ``entities``, the mentions of each fragment, and ``index_entries``, what of them
     goes into the entity index.
 
     ``external`` holds mentions of other taggers (``keys``, ``frag_id``, ``format`` and the
-    fields of a mention); those below the score limit are ignored.
+    fields of a mention); those below ``min_score`` are ignored.
     """
     on = [*keys, *FRAGMENT_KEY]
     if external is None:
@@ -99,7 +100,7 @@ def tag(
             "source",
         )
         grouped = (
-            external.filter(F.col("score") >= rules.EXTERNAL_MENTION_MIN_SCORE)
+            external.filter(F.col("score") >= min_score)
             .groupBy(*on)
             .agg(F.array_sort(F.collect_list(mention)).alias("_found"))
         )

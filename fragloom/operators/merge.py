@@ -14,20 +14,15 @@ from .. import rules
 from ..functions.columns import bind, trim_ws
 from ..functions.groups import join_spread
 from .mentions import FRAGMENT_KEY
+from .normalize import clean_object
 from .resolve import format_rank
 
 ENTITY = ["scope", "entity_id"]
 
 
 def usable() -> Column:
-    """Damaged JSON merges only as an object of two keys or more without long values."""
-    sound = F.exists(
-        "rows",
-        lambda r: r["row_idx"].isNull()
-        & (r["n_keys"] >= 2)
-        & (r["longest"] <= rules.MAX_CLEAN_VALUE_CHARS),
-    )
-    return (F.col("format") != "MALFORMED_JSON") | sound
+    """Damaged JSON merges only as an object of two keys or more."""
+    return (F.col("format") != "MALFORMED_JSON") | clean_object(F.col("rows"))
 
 
 def _folded(value: Column) -> Column:
@@ -72,9 +67,13 @@ def facts(
     keys: tuple[str, ...] = ("doc_id",),
     match: str = "substring",
     exclusions: DataFrame | None = None,
+    scope: str = "document",
 ) -> DataFrame:
     """One row per entity, key and fragment: everything that is known, before merging.
 
+    A table cell's key is ``row_<row>_<column>``.  In one document the row is its index, so
+    that a later table overwrites an earlier one; over a corpus it names the fragment too,
+    so that no document's rows replace another's.
     ``exclusions`` (``keys`` and ``start``) names fragments that must not be merged.
     """
     source = parsed.filter(F.col("rows").isNotNull() & usable()).select(
@@ -102,9 +101,10 @@ def facts(
         F.posexplode("r.fields").alias("pos", "f"),
     )
     in_table = F.col("row_idx") >= 0
-    key = F.when(
-        in_table, F.concat(F.lit("row_"), F.col("row_idx"), F.lit("_"), F.col("f.key"))
-    ).otherwise(F.col("f.key"))
+    row = F.col("row_idx").cast("string")
+    if scope == "corpus":
+        row = F.concat(F.lower(F.hex(F.xxhash64(*keys, "frag_id", "format"))), F.lit(":"), row)
+    key = F.when(in_table, F.concat(F.lit("row_"), row, F.lit("_"), F.col("f.key"))).otherwise(F.col("f.key"))
     return fields.select(
         *ENTITY,
         key.alias("key"),

@@ -12,27 +12,18 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.columns import bind, cached, contains_any, last_wins, let, trim_ws
-from ..functions.kernels import FIELD_DDL, cell_texts, json_rows
+from ..functions.kernels import FIELD_DDL, cell_texts, json_rows, repaired_json
 
 FIELDS_DDL = f"array<{FIELD_DDL}>"
 ROWS_DDL = (
-    "array<struct<row_idx:int,n_keys:int,longest:int,broken_head:boolean,"
-    f"fields:{FIELDS_DDL}>>"
+    f"array<struct<row_idx:int,n_keys:int,fields:{FIELDS_DDL}>>"
 )
 _TABULAR = ["CSV", "CSV_NO_HEADER", "HTML_TABLE"]
 
 
 def repair_json(text: Column) -> Column:
-    """Trailing commas, comments, single quotes, bare keys and missing closing braces."""
-    for pattern, replacement in rules.JSON_REPAIRS:
-        text = F.regexp_replace(text, pattern, replacement)
-    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c)))
-    return let(
-        text,
-        lambda s: F.concat(
-            s, F.repeat(F.lit("}"), F.greatest(F.lit(0), count(s, "{") - count(s, "}")))
-        ),
-    )
+    """Trailing commas, comments, single quotes, bare keys and missing closers."""
+    return repaired_json(text)
 
 
 def _strip(value: Column, chars: str) -> Column:
@@ -50,14 +41,12 @@ def loose_pairs(text: Column) -> Column:
     return last_wins(keys, values)
 
 
-def colon_lines(text: Column) -> Column:
-    """Lines split at their first colon, last value wins."""
-    lines = F.filter(
-        F.split(text, rules.ANY_LINE_END, -1),
-        lambda ln: F.contains(ln, F.lit(":")),
-    )
+def key_lines(text: Column, separators: str = ":=") -> Column:
+    """Lines split at their first separator, last value wins."""
+    mark = f"[{separators}]"
+    lines = F.filter(F.split(text, rules.ANY_LINE_END, -1), lambda ln: ln.rlike(mark))
     return let(
-        F.transform(lines, lambda ln: F.split(ln, ":", 2)),
+        F.transform(lines, lambda ln: F.split(ln, mark, 2)),
         lambda parts: last_wins(
             F.transform(parts, lambda p: trim_ws(F.get(p, F.lit(0)))),
             F.transform(parts, lambda p: _strip(trim_ws(F.get(p, F.lit(1))), '"')),
@@ -113,21 +102,12 @@ def _string_fields(pairs: Column) -> Column:
 
 
 def _row(row_idx: Column, pairs: Column) -> Column:
-    """A row of string values with what the quality checks need to know about it."""
+    """A row of string values and the number of its keys."""
     return let(
         pairs,
         lambda ps: F.struct(
             row_idx.cast("int").alias("row_idx"),
             F.size(ps).alias("n_keys"),
-            F.coalesce(
-                F.array_max(F.transform(ps, lambda p: F.length(p["value"]))), F.lit(0)
-            ).alias("longest"),
-            F.exists(
-                ps,
-                lambda p: F.contains(
-                    F.substring(p["value"], F.lit(1), F.lit(rules.HEAD_CHARS)), F.lit("\n")
-                ),
-            ).alias("broken_head"),
             _string_fields(ps).alias("fields"),
         ).cast(ROWS_DDL[len("array<"):-1]),
     )
@@ -205,27 +185,25 @@ def is_safe_sql(text: Column) -> Column:
 
 
 def clean_object(rows: Column) -> Column:
-    """A repaired object counts only with two keys or more and no runaway value."""
-    return F.exists(
-        rows,
-        lambda r: r["row_idx"].isNull()
-        & (r["n_keys"] >= 2)
-        & (r["longest"] <= rules.MAX_CLEAN_VALUE_CHARS)
-        & ~r["broken_head"],
-    )
+    """A repaired object counts only with two keys or more."""
+    return F.exists(rows, lambda r: r["row_idx"].isNull() & (r["n_keys"] >= 2))
+
 
+def parse(fragments: DataFrame, *, separators: str = ":=") -> DataFrame:
+    """Add ``rows``, the parsed content of each fragment.
 
-def parse(fragments: DataFrame) -> DataFrame:
-    """Add ``rows``, the parsed content of each fragment."""
+    ``separators`` are the characters that part key and value in key/value lines.
+    """
     fmt, s = F.col("format"), F.col("_s")
     is_ = lambda *names: fmt.isin(*names)
     df = fragments.withColumn("_s", trim_ws(F.col("text")))
+    df = df.withColumn("_damaged", F.when(is_("MALFORMED_JSON"), s)).withColumn("_mended", repair_json(F.col("_damaged")))
     df = bind(
         df,
         _json=cached(
             "parse.json",
             lambda: F.when(is_("JSON", "JSON_LD"), s)
-            .when(is_("MALFORMED_JSON"), repair_json(s))
+            .when(is_("MALFORMED_JSON"), F.col("_mended"))
             .when(
                 is_("JS_OBJECT"),
                 F.replace(F.regexp_extract(s, rules.JS_BODY, 1), F.lit("'"), F.lit('"')),
@@ -261,15 +239,15 @@ def parse(fragments: DataFrame) -> DataFrame:
                 ),
             )
             .when(is_("HTML_TABLE"), html_rows(F.col("_texts")))
-            .when(is_("KEY_VALUE"), one(colon_lines(s)))
+            .when(is_("KEY_VALUE"), one(key_lines(s, separators)))
             .when(
                 is_("SQL") & is_safe_sql(s),
                 one(F.array(F.struct(F.lit("sql").alias("key"), s.alias("value")))),
             )
         )
 
-    df = bind(df, rows=cached("parse.rows", by_format))
-    return df.drop("_s", "_json", "_cells", "_parsed", "_texts")
+    df = bind(df, rows=cached(f"parse.rows.{separators}", by_format))
+    return df.drop("_s", "_damaged", "_mended", "_json", "_cells", "_parsed", "_texts")
 
 
 def records(parsed: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

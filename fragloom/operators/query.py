@@ -59,7 +59,7 @@ def unknown_columns(
         & ~F.array_contains(F.col("known_fields"), w)
         & ~F.array_contains(known, w),
     )
-    found = joined.withColumn("known_fields", fields).withColumn("names", F.slice(missing, 1, 3))
+    found = joined.withColumn("known_fields", fields).withColumn("names", F.array_distinct(missing))
     return found.filter(F.size("names") > 0).select(
         *keys,
         F.concat(F.lit("Unknown columns: "), F.array_join("names", ", ")).alias("error"),
@@ -113,9 +113,9 @@ def route(text: Column, default: Column) -> Column:
 
 
 def field_catalogue(schema_fields: DataFrame, schemas: DataFrame, *, db: str = "postgresql") -> DataFrame:
-    """Fields as shown to someone writing a query: type, nullability, a short example."""
+    """Fields as shown to someone writing a query: type, nullability, an example."""
     kind = F.col("type_info.sql_type") if db == "postgresql" else F.col("type_info.mongo_type")
-    example = F.when(F.col("example_value") != "", F.substring("example_value", 1, 50))
+    example = F.when(F.col("example_value") != "", F.col("example_value"))
     head = schemas.select(
         "scope",
         "schema_id",

@@ -103,11 +103,16 @@ def split_row_keys(merged_fields: DataFrame) -> DataFrame:
 
 
 def child_rows(merged_fields: DataFrame) -> DataFrame:
-    """Data side of the child tables: one row per entity and row, cells as a map."""
+    """Data side of the child tables: one row per entity and table row, cells as a map.
+
+    ``row_num`` is the row's index in its table; ``row_of`` names the table over a corpus.
+    """
     cells = split_row_keys(merged_fields).filter(F.col("row_num").isNotNull())
-    return cells.groupBy(*ENTITY, F.col("row_num").cast("int").alias("row_num")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields")
-    )
+    return cells.groupBy(
+        *ENTITY,
+        F.regexp_extract("row_num", "^(?:(.*):)?", 1).alias("row_of"),
+        F.element_at(F.split("row_num", ":"), -1).cast("int").alias("row_num"),
+    ).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
 
 
 def is_key_candidate(field: Column, has_conflict: Column, base_type: Column) -> Column:

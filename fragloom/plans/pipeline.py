@@ -39,7 +39,7 @@ def run(
     tagged = staged(tagged_fragments(docs, text=text, keys=keys, external=external), "fragments")
     groups = staged(resolve.entity_fragments(tagged, keys=keys, scope=scope), "groups")
     facts = staged(
-        merge.facts(tagged, groups, keys=keys, match=match, exclusions=exclusions), "facts"
+        merge.facts(tagged, groups, keys=keys, match=match, exclusions=exclusions, scope=scope), "facts"
     )
     fields = staged(merge.merged_fields(facts), "merged")
     merged = merge.merged(fields, groups)

@@ -134,8 +134,7 @@ def _(spark, sf):
 @register("src_2_landing_folder")
 def _(spark, sf):
     files = readers.landed(spark.read.format("binaryFile").load(sf), "driver", "1")
-    kept = files.filter(F.col("size") <= rules.MAX_FILE_BYTES)
-    return kept.select("filename", "size", "source_id", "version")
+    return files.select("filename", "size", "source_id", "version", "status")
 
 
 def _brand_schemas(spark, sf) -> DataFrame:
@@ -661,7 +660,7 @@ _JUNK = (
 
 @register(
     "nrm_3_repair_validation",
-    "SELECT p_partkey AS doc_id, p_partkey % 4 = 2 AS accepted FROM part",
+    "SELECT p_partkey AS doc_id, p_partkey % 2 = 0 AS accepted FROM part",
 )
 def _(spark, sf):
     text = F.expr(_JUNK)
@@ -1155,21 +1154,17 @@ def _by_doc(df: DataFrame, *columns) -> DataFrame:
 
 
 def _loose_docs(spark, sf) -> DataFrame:
-    """Damaged objects; every second one carries a value too long to be one."""
-    text = F.concat(
-        F.lit("{code: WA-"),
-        1000 + F.col("s_suppkey"),
-        F.lit(" x, note: "),
-        F.when(F.col("s_suppkey") % 2 == 0, F.repeat(F.lit("x"), F.lit(230))).otherwise(F.lit("short")),
-        F.lit("}"),
-    )
+    """Damaged objects; every second one has one key twice, the others a long value."""
+    code = F.concat(F.lit("code: WA-"), 1000 + F.col("s_suppkey"), F.lit(" x"))
+    note = F.concat(F.lit("note: "), F.repeat(F.lit("x"), F.lit(230)))
+    text = F.concat(F.lit("{"), code, F.lit(", "), F.when(F.col("s_suppkey") % 2 == 0, code).otherwise(note), F.lit("}"))
     return corpus.spread(table(spark, sf, "supplier")).select(F.col("s_suppkey").alias("doc_id"), text.alias("text"))
 
 
 @register(
     "mrg_1_damaged_objects_skipped",
-    "SELECT s_suppkey AS doc_id, concat('wa-', 1000 + s_suppkey) AS entity_id, s_suppkey % 2 = 0 AS is_empty, "
-    "CAST(CASE WHEN s_suppkey % 2 = 0 THEN 0.0 ELSE 0.9 END AS DOUBLE) AS quality_score FROM supplier",
+    "SELECT s_suppkey AS doc_id, concat('wa-', 1000 + s_suppkey) AS entity_id, false AS is_empty, "
+    "CAST(0.9 AS DOUBLE) AS quality_score FROM supplier WHERE s_suppkey % 2 = 1",
 )
 def _(spark, sf):
     tagged = staged(pipeline.tagged_fragments(_loose_docs(spark, sf)), "loose")
@@ -1991,7 +1986,7 @@ def _(spark, sf):
 
 @register(
     "qry_7_unknown_columns_strict",
-    "SELECT p_partkey, 'Unknown columns: price_usd, types, bogus' AS error FROM part",
+    "SELECT p_partkey, 'Unknown columns: price_usd, types, bogus, DESC' AS error FROM part",
 )
 def _(spark, sf):
     log = table(spark, sf, "part").select(
@@ -2161,3 +2156,136 @@ def _(spark, sf):
     ingest.register_batch(schemas, 0, f"{made}/registry", ["seq"])
     back = readers.read_registry(spark, f"{made}/registry")
     return back.groupBy("entity_type").agg(F.count("*").alias("n_versions"), F.max("version").alias("newest"))
+
+
+# --- long and awkward inputs: no length decides what is found ---------------------------
+
+_LINES = "SELECT l_orderkey // 2000 AS doc_id, l_orderkey, l_linenumber FROM lineitem"
+
+
+def _line_docs(spark, sf, head: str, line, tail: str) -> DataFrame:
+    """One text per 2,000 order keys, with a piece for each of their line items."""
+    own = table(spark, sf, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 2000).alias("doc_id"), F.struct("l_orderkey", "l_linenumber").alias("at")
+    )
+    listed = own.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("all"))
+    text = F.concat(F.lit(head), F.array_join(F.transform("all", line), ",\n"), F.lit(tail))
+    return listed.select("doc_id", text.alias("text"))
+
+
+@register(
+    "frg_4_long_objects",
+    "WITH texts AS (SELECT doc_id, concat('{', string_agg(concat('\"o', l_orderkey, 'n', l_linenumber, '\": \"', "
+    f"repeat('x', 200), '\"'), concat(',', chr(10)) ORDER BY l_orderkey, l_linenumber), '}}') AS t FROM ({_LINES}) GROUP BY doc_id) "
+    "SELECT doc_id, 'JSON' AS format, CAST(0 AS BIGINT) AS frag_start, CAST(length(t) AS BIGINT) AS frag_end FROM texts",
+)
+def _(spark, sf):
+    def line(x):
+        return F.concat(F.lit('"o'), x["l_orderkey"], F.lit("n"), x["l_linenumber"], F.lit('": "'), F.repeat(F.lit("x"), F.lit(200)), F.lit('"'))
+
+    found = detect.fragments(_line_docs(spark, sf, "{", line, "}"))
+    return found.select("doc_id", "format", F.col("start").cast("bigint").alias("frag_start"), F.col("end").cast("bigint").alias("frag_end"))
+
+
+@register(
+    "frg_7_long_csv",
+    f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY l_orderkey, l_linenumber) - 1 AS INTEGER) AS row_idx, "
+    f"CAST(l_orderkey AS VARCHAR) AS order_key, CAST(l_linenumber AS VARCHAR) AS line FROM ({_LINES})",
+)
+def _(spark, sf):
+    own = table(spark, sf, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 2000).alias("doc_id"), F.struct("l_orderkey", "l_linenumber").alias("at")
+    )
+    listed = own.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("all"))
+    lines = F.array_join(F.transform("all", lambda x: F.concat(x["l_orderkey"], F.lit(","), x["l_linenumber"])), "\n")
+    found = normalize.records(normalize.parse(detect.fragments(listed.select("doc_id", F.concat(F.lit("order,line\n"), lines).alias("text")))))
+    return found.select("doc_id", "row_idx", F.col("fields")["order"].alias("order_key"), F.col("fields")["line"].alias("line"))
+
+
+def _part_docs(spark, sf, text: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(text).alias("text"))
+
+
+@register(
+    "frg_2_long_front_matter",
+    "SELECT p_partkey AS doc_id, CAST(4 AS BIGINT) AS frag_start, CAST(3023 + p_partkey % 7 AS BIGINT) AS frag_end FROM part",
+)
+def _(spark, sf):
+    text = (
+        "concat('---', chr(10), 'source: part', chr(10), 'note: ', repeat('y', int(3000 + p_partkey % 7)), chr(10), '---', chr(10), "
+        "'Words that follow the front matter.')"
+    )
+    found = _of(detect.fragments(_part_docs(spark, sf, text)), "YAML_FRONTMATTER")
+    return found.select("doc_id", F.col("start").cast("bigint").alias("frag_start"), F.col("end").cast("bigint").alias("frag_end"))
+
+
+@register(
+    "frg_10_long_statements",
+    "SELECT p_partkey AS doc_id, concat('SELECT ', repeat('c' || chr(10) || ', ', 270), 'x FROM items WHERE id = ', p_partkey, ';') AS text FROM part",
+)
+def _(spark, sf):
+    text = "concat('SELECT ', repeat(concat('c', chr(10), ', '), 270), 'x FROM items WHERE id = ', p_partkey, ';')"
+    return _of(detect.fragments(_part_docs(spark, sf, text)), "SQL").select("doc_id", "text")
+
+
+@register(
+    "nrm_1_mixed_lists",
+    _values(
+        [(0, 0, "id", "integer", "p_partkey"), (1, 0, "value", "integer", "7"), (2, 0, "value", "string", "'txt'"), (3, 0, "value", "string", "'[1, 2]'")],
+        source="(SELECT p_partkey AS doc_id, p_partkey FROM part) AS p",
+    ),
+)
+def _(spark, sf):
+    docs = _part_docs(spark, sf, "concat('[{\"id\": ', p_partkey, '}, 7, \"txt\", [1, 2]]')")
+    rows = docs.withColumn("rows", json_rows("text")).select("doc_id", F.explode("rows").alias("r"))
+    return rows.select("doc_id", F.col("r.row_idx").alias("row_idx"), F.posexplode("r.fields").alias("pos", "f")).select(
+        "doc_id", "row_idx", "pos", "f.*"
+    )
+
+
+@register(
+    "nrm_2_repair_keeps_strings",
+    _values(
+        [
+            (-1, 0, "id", "string", "concat('prod-', p_partkey)"),
+            (-1, 1, "name", "string", "'it''s: x'"),
+            (-1, 2, "url", "string", "concat('https://a.b/c?d=', p_partkey, ',//e')"),
+            (-1, 3, "price", "integer", "5"),
+        ],
+        source="(SELECT p_partkey AS doc_id, p_partkey FROM part) AS p",
+    ),
+)
+def _(spark, sf):
+    text = (
+        "concat('{\"id\": \"prod-', p_partkey, '\", name: \"it', chr(39), 's: x\", /* note */ \"url\": \"https://a.b/c?d=', p_partkey, "
+        "',//e\", \"price\": 5, // last', chr(10), '}')"
+    )
+    return _long(normalize.parse(detect.fragments(_part_docs(spark, sf, text))), "MALFORMED_JSON")
+
+
+@register(
+    "nrm_7_separators",
+    _values(
+        [(-1, 0, "code", "string", "concat('c', p_partkey)"), (-1, 1, "name", "string", "p_name"), (-1, 2, "link", "string", "'https://a.b/c'")],
+        source="(SELECT p_partkey AS doc_id, * FROM part) AS p",
+    ),
+)
+def _(spark, sf):
+    text = "concat('code = c', p_partkey, chr(10), 'name: ', p_name, chr(10), 'link = https://a.b/c')"
+    return _long(normalize.parse(detect.fragments(_part_docs(spark, sf, text))), "KEY_VALUE")
+
+
+@register(
+    "sch_3_corpus_child_rows",
+    "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'prod-7001' ELSE concat('prod-', 80000 + s_suppkey) END AS entity_id, "
+    "CAST(0 AS INTEGER) AS row_num, concat('shade', s_suppkey) AS colour FROM supplier",
+)
+def _(spark, sf):
+    """Half of all documents have a table row of one item; none may replace another's."""
+    item = "CASE WHEN s_suppkey % 2 = 0 THEN 'prod-7001' ELSE concat('prod-', 80000 + s_suppkey) END"
+    text = F.expr(f"concat('ProductID,Colour', chr(10), {item}, ',shade', s_suppkey)")
+    docs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text"))
+    tagged = staged(pipeline.tagged_fragments(docs), "shades")
+    groups = resolve.entity_fragments(tagged, scope="corpus")
+    rows = schema.child_rows(merge.merged_fields(merge.facts(tagged, groups, scope="corpus")))
+    return rows.select("entity_id", "row_num", F.col("fields")["Colour"].alias("colour"))

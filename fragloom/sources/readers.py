@@ -15,8 +15,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.xxhash64("path").alias("doc_id"), "path", F.col("value").alias("text"))
 
 
-def landed(files: DataFrame, source_id: str | None = None, version: str | None = None) -> DataFrame:
-    """Files of a landing folder with their provenance; works on streams as well."""
+def landed(
+    files: DataFrame, source_id: str | None = None, version: str | None = None, max_bytes: int | None = rules.MAX_FILE_BYTES
+) -> DataFrame:
+    """Files of a landing folder with their provenance; works on streams as well.
+
+    Every file is there.  ``status`` is ``accepted``, or ``rejected`` with the ``reason``;
+    without ``max_bytes`` no size is refused.
+    """
+    refused = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     return files.select(
         F.xxhash64("path").alias("doc_id"),
         F.element_at(F.split("path", "/"), -1).alias("filename"),
@@ -25,27 +32,32 @@ def landed(files: DataFrame, source_id: str | None = None, version: str | None =
         F.lit(source_id).cast("string").alias("source_id"),
         F.lit(version).cast("string").alias("version"),
         F.col("modificationTime").alias("uploaded_at"),
+        F.when(refused, F.lit("rejected")).otherwise(F.lit("accepted")).alias("status"),
+        F.when(refused, F.lit(f"larger than {max_bytes} bytes")).alias("reason"),
         "content",
     )
 
 
 def read_landing(
-    spark: SparkSession, path: str, source_id: str | None = None, version: str | None = None
+    spark: SparkSession,
+    path: str,
+    source_id: str | None = None,
+    version: str | None = None,
+    max_bytes: int | None = rules.MAX_FILE_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Accepted documents and rejected files (above the size limit) of a landing folder."""
-    files = landed(spark.read.format("binaryFile").load(path), source_id, version)
+    """Accepted documents and rejected files of a landing folder."""
+    files = landed(spark.read.format("binaryFile").load(path), source_id, version, max_bytes)
     return accepted(files), rejected(files)
 
 
 def accepted(files: DataFrame) -> DataFrame:
     text = F.decode("content", "UTF-8").alias("text")
-    kept = files.filter(F.col("size") <= rules.MAX_FILE_BYTES)
-    return kept.select(*[c for c in files.columns if c != "content"], text)
+    kept = files.filter("status = 'accepted'")
+    return kept.select(*[c for c in files.columns if c not in ("content", "status", "reason")], text)
 
 
 def rejected(files: DataFrame) -> DataFrame:
-    reason = F.lit(f"larger than {rules.MAX_FILE_BYTES} bytes").alias("reason")
-    return files.filter(F.col("size") > rules.MAX_FILE_BYTES).drop("content").select("*", reason)
+    return files.filter("status = 'rejected'").drop("content", "status")
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import detect, evolve
-from ..sources.readers import accepted, landed, read_registry
+from ..sources.readers import accepted, landed, read_registry, rejected
 from ..sources.writers import append_versions
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -22,6 +22,18 @@ def stream_fragments(
     return stream_documents(docs, output, checkpoint, keys=("doc_id", "path"), js_first=js_first)
 
 
+def stream_rejects(spark: SparkSession, landing: str, output: str, checkpoint: str) -> StreamingQuery:
+    """The files that :func:`stream_fragments` refuses, each with the reason."""
+    files = spark.readStream.format("binaryFile").schema(_FILES).load(landing)
+    refused = rejected(landed(files))
+    return (
+        refused.writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(output)
+    )
+
+
 def stream_documents(
     docs: DataFrame,
     output: str,

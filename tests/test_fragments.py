@@ -99,12 +99,22 @@ def test_partitioning_does_not_matter(docs, found):
 
 
 def test_long_run_of_lines(spark):
-    """Blocks stop after 200 lines and the next one takes over; nothing is dropped."""
+    """A run is one block, however long it is."""
     text = "\n".join(f"a{i},b" for i in range(450))
     rows = detect.fragments(spark.createDataFrame([(1, text)], "doc_id long, text string")).filter(
         F.col("format") == "CSV"
     ).collect()
-    assert sorted(int(r["meta"]["rows"]) for r in rows) == [50, 200, 200]
+    assert [int(r["meta"]["rows"]) for r in rows] == [450]
+
+
+def test_many_braces_that_never_close(spark):
+    """Each brace is looked at once: a text of unclosed ones is no slower than its length."""
+    from fragloom.functions.kernels import closing_brace
+
+    text, known = "{a: " * 50_000, {}
+    assert all(closing_brace(text, at, len(text), known) is None for at in range(0, len(text), 4))
+    assert closing_brace('{"a": "}", b: {}}', 0, 17, {}) == 17
+    assert closing_brace("{it's {a: 1}", 0, 12, {}) is None
 
 
 @pytest.mark.parametrize(
@@ -112,8 +122,11 @@ def test_long_run_of_lines(spark):
     [
         ("{a: 1, // note\n b: 'x',}", {"a": "1", "b": "x"}),
         ('{"a": {"b": 1, "c": [1,2,]', {"a_b": "1", "a_c": "[1, 2]"}),
-        ("{'b': 1}", None),  # quoted keys are not touched
-        ('{"a": 1, ', None),  # a comma before a brace that is only added later stays
+        ("{'b': 1}", {"b": "1"}),
+        ('{"a": 1, ', {"a": "1"}),
+        ("{\"u\": 'https://a.b//c', /* x */ n: \"it's: so\", 'q': 'don\\'t',}", {"u": "https://a.b//c", "n": "it's: so", "q": "don't"}),
+        ('{"a": [1, 2, {"b": "]"', {"a": "[1, 2, {'b': ']'}]"}),
+        ("{a: b c}", None),  # bare words are left to the loose pairs
     ],
 )
 def test_repair(spark, text, fields):
