@@ -17,12 +17,14 @@ that a repeat covers is removed.
   words right of the anchor and the node of those left of it are the same, deep enough to
   span the window.  All but the first window of such a node are repeats.
 
-Words are compared as they are; hashes only choose anchors and route rows.
+Words are compared as they are below a prefix of six words; a prefix as long as the window
+is compared by 128 bits of its hash.  Other hashes only choose anchors and route rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from base64 import b64encode
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,10 +140,12 @@ def _suffixes(marked: DataFrame, group: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[bytes, tuple[int, int, int]] = {}  # of prefixes as long as a window
+        least: dict[bytes, tuple[int, int]] = {}  # of prefixes as long as a window
 
         def whole() -> list[tuple]:
-            return [(key, doc, at, 0, 0, 0, words) for words, (doc, at, key) in least.items()]
+            return [
+                (int.from_bytes(prefix[:8], "little", signed=True), *at, 0, 0, 0, b64encode(prefix[8:])) for prefix, at in least.items()
+            ]
 
         for batch in batches:
             out: list[tuple] = []
@@ -151,7 +155,6 @@ def _suffixes(marked: DataFrame, group: int) -> DataFrame:
                 if not often:
                     continue
                 words = _split(text)
-                keys = None
                 for key, place, first, last in zip(*(x.tolist() for x in anchors(words)), strict=True):
                     n = often.get(place, 0)
                     if not n:
@@ -159,18 +162,16 @@ def _suffixes(marked: DataFrame, group: int) -> DataFrame:
                     if n <= group:
                         out.append((key, doc, tie + place, place - first, place - last, place - first, b" ".join(words[first : last + WINDOW])))
                         continue
-                    if keys is None:
-                        keys = _rolled(_word_hashes(words), WINDOW).tolist()
                     known_earlier = 0
                     for start in range(first, last + 1):
-                        content = b" ".join(words[start : start + WINDOW])
-                        mine = (doc, tie + start, keys[start])
-                        known = least.setdefault(content, mine)
-                        if known[:2] < mine[:2]:
+                        prefix = xxhash.xxh3_128_digest(b" ".join(words[start : start + WINDOW]))
+                        mine = (doc, tie + start)
+                        known = least.setdefault(prefix, mine)
+                        if known < mine:
                             known_earlier |= 1 << place - start
-                        elif mine[:2] < known[:2]:
-                            least[content] = mine
-                            out.append((known[0] ^ known[2], known[0], known[1], -1, 1, 0, b""))
+                        elif mine < known:
+                            least[prefix] = mine
+                            out.append((known[0] ^ key, *known, -1, 1, 0, b""))
                     if known_earlier:
                         out.append((doc ^ key, doc, tie + place, -1, known_earlier, 0, b""))
                 if len(least) > _COPIES:
