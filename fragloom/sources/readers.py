@@ -62,7 +62,7 @@ def rejected(files: DataFrame) -> DataFrame:
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """All schema versions of a registry written by ``append_versions``."""
-    return spark.read.schema(VERSIONS_DDL).parquet(path)
+    return spark.read.schema(VERSIONS_DDL).option("recursiveFileLookup", True).parquet(path)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:

@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_versions(versions: DataFrame, path: str) -> None:
-    versions.write.mode("append").partitionBy("entity_type").parquet(path)
+def append_versions(versions: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Add versions to a registry.  Those of a numbered batch have a folder of their own, so
+    that writing the batch once more replaces it and adds nothing."""
+    if batch_id is None:
+        versions.write.mode("append").parquet(path)
+    else:
+        versions.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+
+
+def batch_folder(path: str, batch_id: int) -> str:
+    return f"{path}/batch-{batch_id:012d}"
 
 
 def write_ddl(ddl: DataFrame, path: str) -> None:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import detect, evolve
+from ..plans.staging import staged
 from ..sources.readers import accepted, landed, read_registry, rejected
-from ..sources.writers import append_versions
+from ..sources.writers import append_versions, batch_folder
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -53,25 +55,22 @@ def stream_documents(
 
 
 def register_batch(batch: DataFrame, batch_id: int, registry: str, order: list[str]) -> None:
-    """Append the schemas of one micro-batch; a batch that was appended before is skipped."""
+    """Register the schemas of one micro-batch, with a single write that may be repeated.
+
+    The batch is held against what the registry has of other batches, so a batch that runs
+    again, after a failure at whatever point, leaves what it would have left the first time.
+    """
     spark = batch.sparkSession
-    marks = f"{registry}_batches"
-    done = spark.createDataFrame([], "batch_id bigint")
-    try:
-        done = spark.read.schema("batch_id bigint").parquet(marks)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    if not done.filter(F.col("batch_id") == batch_id).isEmpty():
-        return
-    known = spark.createDataFrame([], evolve.VERSIONS_DDL)
+    own = F.contains("_metadata.file_path", F.lit(batch_folder("", batch_id)))
     try:
-        known = read_registry(spark, registry)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+        known = read_registry(spark, registry).filter(~own)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    append_versions(evolve.process(batch, known, order)["versions"], registry)
-    spark.createDataFrame([(batch_id,)], "batch_id bigint").write.mode("append").parquet(marks)
+        known = spark.createDataFrame([], evolve.VERSIONS_DDL)
+    # Written aside first: the folder to be replaced is among those that are read.
+    found = staged(evolve.process(batch, known, order)["versions"], "batch-versions")
+    append_versions(found, registry, batch_id)
 
 
 def stream_versions(schemas: DataFrame, registry: str, checkpoint: str, order: list[str]) -> StreamingQuery:
