@@ -37,7 +37,7 @@ SPACE = "▁"
 DROPOUT = 0.1
 VARIANTS = 2
 #: Spelt cuts a worker remembers; beyond it, the memory is begun anew.
-MEMORY = 500_000
+MEMORY = 400_000
 _CUTS = re.compile(r" *[^ ]+| +").findall
 _MASK = (1 << 64) - 1
 _NEVER = np.int64(1 << 62)
