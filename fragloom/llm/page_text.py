@@ -61,6 +61,7 @@ _WORDS = set(
 )
 #: Parts of a page that may carry one of those words and still be the text's own frame.
 _FRAMES = set("html body main article".split())
+_TEXTS = set("post entry story main content".split())
 _CLOSED_BY = {
     "p": set("p div article section header footer main aside nav ul ol dl table form h1 h2 h3 h4 h5 h6 pre blockquote hr figure address details fieldset".split()),
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
@@ -207,6 +208,8 @@ def _decoration(name: str, attributes: dict[str, str], framed: bool) -> bool:
     words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", attributes.get("class", "") + " " + attributes.get("id", "")).lower()))
     if not framed and "header" in words and not words & {"article", "post", "entry", "content"}:
         return True
+    if name == "article" and words & _TEXTS:
+        return False  # such as "post has-comments"
     return bool(words & _WORDS)
 
 

@@ -136,6 +136,7 @@ PAGES = [
      "</section><form>f</form>", "kept text"),
     ("<article><p>a<script>var t='</p>';</script> b<style>p{}</style></p><aside>no</aside><!-- <p>no</p> --><p>c &lt;d&gt; &#233;</article><p>out",
      "a b c <d> é"),
+    ('<article class="post has-comments"><p>kept</p></article><article class="comment">no</article>', "kept"),
     ("a < b and <3", "a < b and <3"), (None, ""), ("", ""), ("<nav>only</nav>", ""), ('<p title="a>b">x</p><p hidden>y</p>', "x"),
     ("<ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table>", "one two c1 c2"), ("<article><p>" + "w " * 50_000 + "</article>", ("w " * 50_000).strip()),
 ]
