@@ -37,7 +37,7 @@ SPACE = "▁"
 DROPOUT = 0.1
 VARIANTS = 2
 #: Spelt cuts a worker remembers; beyond it, the memory is begun anew.
-MEMORY = 400_000
+MEMORY = 250_000
 _CUTS = re.compile(r" *[^ ]+| +").findall
 _MASK = (1 << 64) - 1
 _NEVER = np.int64(1 << 62)
@@ -286,21 +286,18 @@ def encode(
     and dropout gives the same ids in every run; repeated rows are alike.  ``out_col``
     replaces a column of that name.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != out_col]).alias("row"),
-        F.col(id_col).cast("string").alias("key"),
-        F.col(text_col).alias("text"),
-    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != out_col]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, seed, dropout, variants)
         for batch in _sliced(batches):
-            owners, texts = iter(batch.column(1).to_pylist()), batch.column(2).to_pylist()
+            row = batch.column(0)
+            owners, texts = iter(row.field(id_col).to_pylist()), row.field(text_col).to_pylist()
             spelt = [x for run in parts([t or "" for t in texts], _RUN) for x in codec.encode_all(run, list(islice(owners, len(run))))]
             ends = np.cumsum([0, *(len(x) for x in spelt)])
             offsets = pa.array(ends, pa.int32(), mask=np.array([*(t is None for t in texts), False]))
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(spelt), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["row", out_col])
+            yield pa.RecordBatch.from_arrays([row, ids], names=["row", out_col])
 
     schema = T.StructType([rows.schema["row"], T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(run, schema).select("row.*", out_col)
@@ -309,14 +306,12 @@ def encode(
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns of ``rows`` and the text of the ids; null ids have a null text.
     ``out_col`` replaces a column of that name."""
-    whole = rows.select(
-        F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != out_col]).alias("row"), F.col(ids_col).alias("ids")
-    )
+    whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != out_col]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, 0, 0.0, 1)
         for batch in _sliced(batches):
-            ids = batch.column(1)
+            ids = batch.column(0).field(ids_col)
             values, offsets, known = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_pylist()
             texts = [codec.decode(values[a:b]) if k else None for a, b, k in zip(offsets[:-1], offsets[1:], known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", out_col])
