@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from fragloom.llm import exact_dedup, language_id, mixing, piece_codec, simhash_dedup
-from fragloom.llm.shared import checkpoint_dir
+from fragloom.llm.shared import checkpoint_dir, row_hash
 
 
 #: Documents whose language is known with less than this are rejected, as are those without
@@ -38,9 +39,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece with merge-dropout: ids of every text, with the text decoded from them."""
+    """SentencePiece with merge-dropout: ids of every text, with the text decoded from them.
+    A document that the mix takes twice is spelt anew the second time."""
     model = public_tokenizers.path(PIECES)
-    return piece_codec.decode(piece_codec.encode(docs, model, seed=PIECE_SEED), model)
+    alike = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), row_hash(docs)).orderBy("_place")
+    numbered = docs.withColumn("_place", F.monotonically_increasing_id()).withColumn("_copy", F.row_number().over(alike))
+    in_order = numbered.repartitionByRange("_place").sortWithinPartitions("_place").drop("_place")
+    spelt = piece_codec.encode(in_order, model, seed=PIECE_SEED, copy_col="_copy").drop("_copy")
+    return piece_codec.decode(spelt, model)
 
 
 STAGES = [

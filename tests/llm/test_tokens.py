@@ -132,3 +132,25 @@ def test_no_rows(spark, no_docs):
     path = folder(spark)
     assert token_counts.token_counts(no_docs, folder(spark), BPE).count() == 0
     assert token_files.read(spark, path, token_files.write(no_docs, path, BPE)).count() == 0
+
+
+def test_a_word_is_spelt_anew_wherever_it_stands(spark):
+    word = " internationalisation"
+    codec = piece_codec.Codec(PIECES, 3)
+    ids = codec.encode_all([word * 400], [7])[0]
+    ends = np.flatnonzero(np.char.startswith(np.array([codec.pieces.bytes_of[i].decode() for i in ids.tolist()]), " "))
+    assert len({tuple(x.tolist()) for x in np.split(ids, ends)}) > 20
+    spell = codec.pieces.spell
+    share = np.mean([spell(" a", k, 0.1) == spell(" a", 0, 0.0) for k in range(3000)])  # one candidate
+    assert abs(share - 0.9) < 0.03
+    rows = spark.createDataFrame([(1, c, word * 40) for c in (0, 0, 1)] + [(2, 0, word * 40)], "doc_id long, copy int, text string")
+    got = [tuple(r.ids) for r in piece_codec.encode(rows, PIECES, copy_col="copy").orderBy("doc_id", "copy").collect()]
+    assert got[0] == got[1] and len(set(got)) == 3
+
+
+def test_memory_does_not_change_spellings(monkeypatch):
+    texts = [r[1] or "" for r in corpus.rows()] + ["x" * 100 + " ünder ▁ 日本"]
+    want = piece_codec.Codec(PIECES, 1).encode_all(texts, list(range(len(texts))))
+    monkeypatch.setattr(piece_codec, "MEMORY", 3)
+    codec = piece_codec.Codec(PIECES, 1)
+    assert all(np.array_equal(codec.encode_all([t], [i])[0], w) for i, (t, w) in enumerate(zip(texts, want, strict=True)))
