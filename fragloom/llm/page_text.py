@@ -10,9 +10,9 @@ navigation, advert, form or the like.  What remains inside ``article`` or ``main
 a page without them in the body, is the text.
 
 The counts are combined per (host, path, value) and then per (host, path), so that a host
-with a third of all pages is counted like any other.  A branch is judged only if it stands
-on at least ``SUPPORT`` of the host's pages, so a host has at most ``1 / SUPPORT`` times as
-many of them as a page has elements.
+with a third of all pages is counted like any other.  A branch is judged if it stands on
+``LEAST_BRANCH`` pages, however many its host has.  A host's branches of decoration are
+never one list: they meet the paths of each page in a salted join.
 """
 
 from __future__ import annotations
@@ -23,17 +23,17 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_value, staged
+from .shared import by_value, looked_up, staged
 
 by_value(__name__)
 
-#: Pages a host must have for its branches to be judged, and the share of them a branch needs.
+#: Pages a host must have for its branches to be judged, and pages a branch must stand on.
 LEAST_PAGES = 8
-SUPPORT = 0.01
+LEAST_BRANCH = 4
 #: Branches whose presentation and content both vary less than this are decoration.
 LEAST_IMPORTANCE = 0.3
 
@@ -221,7 +221,7 @@ def _host(url: str):
 
 
 def decorations(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """The merged trees' branches of low importance: ``host, paths``."""
+    """The merged trees' branches of low importance: ``host, path``."""
     chosen = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +244,31 @@ def decorations(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     branches = paths.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max("kind").alias("kind"), F.max(varies).alias("importance"))
     hosts = branches.filter("kind = -1").select("host", F.col("pages").alias("host_pages"))
     low = branches.filter((F.col("kind") >= 0) & (F.col("importance") < least))
-    low = low.join(hosts, "host").filter(
-        (F.col("host_pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_PAGES / 2) & (F.col("pages") >= SUPPORT * F.col("host_pages"))
-    )
-    return low.groupBy("host").agg(F.collect_list("path").alias("paths"))
+    judged = hosts.filter(F.col("host_pages") >= LEAST_PAGES)
+    return low.filter(F.col("pages") >= LEAST_BRANCH).join(judged, "host", "left_semi").select("host", "path")
+
+
+def _page_key(id_col: str, url_col: str, html_col: str) -> Column:
+    """Tells pages apart; wholly equal ones share it."""
+    return F.struct(F.col(id_col).cast("string").alias("id"), F.xxhash64(url_col, html_col).alias("hash"))
+
+
+def removed_paths(pages: DataFrame, low: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``page, paths`` of the pages that have branches of ``low``: the page's key, and those
+    of its own paths."""
+    chosen = pages.select(_page_key(id_col, url_col, html_col).alias("page"), _host(url_col).alias("host"), F.col(html_col).alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(Page(html).branches()) for html in batch.column(2).to_pylist()]
+            owner = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+            paths = pa.array([path for own in found for path in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), paths], names=["page", "host", "path"])
+
+    schema = T.StructType([chosen.schema["page"], chosen.schema["host"], T.StructField("path", T.LongType())])
+    own = chosen.mapInArrow(run, schema).select("page", F.struct("host", "path").alias("branch"))
+    met = looked_up(own, low.select(F.struct("host", "path").alias("branch")), "branch", "page")
+    return met.groupBy("page").agg(F.collect_set(F.col("branch")["path"]).alias("paths"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -257,10 +278,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     a host share the host "".  Repeated rows each give a row; empty tables give an empty
     result.
     """
-    found = staged(decorations(pages, url_col, html_col), "decorations")
+    low = staged(decorations(pages, url_col, html_col), "decorations")
+    found = staged(removed_paths(pages, low, id_col, url_col, html_col), "removed-paths")
     chosen = pages.select(
-        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("host")
-    ).join(found, "host", "left").select("page_id", "url", "html", "paths")
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _page_key(id_col, url_col, html_col).alias("page")
+    ).join(found, "page", "left").select("page_id", "url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -162,6 +162,14 @@ def test_site_decoration_is_learnt(spark):
     assert got == {i: f"Text {i} of {i * 7} more {i}" for i in range(30)} | {100 + i: "Same on every page" for i in range(3)}
 
 
+def test_decoration_on_few_pages_of_a_large_host_is_removed(spark):
+    block = '<div class="x1"><p>Same block</p></div>'
+    pages = [(i if i else None, "https://big.example/p", f'<body>{block if i < 5 else ""}<div class="x2"><p>Text {i}</p></div></body>') for i in range(1000)]
+    df = spark.createDataFrame(pages + pages[:2], "page_id long, url string, html string")
+    got = sorted(r.text for r in page_text.main_text(df).collect())
+    assert got == sorted([f"Text {i}" for i in range(1000)] + ["Text 0", "Text 1"])
+
+
 def test_copies_of_one_article_keep_their_text(spark):
     df = spark.createDataFrame([(i, "http://a.example/", "<article><p>one text</p></article>") for i in range(40)], "page_id long, url string, html string")
     assert {r.text for r in page_text.main_text(df).collect()} == {"one text"}
