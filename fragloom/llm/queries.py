@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_search, exact_dedup, language_id, mixing, page_text, piece_codec, simhash_dedup, substring_dedup, token_counts, token_files
+from . import (
+    bm25_search, exact_dedup, language_id, mixing, page_text, periodic_runs, piece_codec, simhash_dedup, substring_dedup, token_counts,
+    token_files,
+)
 from .shared import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +180,35 @@ def _(spark, sf):
     docs = table(spark, sf, "documents")
     asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
     return bm25_search.search(docs, asked)
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, with a tenth of the texts, drawn by id, repeating their words from
+    some word on."""
+    drawn = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+    sized = docs.select("doc_id", "text", F.when(drawn % 10 == 0, words).alias("w"), F.floor(drawn / 10).alias("g"))
+    n = F.size("w")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    return sized.select("doc_id", F.when(F.col("w").isNotNull() & (n > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+@register("op12_periodic_runs")
+def _(spark, sf):
+    found = periodic_runs.with_runs(_made_periodic(table(spark, sf, "documents")), carry=["doc_id"])
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"], r["length"]))), F.lit(0))
+    best = F.struct(best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
