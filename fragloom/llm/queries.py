@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bm25_search, exact_dedup, language_id, mixing, page_text, periodic_runs, piece_codec, simhash_dedup, substring_dedup, token_counts,
-    token_files,
+    bm25_search, collocations, exact_dedup, language_id, mixing, page_text, periodic_runs, piece_codec, simhash_dedup, substring_dedup, token_counts,
+    token_files, warc,
 )
 from .shared import checkpoint_dir, table
 
@@ -212,3 +212,41 @@ def _(spark, sf):
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+_PIECES = "regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')"
+
+
+@register(
+    "op13_collocations",
+    "WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM "
+    f"(SELECT lang, unnest({_PIECES}) AS piece FROM documents)), "
+    "places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), "
+    "sized AS (SELECT lang, w, i, unnest(range(1, 6)) AS k FROM places), "
+    "f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f FROM sized "
+    "WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100), "
+    "total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang), "
+    "c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1), "
+    "parts AS (SELECT x.lang, array_to_string(x.w[s:s + m - 1], ' ') AS phrase, max(x.a) AS onward FROM c x, "
+    "(SELECT unnest(range(1, 5)) AS s) ss, (SELECT unnest(range(2, 5)) AS m) mm WHERE m < x.k AND s + m - 1 <= x.k GROUP BY ALL), "
+    "kept AS (SELECT c.* FROM c LEFT JOIN parts USING (lang, phrase) WHERE onward IS NULL OR 100 * onward < 100 * a), "
+    "cuts AS (SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS cut FROM kept), "
+    "scored AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score FROM cuts c "
+    "JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ') "
+    "JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ') JOIN total t ON t.lang = c.lang), "
+    "lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1) "
+    "SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM lowest "
+    "WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER best <= 2000",
+)
+def _(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@register("op11_warc")
+def _(spark, sf):
+    raw, path = _folder(spark, "warc-monolithic"), _folder(spark, "warc")
+    records = warc.write_archives(table(spark, sf, "pages"), raw)
+    manifest = warc.normalise(records, raw, path, warc.repeats(records))
+    return warc.read_records(spark, path, manifest).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
