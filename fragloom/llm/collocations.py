@@ -6,11 +6,12 @@ every shorter count is read off the graph: a phrase stands as often as the flow
 it (the phrases one word longer that begin with it) plus a correction, the places where the
 piece ends with it.
 
-* Rare edges are dead wood: a phrase that stands often has only pairs that stand often.  A
-  first pass counts words and pairs by 64-bit hashes, and the hashes that reach the threshold
-  become a bitmap of a fixed size.  Equal hashes or bits can only let more through.  A pair
-  that is not in the bitmap ends a piece as far as the graph goes, so that most windows of
-  natural text are cut to one or two words and combine in the task that read them.
+* Rare edges are dead wood: a phrase that stands often has only words, pairs and triples that
+  stand often.  A first pass counts those by 64-bit hashes, and the hashes that reach the
+  threshold become a bitmap of a fixed size.  Equal hashes or bits can only let more through.
+  Where the next pair or triple is not in the bitmap, a piece ends as far as the graph goes,
+  so that most windows of natural text are cut to one or two words and combine in the task
+  that read them.
 * A second pass hands on, for every place, the longest phrase up to ``LONGEST`` words that
   its piece allows.  Phrases themselves are the keys: words are numbered exactly, by the
   words of a task's slice, and written out before they are combined with other tasks'.
@@ -43,7 +44,7 @@ by_value(__name__)
 
 LONGEST = 5
 LEAST, BEST = 100, 2000
-#: Bits of the bitmap of frequent words and pairs: 8 MB, whatever the corpus.
+#: Bits of the bitmap of frequent words, pairs and triples: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
 SLICE = 1 << 22
 _CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -57,17 +58,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _hashes(words: Words, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the word at each place, and of the pair of words that begins there; 0 where
-    the piece ends with that word."""
+def _hashes(words: Words, lang: str) -> list[np.ndarray]:
+    """Hashes of the word, the pair and the triple that begin at each place; 0 where the piece
+    ends before."""
     seed = xxhash.xxh64_intdigest(lang.encode())
     own = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.vocabulary.to_pylist()), np.uint64, len(words.vocabulary))
-    word = own[words.ids]
-    pair = np.zeros(len(word), np.uint64)
-    if len(word) > 1:
-        follows = words.piece[1:] == words.piece[:-1]
-        pair[:-1][follows] = _mixed(word[:-1][follows] * np.uint64(0x9E3779B97F4A7C15) + word[1:][follows])
-    return word, pair
+    found = [own[words.ids]]
+    for k in (1, 2):
+        longer = np.zeros(len(words.ids), np.uint64)
+        at = np.flatnonzero(words.piece[k:] == words.piece[:-k])
+        longer[at] = _mixed(found[-1][at] * np.uint64(0x9E3779B97F4A7C15) + found[0][at + k])
+        found.append(longer)
+    return found
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
@@ -81,12 +83,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
 
 
 def _frequent_hashes(texts: DataFrame, least: int) -> DataFrame:
-    """``hash`` of words and pairs that may stand ``least`` times, and of all that share theirs."""
+    """``hash`` of words, pairs and triples that may stand ``least`` times, and of all that
+    share theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in _slices(batches):
-            word, pair = _hashes(words, lang)
-            found, n = np.unique(np.concatenate([word, pair[pair != 0]]), return_counts=True)
+            found, n = np.unique(np.concatenate([h[h != 0] for h in _hashes(words, lang)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
 
     counted = texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -116,14 +118,13 @@ def longest_phrases(texts: DataFrame, bitmap: np.ndarray, bits: int, longest: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in _slices(batches):
-            word, pair = _hashes(words, lang)
-            n = len(word)
-            alive = (pair != 0) & _known(pair, bitmap, bits)
-            size = _known(word, bitmap, bits).astype(np.int64)
-            going = size > 0
-            for k in range(1, longest):
-                going[n - k :] = False
-                going[: n - k] &= alive[k - 1 : n - 1] if k > 1 else alive[: n - 1]
+            word, pair, triple = ((h != 0) & _known(h, bitmap, bits) for h in _hashes(words, lang))
+            n, size, going = len(word), word.astype(np.int64), word & pair
+            for k in range(2, longest + 1):
+                if k > 2:  # the triple of the last three words
+                    m = max(n - k + 3, 0)
+                    going[m:] = False
+                    going[:m] &= triple[k - 3 : k - 3 + m]
                 size += going
             vocabulary = [w.decode() for w in words.vocabulary.to_pylist()]
             phrases, sizes, counts = [], [], []
