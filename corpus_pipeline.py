@@ -42,10 +42,12 @@ def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece with merge-dropout: ids of every text, with the text decoded from them.
     A document that the mix takes twice is spelt anew the second time."""
     model = public_tokenizers.path(PIECES)
-    alike = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), row_hash(docs)).orderBy("_place")
-    numbered = docs.withColumn("_place", F.monotonically_increasing_id()).withColumn("_copy", F.row_number().over(alike))
-    in_order = numbered.repartitionByRange("_place").sortWithinPartitions("_place").drop("_place")
-    spelt = piece_codec.encode(in_order, model, seed=PIECE_SEED, copy_col="_copy").drop("_copy")
+    taken = {c.lower() for c in docs.columns}
+    place, copy = (next(n for k in range(len(taken) + 1) if (n := "_" * k + name) not in taken) for name in ("_place", "_copy"))
+    alike = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), row_hash(docs)).orderBy(place)
+    numbered = docs.withColumn(place, F.monotonically_increasing_id()).withColumn(copy, F.row_number().over(alike))
+    in_order = numbered.repartitionByRange(place).sortWithinPartitions(place).drop(place)
+    spelt = piece_codec.encode(in_order, model, seed=PIECE_SEED, copy_col=copy).drop(copy)
     return piece_codec.decode(spelt, model)
 
 
