@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import normal_space
+from .shared import normal_space, row_hash
 
 SALTS = 64
 
@@ -28,6 +28,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, salts: int, row) -> Dat
         F.col(id_col).alias("doc_id"),
         normal_space(F.col(text_col)).alias("content"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"),
+        row_hash(docs).alias("tie"),
     ).withColumn("digest", F.sha2("content", 256))
     salted = keyed.groupBy("digest", "content", "salt").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")
@@ -44,7 +45,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, salts: int, row) -> Dat
     winners = winners.withColumn(
         "group_size", F.when(texts > 1, F.raise_error(F.lit("two texts share a digest"))).otherwise(F.col("group_size"))
     )
-    first = F.row_number().over(Window.partitionBy("digest", "salt", "doc_id").orderBy("group_size"))
+    first = F.row_number().over(Window.partitionBy("digest", "salt", "doc_id").orderBy("tie"))
     return (
         keyed.drop("content")
         .join(winners, ["digest", "salt"])
@@ -58,7 +59,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     Texts are equal when they are identical after each run of white space became one
     space; a null text counts as empty.  The row with the smallest id stays; a null id is
     larger than every other.  Rows that repeat an id within a group are a tie: exactly one
-    of the rows with the kept id stays.  An empty table gives an empty result; other
+    of the rows with the kept id stays, the one of the least hash of all columns.  An empty table gives an empty result; other
     columns are not looked at.
     """
     return _judged(docs, id_col, text_col, salts, F.lit(None)).select(

@@ -35,6 +35,12 @@ def test_exact_rows_stay_whole(docs):
     assert len(norm) == len(set(norm)) == exact_dedup.groups(docs).filter("kept").count()
 
 
+def test_the_row_that_stays_does_not_depend_on_partitions(spark):
+    rows = spark.createDataFrame([(1, "one text", i) for i in range(40)], "doc_id long, text string, other int")
+    kept = {exact_dedup.dedup(rows.repartition(n)).collect()[0].other for n in (1, 2, 3, 5, 7)}
+    assert len(kept) == 1
+
+
 def test_a_group_of_most_rows_is_spread(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, cast(id as string), 'copy')").alias("text"))
     got = exact_dedup.groups(df)
