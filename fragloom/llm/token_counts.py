@@ -36,11 +36,9 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def _encoded(missing: DataFrame, tokenizer: str, version: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe.encoder(tokenizer).encode
-        for batch in batches:
-            counts = [len(x) // 4 for run in byte_bpe.parts(batch.column(1).to_pylist()) for x in encode(run)]
+        for rows, _, counts in byte_bpe.encoded(tokenizer, batches, 1):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())],
+                [rows.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())],
                 names=["digest", "version", "n_tokens"],
             )
 
@@ -55,8 +53,10 @@ def fill_cache(docs: DataFrame, cache_path: str, tokenizer: str, text_col: str =
     stored = read_cache(docs.sparkSession, cache_path).filter(F.col("version") == version).select("digest")
     content = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content"))
-    # Equal texts are combined within each task before the shuffle.
-    missing = texts.join(stored, "digest", "left_anti").groupBy("digest", "content").agg(F.count(F.lit(1)))
+    # Equal texts are combined within each task before the shuffle, and once more behind it;
+    # only then are they looked up.  (An anti join would be moved in front of the grouping.)
+    distinct = texts.groupBy("digest").agg(F.any_value("content").alias("content"))
+    missing = distinct.join(stored.distinct().withColumn("known", F.lit(True)), "digest", "left").filter("known IS NULL")
     _encoded(missing, tokenizer, version).write.mode("append").parquet(cache_path)
     return version
 
