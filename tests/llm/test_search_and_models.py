@@ -280,3 +280,10 @@ def test_pipeline_of_no_rows(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         kept = stage(spark, kept, SF)
     assert kept.count() == 0
+
+
+def test_pieces_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "some text", "p", "c", 5), (1, "some text", "p", "c", 5), (2, None, None, None, None)], "doc_id long, text string, _place string, _copy string, __copy int")
+    got = corpus_pipeline.in_pieces(spark, rows, SF)
+    assert got.columns == ["doc_id", "text", "_place", "_copy", "__copy", "ids", "decoded"]
+    assert sorted((r._place or "", r._copy or "", r["__copy"] or 0, r.decoded or "") for r in got.collect()) == [("", "", 0, "")] + [("p", "c", 5, "some text")] * 2

@@ -1,5 +1,6 @@
 """Token counts, token files and piece encoding beside the libraries."""
 
+import io
 import uuid
 import zlib
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import corpus
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -48,6 +50,16 @@ def test_counts_and_cache(spark, docs, library):
     assert token_counts.read_cache(spark, cache).count() == stored + 1  # only the miss is encoded
 
 
+def test_equal_texts_are_encoded_once(spark, library):
+    rows = spark.createDataFrame([(i, "a text that a third of all rows have") for i in range(400)] + [(i, f"text {i}") for i in range(400, 420)], "doc_id long, text string")
+    cache = folder(spark)
+    got = token_counts.token_counts(rows.repartition(7), cache, BPE).collect()
+    assert len(got) == 420 and {r.n_tokens for r in got if r.doc_id < 400} == {len(library("a text that a third of all rows have"))}
+    assert token_counts.read_cache(spark, cache).count() == 21
+    token_counts.fill_cache(rows, cache, BPE)
+    assert token_counts.read_cache(spark, cache).count() == 21
+
+
 def test_another_version_is_a_miss(spark, docs):
     cache = folder(spark)
     spark.createDataFrame([(b"x", "other", 1)], token_counts.CACHE).write.parquet(cache)
@@ -59,10 +71,11 @@ def test_elias_fano_selects():
     rng = np.random.default_rng(1)
     for n, top in ((1, 0), (1, 10), (5, 3), (1000, 10**6), (700, 700), (300, 5)):
         values = np.sort(rng.integers(0, top + 1, n))
-        ef = token_files.EliasFano.of(values, int(values[-1]))
-        assert [ef.select(i) for i in range(n)] == values.tolist() == ef.all().tolist()
-    big = token_files.EliasFano.of(np.cumsum(rng.integers(1, 2000, 20_000)), 20_000_000)
-    assert 8 * (len(big.low) + len(big.high)) / big.n < 13  # of 64 in a plain table
+        ef = token_files.EliasFano.of(values)
+        assert [int(ef.select(i)[0]) for i in range(n)] == values.tolist() == ef.select(np.arange(n)).tolist()
+    big = token_files.EliasFano.of(np.cumsum(rng.integers(1, 2000, 20_000)))
+    assert 8 * sum(map(len, big.sections())) / big.n < 13  # of 64 in a plain table
+    assert token_files.EliasFano.of(np.zeros(0, np.int64)).select(np.zeros(0, np.int64)).tolist() == []
 
 
 @pytest.mark.parametrize("file_ids", [50, 1 << 20])
@@ -84,11 +97,25 @@ def test_files_round_trip(spark, docs, library, file_ids):
 
 def test_one_file_by_select(library):
     texts = ["some words", "", "more of them"]
-    ids = [np.array(library(t) + [0], "<u4").tobytes() for t in texts]
+    ids = [np.array(library(t) + [0], np.uint32) for t in texts]
     for width in (2, 4):
-        file = token_files.TokenFile(token_files.pack([3, None, 9], ids, width))
-        assert [file.tokens(i).tobytes() for i in range(3)] == ids
-        assert file.keys.tolist() == [3, 0, 9] and file.present.tolist() == [1, 0, 1]
+        for owners in ([None, None, 9], [-(1 << 63), 4, (1 << 63) - 1], [-3, -3, -1], [None] * 3):
+            out = io.BytesIO()
+            writer = token_files.Writer(out, width)
+            writer.add(pa.array(owners[:2], pa.int64()), np.concatenate(ids[:2]), np.array([len(x) for x in ids[:2]]))
+            writer.add(pa.array(owners[2:], pa.int64()), ids[2], np.array([len(ids[2])]))
+            writer.close()
+            file = token_files.TokenFile(out.getvalue())
+            assert [file.tokens(i).tolist() for i in range(3)] == [x.tolist() for x in ids]
+            assert file.doc_ids(np.arange(3)).to_pylist() == owners
+
+
+def test_forgetting_pieces_changes_no_ids(library):
+    texts = [f"{i} {' '.join(f'w{j * i % 701}' for j in range(300))}" for i in range(30)] + ["a" * 100_000, "é" * 70_000 + "\u2003 x \xa0y"]
+    encoder = byte_bpe.Encoder(BPE, memory=20_000)
+    got = [np.frombuffer(encoder.encode([t])[0], "<u4").tolist() for t in texts]
+    assert got == [library(t) for t in texts]
+    assert encoder._held() < 400_000
 
 
 def test_without_dropout_pieces_are_the_librarys():
