@@ -37,11 +37,14 @@ def register(incoming: DataFrame, registry: DataFrame, order: list[str]) -> Data
     """New rows for the registry: ``incoming(entity_type, fields, *order)`` numbered on.
 
     Versions continue after the latest one of their type; each names its predecessor.
+    Schemas that ``order`` leaves level are put in the order of their digests, so that
+    every run numbers them alike.
     """
     newest = latest_versions(registry).select(
         "entity_type", F.col("version").alias("_last"), F.col("schema_id").alias("_last_id")
     )
-    numbered = ranked(incoming, "entity_type", order, "_n").join(newest, "entity_type", "left")
+    told = incoming.withColumn("_digest", F.md5(F.to_json(F.array_sort("fields"))))
+    numbered = ranked(told, "entity_type", [*order, "_digest"], "_n").join(newest, "entity_type", "left")
     version = (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("int")
     made = numbered.select(
         schema_id(F.col("entity_type"), version, F.col("fields")).alias("schema_id"),
@@ -63,6 +66,46 @@ def register(incoming: DataFrame, registry: DataFrame, order: list[str]) -> Data
     )
 
 
+def schema_digest(fields: Column) -> Column:
+    """What tells schemas apart: names, types and nullability, whatever the order of fields."""
+    plain = F.transform(fields, lambda f: F.struct(f["field"], f["base_type"], f["sql_type"], f["nullable"]))
+    return F.sha2(F.to_json(F.array_sort(plain)), 256)
+
+
+def feed(schema_fields: DataFrame, schemas: DataFrame, key: str = "category") -> DataFrame:
+    """Extracted schemas as the registry takes them: ``entity_type, scope, schema_id, fields``.
+
+    ``key`` says what counts as one type whose schemas follow each other: all schemas of a
+    ``category``, or those of one ``entity`` (its child table being a type of its own).
+    """
+    types = {"category": F.col("category"), "entity": F.col("schema_id")}
+    if key not in types:
+        raise ValueError(f"key is 'category' or 'entity', not {key!r}")
+    info = F.col("type_info")
+    item = F.struct(
+        "field", F.col("pos").cast("int").alias("pos"), info["base_type"].alias("base_type"),
+        info["sql_type"].alias("sql_type"), info["nullable"].alias("nullable"),
+    )
+    on = ["scope", "schema_id", "is_child"]
+    listed = schema_fields.groupBy(*on).agg(F.array_sort(F.collect_list(item)).alias("fields"))
+    heads = schemas.select("scope", "schema_id", F.col("is_normalized_table").alias("is_child"), types[key].alias("entity_type"))
+    return listed.join(heads, on).select("entity_type", "scope", "schema_id", "fields")
+
+
+def changed(incoming: DataFrame, registry: DataFrame, order: list[str]) -> DataFrame:
+    """The incoming schemas that differ from the one before them: the one that ``order`` puts
+    before it in its type or, for a type's first, the newest version of the registry.
+
+    Neighbours meet by their numbers, so a type that most schemas belong to is no hot key.
+    """
+    told = incoming.withColumn("_digest", schema_digest(F.col("fields")))
+    numbered = staged(ranked(told, "entity_type", [*order, "_digest"], "_n"), "numbered-schemas")
+    known = latest_versions(registry).select("entity_type", F.lit(0).alias("_before"), schema_digest(F.col("fields")).alias("_known"))
+    ahead = numbered.select("entity_type", F.col("_n").alias("_before"), F.col("_digest").alias("_known")).unionByName(known)
+    beside = numbered.withColumn("_before", F.col("_n") - 1).join(ahead, ["entity_type", "_before"], "left")
+    return beside.filter(~F.col("_digest").eqNullSafe(F.col("_known"))).select(*incoming.columns)
+
+
 def latest_versions(versions: DataFrame) -> DataFrame:
     """The newest version of each type."""
     rest = [c for c in versions.columns if c != "entity_type"]
@@ -466,8 +509,15 @@ def live_view(df: DataFrame, columns: DataFrame, name: str | None = None) -> Dat
 # --- registry reports ---------------------------------------------------------
 
 
-def process(incoming: DataFrame, registry: DataFrame, order: list[str]) -> dict[str, DataFrame]:
-    """Register new schemas: their versions, changes, migrations, views and outcome."""
+def process(
+    incoming: DataFrame, registry: DataFrame, order: list[str], only_changed: bool = False
+) -> dict[str, DataFrame]:
+    """Register new schemas: their versions, changes, migrations, views and outcome.
+
+    With ``only_changed`` a schema equal to the one before it makes no version.
+    """
+    if only_changed:
+        incoming = changed(incoming, registry, order)
     versions = staged(register(incoming, registry, order), "versions")
     touched = versions.select("entity_type").distinct()
     before = latest_versions(registry).join(touched, "entity_type", "left_semi")

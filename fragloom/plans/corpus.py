@@ -119,6 +119,24 @@ def sections(supplier: DataFrame) -> DataFrame:
     )
 
 
+# The same item as three files name it, one after the other; the third adds nothing to every
+# third item.
+_ITEM = f"concat('{{\"id\": \"', {PROD}, '\", \"title\": \"Item ', p_partkey, '\", "
+ITEM_VERSIONS = [
+    f"{_ITEM}\"stock\": ', p_size, ', \"price_usd\": ', {PRICE}, '}}')",
+    f"{_ITEM}\"stock_count\": ', p_size, ', \"price_usd\": ', {PRICE}, ', \"currency\": \"EUR\"}}')",
+    f"{_ITEM}\"stock_count\": ', p_size, ', \"price_usd\": ', {PRICE}, ', \"currency\": \"EUR\"', "
+    "CASE WHEN p_partkey % 3 > 0 THEN ', \"rating\": 4.5' ELSE '' END, '}')",
+]
+
+
+def item_versions(part: DataFrame) -> DataFrame:
+    """Three documents per part: ``doc_id, version, part, text``."""
+    texts = F.array(*[F.expr(t) for t in ITEM_VERSIONS])
+    each = spread(part).select(F.col("p_partkey").alias("part"), F.posexplode(texts).alias("version", "text"))
+    return each.select((F.col("part") * 3 + F.col("version")).alias("doc_id"), (F.col("version") + 1).alias("version"), "part", "text")
+
+
 # Fields of each schema version of a part's type: version, field, position, base type,
 # SQL type, nullable, and for which parts (k is the part key).
 FIELD_PLAN = [

@@ -1648,6 +1648,17 @@ def _(spark, sf):
     return evolve.latest_versions(_brand_versions(spark, sf)).select("entity_type", "version")
 
 
+@register(
+    "evo_3_version_by_id",
+    BRANDS + "SELECT entity_type, version, concat('size', size % 3) AS field FROM versions WHERE entity_type = 'Brand#1' AND version = 2",
+)
+def _(spark, sf):
+    versions = staged(_brand_versions(spark, sf), "versions")
+    wanted = versions.filter("entity_type = 'Brand#1' AND version = 2").first()["schema_id"]
+    found = evolve.version_by_id(versions, wanted)
+    return found.select("entity_type", "version", F.col("fields")[1]["field"].alias("field"))
+
+
 @register(
     "evo_3_versions_of_a_type",
     BRANDS + "SELECT entity_type, version FROM versions WHERE entity_type = 'Brand#1'",
@@ -1887,6 +1898,47 @@ def _(spark, sf):
     )
 
 
+_ITEM_CLASS = "CASE WHEN v = 1 THEN 'a' WHEN v = 2 OR p_partkey % 3 = 0 THEN 'b' ELSE 'c' END"
+_ITEM_STEP = (
+    "CASE WHEN old IS NULL THEN 0 WHEN old = 'a' THEN 2 ELSE 1 END AS n_changes, old IS NOT NULL AS breaking_changes, "
+    "CASE WHEN old = 'a' THEN 'stock>stock_count' ELSE '' END AS mappings"
+)
+
+
+@register(
+    "evo_15_from_documents",
+    f"WITH d AS (SELECT p_partkey, v, {_ITEM_CLASS} AS kind FROM part, (SELECT unnest([1, 2, 3]) AS v)), "
+    "keyed AS (SELECT 'entity' AS key, concat('prod-', 1000 + p_partkey) AS entity_type, * FROM d UNION ALL "
+    "SELECT 'category', 'documents', * FROM d), "
+    "beside AS (SELECT *, lag(kind) OVER (PARTITION BY key, entity_type ORDER BY v, p_partkey) AS old FROM keyed) "
+    "SELECT key, entity_type, CAST(row_number() OVER (PARTITION BY key, entity_type ORDER BY v, p_partkey) AS INTEGER) AS version, "
+    f"old IS NULL AS is_initial, CAST(n_changes AS BIGINT) AS n_changes, breaking_changes, mappings FROM (SELECT *, {_ITEM_STEP} FROM beside "
+    "WHERE old IS NULL OR old <> kind)",
+)
+def _(spark, sf):
+    docs = corpus.item_versions(table(spark, sf, "part"))
+    none = spark.createDataFrame([], evolve.VERSIONS_DDL)
+    arrivals = docs.select(F.col("doc_id").cast("string").alias("scope"), "version", "part")
+    by_entity = pipeline.run(docs.select("doc_id", "text"), registry=none, key="entity", arrivals=arrivals)
+    by_category = pipeline.evolve_schemas(
+        by_entity["schema_fields"], by_entity["schemas"], none, key="category", arrivals=arrivals
+    )
+    shown = [
+        d["outcome"].select(
+            F.lit(key).alias("key"), "entity_type", "version", "is_initial", "n_changes", "breaking_changes",
+            _mappings_shown().alias("mappings"),
+        )
+        for key, d in (("entity", by_entity), ("category", by_category))
+    ]
+    return shown[0].unionByName(shown[1])
+
+
+def _mappings_shown():
+    none = F.create_map().cast("map<string,string>")
+    pairs = F.transform(F.map_entries(F.coalesce("field_mappings", none)), lambda e: F.concat_ws(">", e["key"], e["value"]))
+    return F.array_join(pairs, ",")
+
+
 @register(
     "evo_16_history",
     _CHANGES + "SELECT v.entity_type, CAST(v.version AS INTEGER) AS version, coalesce(string_agg(c.change_type || ':' || c.field_name, ',' "
