@@ -321,9 +321,34 @@ _LINE = re.compile(LINE_PATTERN.replace(r"\z", r"\Z"))
 _END = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])\Z")
 
 
+class _Lines:
+    """How often the commonest number of delimiters stands among the lines up to ``stop``.
+
+    Lines leave at the left end: numbers are counted once, and so is how many numbers stand
+    how often, which tells when the highest count falls.
+    """
+
+    def __init__(self, own, left, stop):
+        self.own, self.left, self.stop = own, left, stop
+        self.often = Counter(own[left:stop])
+        self.levels = Counter(self.often.values())
+        self.most = max(self.levels)
+
+    def most_from(self, left):
+        for n in self.own[self.left : left]:
+            times = self.often[n]
+            self.levels[times] -= 1
+            self.levels[times - 1] += 1
+            self.often[n] = times - 1
+            if not self.levels[self.most]:
+                self.most -= 1
+        self.left = left
+        return self.most
+
+
 def _csv_runs(text, taken):
     """Runs of lines with one delimiter, at least half of them equally often, from the first
-    line that is free; each line is counted once."""
+    line that is free; a line is counted once for each delimiter."""
     spans, at = [], 0
     while at < len(text):
         end = _LINE.match(text, at).end()
@@ -342,6 +367,7 @@ def _csv_runs(text, taken):
     starts, reach = [s for s, _ in busy], []
     for _, e in busy:
         reach.append(max(e, reach[-1]) if reach else e)
+    windows: dict = {}
     i = 0
     while i < len(spans):
         body = bodies[i]
@@ -355,9 +381,11 @@ def _csv_runs(text, taken):
         if before and reach[before - 1] > begin:
             i += 1
             continue
-        run = counts[k][i:stop]
-        if max(Counter(run).values()) >= max(1, len(run) // 2):
-            yield begin, end, len(run), CSV_DELIMITERS[k], body.split(CSV_DELIMITERS[k], 1)[0], text[begin:end]
+        if k not in windows or windows[k].stop != stop:
+            windows[k] = _Lines(counts[k], i, stop)
+        n = stop - i
+        if windows[k].most_from(i) >= max(1, n // 2):
+            yield begin, end, n, CSV_DELIMITERS[k], body.split(CSV_DELIMITERS[k], 1)[0], text[begin:end]
             i = stop
         else:
             i += 1

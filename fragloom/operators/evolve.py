@@ -6,6 +6,8 @@ base_type, sql_type, nullable)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,7 +156,7 @@ def _plain(name: Column) -> Column:
 
 
 def _letters(name: Column) -> Column:
-    """Letters of a name, numbered per letter (``a1 a2 b1``), in one fixed global order."""
+    """Letters of a name, numbered per letter (``a1 a2 b1``), so that they are a set."""
     chars = F.array_sort(F.filter(F.split(name, ""), lambda c: c != ""))
     return let(
         chars,
@@ -166,19 +168,54 @@ def _letters(name: Column) -> Column:
     )
 
 
-def _tagged(letters: Column, role: str) -> Column:
-    return F.transform(letters, lambda x: F.concat(F.lit(f"{role}:"), x))
+def _stretches(name: Column, n: int) -> Column:
+    """All stretches of ``n`` characters; none where the name is shorter."""
+    last = F.length(name) - n + 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.concat(F.lit(f"{n}:"), F.substring(name, i, n))))
+
+
+def _common_letters(n: Column, m: Column) -> Column:
+    """The least number of letters that names of these lengths share if their ratio, at most
+    2 x common / (n + m), is above 0.6."""
+    return F.floor(3 * (n + m) / 10).cast("int") + 1
+
+
+def _rare_first(names: DataFrame) -> DataFrame:
+    """``names(*PAIR, base_type, name, plain)`` with ``letters``, the rarest first, and
+    ``own``, the rarest of its longest stretches of up to three characters.
+
+    Letters and stretches are counted over all names; a count is looked up once per token and
+    bucket of names, as some letters stand in nearly all of them.
+    """
+    plain, n = F.col("plain"), F.length("plain")
+    longest = F.when(n >= 3, _stretches(plain, 3)).when(n == 2, _stretches(plain, 2)).otherwise(_stretches(plain, 1))
+    tokens = F.concat(_letters(plain), longest)
+    distinct = names.select("plain").distinct()
+    told = distinct.withColumn("token", F.explode(tokens))
+    counts = told.groupBy("token").agg(F.count("*").alias("often"))
+    ranked_tokens = join_spread(told, counts, ["token"], ["plain"])
+    is_letter = ~F.col("token").rlike("(?s)^[123]:.")
+    ordered = lambda wanted: F.array_sort(F.collect_list(F.when(wanted, F.struct("often", "token"))))
+    listed = ranked_tokens.groupBy("plain").agg(
+        F.transform(ordered(is_letter), lambda x: x["token"]).alias("letters"),
+        F.get(ordered(~is_letter), F.lit(0))["token"].alias("own"),
+    )
+    none = F.array().cast("array<string>")
+    joined = names.join(listed, "plain", "left")
+    return joined.withColumn("letters", F.coalesce("letters", none)).withColumn("own", F.coalesce("own", F.lit("")))
 
 
 def rename_candidates(pairs: DataFrame) -> DataFrame:
     """Removed and added fields of compatible type whose names are similar enough.
 
-    Removed fields meet added ones over shared letters instead of all against all.  A
-    ratio above 0.6 needs more than 0.3 x (|a| + |b|) common letters and |b| >= 3/7 |a|,
-    so at least 3/7 of either name; two names with that much in common also share one of
-    the first ceil(4/7 n) + 1 letters of each ("near").  A name contained in the other
-    shares its own first letter with some letter of the other ("a_first", "b_first").
-    No pair is lost.
+    A set-similarity join over the names' letters, the rarest first.  Two names of lengths n
+    and m with a ratio above 0.6 share t > 0.3 (n + m) letters, so one of the first n - t + 1
+    letters of one is among the first m - t + 1 of the other; names meet over that letter and
+    both lengths, and only lengths that can share so many.  A name contained in another shares
+    its rarest stretch of three characters (of fewer, if it has no three) with it.  What meets
+    is held against the number of letters really shared before any ratio is taken.  No pair is
+    lost.
     """
     types = {}
     for kind in {t for pair in rules.WIDENINGS for t in pair}:
@@ -188,42 +225,45 @@ def rename_candidates(pairs: DataFrame) -> DataFrame:
     )
     base = F.col("old.base_type")
     removed = pairs.filter(F.col("new").isNull()).select(
-        *PAIR,
-        F.col("field").alias("old_name"),
-        F.explode(F.coalesce(F.try_element_at(widened, base), F.array(base))).alias("base_type"),
+        *PAIR, F.col("field").alias("name"), F.coalesce(F.try_element_at(widened, base), F.array(base)).alias("bases"), F.lit(True).alias("is_old")
     )
     added = pairs.filter(F.col("old").isNull()).select(
-        *PAIR, F.col("field").alias("new_name"), F.col("new.base_type").alias("base_type")
-    )
-
-    def lettered(df: DataFrame, name: str, plain: str, roles: tuple[str, str, str]) -> DataFrame:
-        """A row per letter and role: in the name's prefix, its first letter, any letter."""
-        df = df.withColumn(plain, _plain(F.col(name)))
-        letters = F.concat(_letters(F.col(plain)), F.array(F.lit("")))
-
-        def marked(ls: Column) -> Column:
-            n = F.size(ls) - 1
-            prefix = F.slice(ls, F.lit(1), F.least(n + 1, F.ceil(n * 4 / 7).cast("int") + 1))
-            parts = zip(roles, (prefix, F.slice(ls, F.lit(1), F.lit(1)), ls))
-            return F.concat(*[_tagged(part, role) for role, part in parts])
-
-        return df.withColumn("letter", F.explode(let(letters, marked)))
-
-    left = lettered(removed, "old_name", "a", ("near", "a_first", "b_first"))
-    right = lettered(added, "new_name", "b", ("near", "b_first", "a_first"))
+        *PAIR, F.col("field").alias("name"), F.array("new.base_type").alias("bases"), F.lit(False).alias("is_old")
+    )
+    names = removed.unionByName(added).withColumn("plain", _plain(F.col("name")))
+    told = staged(_rare_first(names), "names")
+
+    n = F.length("plain")
+    lengths = F.sequence(F.floor(3 * n / 7).cast("int") + 1, F.greatest(F.ceil(7 * n / 3).cast("int") - 1, n))
+
+    def prefix(m: Column) -> Column:
+        mine = F.slice("letters", F.lit(1), F.greatest(n - _common_letters(n, m) + 1, F.lit(0)))
+        small, large = F.when(F.col("is_old"), n).otherwise(m), F.when(F.col("is_old"), m).otherwise(n)
+        return F.transform(mine, lambda x: F.concat_ws(" ", F.lit("near"), small, large, x))
+
+    # The empty name is inside every other and has no letters.
+    near = F.when(n > 0, F.flatten(F.transform(lengths, prefix))).otherwise(F.array().cast("array<string>"))
+    stretches = F.concat(F.array(F.lit("")), *[_stretches(F.col("plain"), k) for k in (1, 2, 3)])
+    tagged = lambda role, xs: F.transform(xs, lambda x: F.concat(F.lit(role), x))
+    inner, outer = ("old in new ", "new in old ")
+    part_of = F.when(F.col("is_old"), tagged(inner, F.array("own"))).otherwise(tagged(outer, F.array("own")))
+    holds = F.when(F.col("is_old"), tagged(outer, stretches)).otherwise(tagged(inner, stretches))
+    keyed = told.withColumn("key", F.explode(F.concat(near, part_of, holds))).withColumn("base_type", F.explode("bases"))
+    side = lambda old, name, plain, letters: keyed.filter("is_old" if old else "NOT is_old").select(
+        *PAIR, "base_type", "key", F.col("name").alias(name), F.col("plain").alias(plain), F.col("letters").alias(letters)
+    )
+    met = side(True, "old_name", "a", "a_letters").join(side(False, "new_name", "b", "b_letters"), [*PAIR, "base_type", "key"])
     inside = F.contains("a", F.col("b")) | F.contains("b", F.col("a"))
-    la, lb = F.length("a"), F.length("b")
-    near = (F.least(la, lb) * 2.0 / (la + lb)) > rules.RENAME_MIN_SIMILARITY
-    met = (
-        left.join(right, [*PAIR, "base_type", "letter"])
-        .filter(inside | near)
-        .select(*PAIR, "old_name", "new_name", "a", "b")
+    shared = F.size(F.array_intersect("a_letters", "b_letters"))
+    close = (
+        met.withColumn("inside", inside)
+        .filter(F.col("inside") | (shared >= _common_letters(F.length("a"), F.length("b"))))
+        .select(*PAIR, "old_name", "new_name", "a", "b", "inside")
         .distinct()
-        .withColumn("inside", inside)
     )
     unlike = lambda c: F.when(~F.col("inside"), F.col(c))
     return (
-        met.withColumn("ratio", name_ratio(unlike("a"), unlike("b")))
+        close.withColumn("ratio", name_ratio(unlike("a"), unlike("b")))
         .withColumn("score", F.coalesce("ratio", F.lit(0.8)))
         .filter(F.col("score") > rules.RENAME_MIN_SIMILARITY)
         .select(*PAIR, "old_name", "new_name", "score")
@@ -231,36 +271,23 @@ def rename_candidates(pairs: DataFrame) -> DataFrame:
 
 
 def renames(pairs: DataFrame) -> DataFrame:
-    """One-to-one renames: best score first, then by old and new name."""
-    listed = rename_candidates(pairs).groupBy(*PAIR).agg(
-        F.array_sort(
-            F.collect_list(F.struct((-F.col("score")).alias("minus"), "old_name", "new_name"))
-        ).alias("ranked")
-    )
-    names = "array<string>"
-    start = F.struct(
-        F.array().cast(names).alias("old"),
-        F.array().cast(names).alias("new"),
-        F.array().cast("array<double>").alias("score"),
-    )
-
-    def take(acc: Column, c: Column) -> Column:
-        free = ~F.array_contains(acc["old"], c["old_name"]) & ~F.array_contains(
-            acc["new"], c["new_name"]
-        )
-        return F.when(
-            free,
-            F.struct(
-                F.array_append(acc["old"], c["old_name"]).alias("old"),
-                F.array_append(acc["new"], c["new_name"]).alias("new"),
-                F.array_append(acc["score"], -c["minus"]).alias("score"),
-            ),
-        ).otherwise(acc)
+    """One-to-one renames: best score first, then by old and new name.
 
-    taken = listed.select(*PAIR, F.aggregate("ranked", start, take).alias("t"))
-    return taken.select(
-        *PAIR, F.inline(F.arrays_zip("t.old", "t.new", "t.score"))
-    ).toDF(*PAIR, "old_name", "new_name", "score")
+    Taken in rounds, side by side: a pair that is the best one left for both its names is one
+    that going through all pairs in order would take.  No list of a version's pairs is made.
+    """
+    order = F.struct((-F.col("score")).alias("minus"), "old_name", "new_name")
+    open_ = staged(rename_candidates(pairs), "rename-candidates")
+    taken = []
+    while not taken or not open_.isEmpty():
+        best = open_.groupBy(*PAIR, "old_name").agg(F.min(order).alias("best")).select(*PAIR, "best.*")
+        wanted = open_.groupBy(*PAIR, "new_name").agg(F.min(order).alias("best")).select(*PAIR, "best.old_name", "best.new_name")
+        mutual = best.join(wanted, [*PAIR, "old_name", "new_name"]).select(*PAIR, "old_name", "new_name", (-F.col("minus")).alias("score"))
+        taken.append(staged(mutual, "renames"))
+        for name in ("old_name", "new_name"):
+            open_ = open_.join(taken[-1].select(*PAIR, name), [*PAIR, name], "left_anti")
+        open_ = staged(open_, "rename-candidates")
+    return reduce(DataFrame.unionByName, taken)
 
 
 def _change(kind: str, old, new, breaking: Column, *note) -> Column:
@@ -281,7 +308,7 @@ def changes(fields: DataFrame) -> DataFrame:
     A renamed field is reported as renamed alone, not also as added and removed.
     """
     pairs = staged(field_pairs(fields), "field-pairs")
-    found = staged(renames(pairs), "renames")
+    found = renames(pairs)
     handled = found.select(*PAIR, F.explode(F.array("old_name", "new_name")).alias("field"), F.lit(True).alias("handled"))
     one_sided = F.col("old").isNull() | F.col("new").isNull()
     # Only fields on one side can have been renamed; the rest need no look-up.
@@ -566,24 +593,88 @@ def history(versions: DataFrame, changes: DataFrame, entity_type: str | None = N
     )
 
 
+def _name_events(changes: DataFrame) -> DataFrame:
+    """``entity_type, name, version, new`` where a name ends: renamed, or removed (no ``new``)."""
+    renamed = F.col("change_type") == "renamed"
+    return changes.filter(renamed | (F.col("change_type") == "removed")).select(
+        "entity_type",
+        F.lower(F.when(renamed, F.col("old_value")).otherwise(F.col("field_name"))).alias("name"),
+        "version",
+        F.when(renamed, F.col("new_value")).alias("new"),
+    )
+
+
+def _next_event(probes: DataFrame, events: DataFrame) -> DataFrame:
+    """``probes(entity_type, name, version, …)`` with ``event(version, new)``: the first event
+    of the name in a later version.  A name of a type has at most one event a version."""
+    carried = [c for c in probes.columns if c not in ("entity_type", "name", "version")]
+    event = F.struct("version", "new")
+    rows = probes.withColumn("event", F.lit(None).cast("struct<version:int,new:string>")).withColumn("_asks", F.lit(1)).unionByName(
+        events.select("entity_type", "name", "version", event.alias("event"), F.lit(0).alias("_asks")), allowMissingColumns=True
+    )
+    later = Window.partitionBy("entity_type", "name").orderBy(F.col("version").desc(), F.col("_asks").desc())
+    seen = F.last("event", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("event", seen).filter("_asks = 1").select("entity_type", "name", "version", *carried, "event")
+
+
+def present_names(changes: DataFrame) -> DataFrame:
+    """``entity_type, name, version, present`` of every rename: what the field that was called
+    ``name`` until ``version`` is called in the newest version.
+
+    Chains of renames are followed by doubling: each round joins every rename to the end of
+    the stretch it has so far, so that n versions take log n rounds.  A name that is removed
+    ends its chain, whoever bears it later.
+    """
+    events = staged(_name_events(changes), "name-events")
+    renamed = events.filter("new IS NOT NULL")
+    onward = _next_event(
+        renamed.select("entity_type", F.lower("new").alias("name"), "version", F.col("name").alias("old"), F.col("new").alias("present")), events
+    )
+    follows = F.when(F.col("event.new").isNotNull(), F.col("event.version"))
+    state = staged(onward.select("entity_type", F.col("old").alias("name"), "version", "present", follows.alias("next")), "rename-chains")
+    while not state.filter("next IS NOT NULL").isEmpty():
+        ahead = state.select(
+            "entity_type", F.col("name").alias("_name"), F.col("version").alias("next"), F.col("present").alias("_present"), F.col("next").alias("_next")
+        )
+        open_ = state.filter("next IS NOT NULL").withColumn("_name", F.lower("present")).join(ahead, ["entity_type", "_name", "next"])
+        moved = open_.select("entity_type", "name", "version", F.col("_present").alias("present"), F.col("_next").alias("next"))
+        state = staged(state.filter("next IS NULL").unionByName(moved), "rename-chains")
+    return state.drop("next")
+
+
+_WORDS = r"(?U)\w+"
+
+
 def rewrite_queries(queries: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Queries written for an old version, with fields under their present names.
 
-    ``queries(keys, entity_type, from_version, query)``; the renames of all later
-    versions of the type are applied in order.  A type's renames are listed once and
-    looked up per query, spread out where one type has most of the queries.
+    ``queries(keys, entity_type, from_version, query)``.  Every distinct word of a query is
+    looked up once, as the field that bore that name, in any case, in the query's version;
+    so names may be swapped, or given to other fields later on.  Look-ups are spread out
+    where one type has most of the queries.  A name that is not one word is replaced version
+    by version wherever it stands between word boundaries.
     """
+    chains = staged(present_names(changes), "present-names")
+    log = staged(queries.withColumn("_row", F.monotonically_increasing_id()), "query-log")
+    words = log.select("_row", "entity_type", "from_version", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(_WORDS), 0), F.lower))).alias("name"))
+    asked = words.select("entity_type", "name", F.col("from_version").cast("int").alias("version")).distinct()
+    first = _next_event(asked, _name_events(changes)).filter("event.new IS NOT NULL")
+    named = first.select("entity_type", "name", F.col("version").alias("from_version"), F.col("event.version").alias("version")).join(
+        chains, ["entity_type", "name", "version"]
+    )
+    found = join_spread(words, named.select("entity_type", "name", "from_version", "present"), ["entity_type", "name", "from_version"], ["_row"])
+    mapped = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("name", "present"))).alias("_names"))
+
+    # Names that are no single word are few: those of a type are listed with their steps.
     edge = F.struct("version", F.col("old_value").alias("old"), F.col("new_value").alias("new"))
-    listed = (
-        changes.filter(F.col("change_type") == "renamed")
-        .groupBy("entity_type")
-        .agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    )
+    odd = changes.filter((F.col("change_type") == "renamed") & ~F.col("old_value").rlike(r"(?U)^\w+$"))
+    listed = odd.groupBy("entity_type").agg(F.array_sort(F.collect_list(edge)).alias("_edges"))
     literal = lambda s: F.regexp_replace(s, r"([\\$])", r"\\$1")
     word = lambda s: F.concat(F.lit(r"(?Uui)\b\Q"), s, F.lit(r"\E\b"))
-    later = F.filter("edges", lambda e: e["version"] > F.col("from_version"))
-    replaced = F.aggregate(
-        later, F.col("query"), lambda q, e: F.regexp_replace(q, word(e["old"]), literal(e["new"]))
-    )
-    joined = join_spread(queries, listed, ["entity_type"], keys, "left")
-    return joined.withColumn("rewritten", F.coalesce(replaced, "query")).drop("edges")
+    later = F.filter("_edges", lambda e: e["version"] > F.col("from_version"))
+    joined = join_spread(log.join(mapped, "_row", "left"), listed, ["entity_type"], [*keys, "_row"], "left")
+    parts = F.regexp_extract_all("query", F.lit(r"(?U)\w+|\W+"), 0)
+    spelt = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("_names", F.lower(p)), p)), "")
+    known = F.when(F.col("_names").isNotNull(), spelt).otherwise(F.col("query"))
+    replaced = F.aggregate(later, known, lambda q, e: F.regexp_replace(q, word(e["old"]), literal(e["new"])))
+    return joined.withColumn("rewritten", F.coalesce(replaced, known)).drop("_edges", "_names", "_row")

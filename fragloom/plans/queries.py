@@ -1732,6 +1732,39 @@ def _(spark, sf):
     return _changes(spark, sf, "renamed")
 
 
+_CODE = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _code_sql(of: str, number: str) -> str:
+    """Ten letters drawn by the md5 of a text; ``number`` reads two of its digits."""
+    digits = [number.format(f"substr(md5({of}), {2 * i + 1}, 2)") for i in range(10)]
+    return "concat(" + ", ".join(f"substr('{_CODE}', 1 + {d} % 36, 1)" for d in digits) + ")"
+
+
+_DUCK, _SPARK = "CAST(concat('0x', {}) AS INTEGER)", "CAST(conv({}, 16, 10) AS INT)"
+_KEY = "CAST(p_partkey AS VARCHAR(20))"
+
+
+@register(
+    "evo_8_wide_schemas",
+    f"SELECT concat('wide', p_partkey // 2000) AS entity_type, 2 AS version, {_code_sql(_KEY, _DUCK)} AS old_name, "
+    f"concat({_code_sql(_KEY, _DUCK)}, '_total') AS new_name, 0.8::DOUBLE AS score FROM part WHERE p_partkey % 3 = 0",
+)
+def _(spark, sf):
+    """Types of 2000 fields, one per part: a third gets a longer name, a third is replaced."""
+    code = _code_sql(_KEY, _SPARK)
+    other = _code_sql(f"concat('n', {_KEY})", _SPARK)
+    field = lambda version, name: F.struct(
+        F.lit(version).alias("version"), F.expr(name).alias("field"), (F.col("p_partkey") % 2000).cast("int").alias("pos"),
+        F.lit("string").alias("base_type"), F.lit("VARCHAR(255)").alias("sql_type"), F.lit(True).alias("nullable"),
+    )
+    second = f"CASE p_partkey % 3 WHEN 0 THEN concat({code}, '_total') WHEN 1 THEN {code} ELSE {other} END"
+    kind = F.concat(F.lit("wide"), F.floor(F.col("p_partkey") / 2000)).alias("entity_type")
+    fields = table(spark, sf, "part").select(kind, F.inline(F.array(field(1, code), field(2, second))))
+    pairs = staged(evolve.field_pairs(fields), "field-pairs")
+    return evolve.renames(pairs)
+
+
 @register(
     "evo_9_name_similarity",
     PLAN + "SELECT entity_type, CAST(version AS INTEGER) AS version, old_name, new_name, "
@@ -1972,6 +2005,41 @@ def _(spark, sf):
     return evolve.rewrite_queries(log, changes, ["p_partkey"]).select("p_partkey", "rewritten")
 
 
+#: Versions of each type in the query below.
+MANY = 50
+
+
+@register(
+    "evo_17_many_versions",
+    "SELECT p_partkey, concat(CASE WHEN f = 50 THEN 'SELECT f49, ' ELSE 'SELECT F49, ' END, CASE WHEN (50 - f) % 2 = 1 THEN 'y AS a, x AS b' ELSE 'x AS a, y AS b' END, ', ', "
+    "CASE WHEN f >= 20 AND f < 30 THEN 'w' ELSE 'z' END, ' FROM types WHERE f', p_partkey % 50 + 60, ' > ', p_partkey) AS rewritten "
+    "FROM (SELECT p_partkey, p_partkey % 50 + 1 AS f FROM part)",
+)
+def _(spark, sf):
+    """Every part is a type of 50 versions: a field renamed in each of them, two that swap
+    their names in each, and a name that is removed and later given to another field."""
+    keyed = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("type"), "p_partkey").alias("entity_type"))
+    step = lambda kind, field, old, new: F.struct(
+        F.lit(kind).alias("change_type"), field.alias("field_name"), old.alias("old_value"), new.alias("new_value")
+    )
+    v, x, y = F.col("version"), F.lit("x"), F.lit("y")
+    name = lambda n: F.concat(F.lit("F"), n.cast("string"))
+    steps = F.array(
+        step("renamed", name(v - 1), name(v - 2), name(v - 1)),
+        step("renamed", y, x, y),
+        step("renamed", x, y, x),
+        F.when(v == 20, step("removed", F.lit("z"), F.lit("string"), F.lit(None).cast("string"))),
+        F.when(v == 30, step("renamed", F.lit("w"), F.lit("z"), F.lit("w"))),
+    )
+    versions = keyed.withColumn("version", F.explode(F.sequence(F.lit(2), F.lit(MANY))))
+    changes = versions.select("entity_type", "version", F.inline(F.array_compact(steps)))
+    log = keyed.withColumn("from_version", (F.col("p_partkey") % 50 + 1).cast("int"))
+    text = "concat('SELECT f', from_version - 1, ', x AS a, Y AS b, z FROM types WHERE f', p_partkey % 50 + 60, ' > ', p_partkey)"
+    swapped = F.when((MANY - F.col("from_version")) % 2 == 1, F.expr(text)).otherwise(F.expr(text.replace("Y AS", "y AS")))
+    done = evolve.rewrite_queries(log.withColumn("query", swapped), changes, ["p_partkey"])
+    return done.select("p_partkey", "rewritten")
+
+
 # --- queries over the results ---------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Versions, differences, migrations and streams."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -123,3 +124,78 @@ def test_landing_folder(spark, tmp_path):
     (landing / "b.txt").write_text("p: q\nr: s\n", encoding="utf-8")
     ingest.stream_fragments(spark, str(landing), out, mark).awaitTermination()
     assert spark.read.parquet(out).filter("format = 'KEY_VALUE'").count() == 2
+
+
+def test_rounds_take_what_going_through_the_list_takes(spark):
+    rng = random.Random(3)
+    stems = ["price", "stock", "name", "rating", "colour", "color", "id"]
+    rows, want = [], set()
+    for t in range(12):
+        names = list({"_".join(rng.choices(stems, k=rng.randint(1, 3))) for _ in range(30)})
+        old, new = names[: len(names) // 2], names[len(names) // 2 :]
+        rows += [(f"t{t}", 1, n, i, "string", "TEXT", True) for i, n in enumerate(old)]
+        rows += [(f"t{t}", 2, n, i, "string", "TEXT", True) for i, n in enumerate(new)]
+        scored = []
+        for a in old:
+            for b in new:
+                x, y = a.replace("_", ""), b.replace("_", "")
+                score = 0.8 if x in y or y in x else SequenceMatcher(None, x, y).ratio()
+                if score > 0.6:
+                    scored.append((-score, a, b))
+        gone = set()
+        for _, a, b in sorted(scored):
+            if a not in gone and b not in gone:
+                gone |= {a, b}
+                want.add((f"t{t}", a, b))
+    pairs = evolve.field_pairs(spark.createDataFrame(rows, FIELDS))
+    assert {(r.entity_type, r.old_name, r.new_name) for r in evolve.renames(pairs).collect()} == want
+
+
+def test_wide_types_meet_over_rare_letters(spark):
+    """Of a million pairs of removed and added names few are held against each other."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    code = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    old = [code(12) for _ in range(1000)]
+    new = [f"{x[:9]}{code(2)}" if i % 2 else code(12) for i, x in enumerate(old)]
+    rows = [("w", 1, n, i, "string", "TEXT", True) for i, n in enumerate(old)] + [("w", 2, n, i, "string", "TEXT", True) for i, n in enumerate(new)]
+    found = evolve.rename_candidates(evolve.field_pairs(spark.createDataFrame(rows, FIELDS)))
+    got = {(r.old_name, r.new_name) for r in found.collect()}
+    want = {(a, b) for a in old for b in new if (Counter(a) & Counter(b)).total() > 6 and SequenceMatcher(None, a, b).ratio() > 0.6}
+    assert got == want and len(got) >= 500
+
+
+def test_names_that_swap_return_and_end(spark):
+    steps = [
+        (2, "renamed", "b", "a", "b"), (2, "renamed", "a", "b", "a"), (3, "renamed", "c", "a", "c"), (4, "removed", "c", "string", None),
+        (6, "renamed", "d", "c", "d"), (7, "renamed", "unit price", "d", "unit price"), (8, "renamed", "cost $", "unit price", "cost $"),
+    ]
+    changes = spark.createDataFrame([("t", v, k, f, o, n) for v, k, f, o, n in steps], "entity_type string, version int, change_type string, field_name string, old_value string, new_value string")
+    asked = [(1, "SELECT A, b, ab, a.b FROM x"), (2, "a b"), (3, "c d"), (5, "c > 1"), (7, "unit price, d"), (8, "cost")]
+    log = spark.createDataFrame([(i, "t", v, q) for i, (v, q) in enumerate(asked)] * 2 + [(9, "other", 1, "a"), (10, "t", 1, None)], "q int, entity_type string, from_version int, query string")
+    got = sorted((r.q, r.rewritten) for r in evolve.rewrite_queries(log, changes, ["q"]).collect())
+    # From version 1, b is a in 2 and c in 3, which 4 removes; the c of 5 is another field.
+    want = [(0, "SELECT b, c, ab, b.c FROM x"), (1, "c b"), (2, "c cost $"), (3, "cost $ > 1"), (4, "cost $, d"), (5, "cost")]
+    assert got == sorted(want * 2 + [(9, "a"), (10, None)], key=lambda x: x[0])
+
+
+def test_unchanged_schemas_make_no_version(spark):
+    fields = lambda *names: [(n, i, "string", "TEXT", True) for i, n in enumerate(names)]
+    schema = f"entity_type string, fields {evolve.FIELDS_DDL}, at int"
+    none = spark.createDataFrame([], evolve.VERSIONS_DDL)
+    given = [("t", fields("a"), 1), ("t", fields("a"), 2), ("t", fields("a", "b"), 3), ("t", fields("b", "a"), 4), ("t", fields("a"), 5), ("u", fields("x"), 1)]
+    first = evolve.process(spark.createDataFrame(given, schema), none, ["at"], only_changed=True)
+    assert sorted((r.entity_type, r.version, r.n_changes) for r in first["outcome"].collect()) == [("t", 1, 0), ("t", 2, 1), ("t", 3, 1), ("u", 1, 0)]
+    later = spark.createDataFrame([("t", fields("a"), 9), ("t", fields("c"), 10), ("u", fields("x"), 9)], schema)
+    again = evolve.process(later, first["versions"], ["at"], only_changed=True)
+    assert [(r.entity_type, r.version, r.parent_version) for r in again["versions"].collect()] == [
+        ("t", 4, first["versions"].filter("entity_type = 't' AND version = 3").first()["schema_id"])
+    ]
+
+
+def test_level_schemas_get_the_same_versions_in_every_run(spark):
+    schema = f"entity_type string, fields {evolve.FIELDS_DDL}, at int"
+    given = spark.createDataFrame([("t", [(f"f{i}", 0, "string", "TEXT", True)], 1) for i in range(20)], schema)
+    none = spark.createDataFrame([], evolve.VERSIONS_DDL)
+    ids = [sorted(r.schema_id for r in evolve.register(given.repartition(n), none, ["at"]).collect()) for n in (1, 3, 7)]
+    assert ids[0] == ids[1] == ids[2]

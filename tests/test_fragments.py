@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragloom import rules
+from fragloom.functions import kernels
 from fragloom.operators import detect, normalize
 
 DOCS = [
@@ -137,3 +138,36 @@ def test_repair(spark, text, fields):
     rows = bind(df, s=normalize.repair_json(F.col("t"))).withColumn("r", json_rows("s")).first()["r"]
     got = None if rows is None else {f["key"]: f["value"] for f in rows[0]["fields"]}
     assert got == fields
+
+
+def test_delimited_runs_are_those_of_the_rule():
+    import random
+    import time
+    from collections import Counter
+
+    def plain(text):
+        lines, out, i = text.split("\n"), [], 0
+        while i < len(lines):
+            d = next((d for d in kernels.CSV_DELIMITERS if d in lines[i] and lines[i].strip()), None)
+            if d is None or "{" in lines[i] or "}" in lines[i]:
+                i += 1
+                continue
+            j = i
+            while j < len(lines) and lines[j].strip() and d in lines[j]:
+                j += 1
+            often = max(Counter(line.count(d) for line in lines[i:j]).values())
+            fits = j - i >= 2 and often >= max(1, (j - i) // 2)
+            out += [(i, j - i, d)] if fits else []
+            i = j if fits else i + 1
+        return out
+
+    rng = random.Random(1)
+    for _ in range(1500):
+        choices = ["", "x", "a,b", "a,b,c", "a;b", "a,b;c", "{a,b", "\t", "a\tb,c,d,e", "q," * rng.randint(1, 6)]
+        text = "\n".join(rng.choice(choices) for _ in range(rng.randint(1, 25)))
+        got = [(text[: r[0]].count("\n"), r[2], r[3]) for r in kernels._csv_runs(text, [])]
+        assert got == plain(text)
+    mixed = "\n".join("a" + ",b" * rng.randint(1, 9) for _ in range(100_000))
+    begin = time.process_time()
+    list(kernels._csv_runs(mixed, []))
+    assert time.process_time() - begin < 10  # the time grows with the lines, not with their square
