@@ -190,26 +190,13 @@ def overlaps_any(spans: Column, s: Column, e: Column) -> Column:
     ).otherwise(F.coalesce(F.get(spans, first)["s"] < e, F.lit(False)))
 
 
-def first_fit(candidates: Column, ddl: str) -> Column:
-    """Scan candidates by start and keep each that begins after the last one kept."""
-    picked = F.aggregate(
-        F.array_sort(candidates),
-        F.struct(F.lit(0).alias("upto"), empty(ddl).alias("kept")),
-        lambda acc, c: F.when(
-            c["s"] >= acc["upto"],
-            F.struct(c["e"].alias("upto"), F.array_append(acc["kept"], c).alias("kept")),
-        ).otherwise(acc),
-    )
-    return picked["kept"]
-
-
 _BUILT: dict = {}
 
 
 def cached(name: str, build: Callable[[], Column]) -> Column:
     """Column expressions over fixed column names, built once per Spark context."""
     context = SparkContext._active_spark_context
-    key = (id(context), name)
+    key = (context.applicationId, name)
     if key not in _BUILT:
         _BUILT[key] = build()
     return _BUILT[key]

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 import sys
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..rules import CSV_DELIMITERS, LINE_PATTERN
+from ..rules import ANY_CLOSE_TAG, ANY_OPEN_TAG, CSV_DELIMITERS, HTML_TAGS, LINE_PATTERN, TABLE_CELL, TABLE_ROW, TABLE_TAG, WHITESPACE
 
 # Executors need not have this package installed: ship the functions themselves.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -391,14 +391,134 @@ def _csv_runs(text, taken):
             i += 1
 
 
-@F.arrow_udf(_CSV_TYPE)
-def csv_runs(text: pa.Array, taken: pa.Array) -> pa.Array:
-    """Delimited runs of each document outside the spans taken; a null text has none."""
-    out = [
-        [] if t is None else [dict(zip(_CSV_NAMES, r)) for r in _csv_runs(t, busy)]
-        for t, busy in zip(text.to_pylist(), taken.to_pylist())
+class _Busy:
+    """Reserved spans: what touches them, and what they leave over."""
+
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.spans, self.starts, self.reach = spans, [a for a, _ in spans], []
+        for _, b in spans:
+            self.reach.append(max(b, self.reach[-1]) if self.reach else b)
+
+    def touches(self, a, b):
+        before = bisect_left(self.starts, b)
+        return before > 0 and self.reach[before - 1] > a
+
+    def gaps(self, size):
+        upto = 0
+        for a, b in self.spans:
+            if a > upto:
+                yield upto, a
+            upto = max(upto, b)
+        if size > upto:
+            yield upto, size
+
+
+_SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+_NAMES = "|".join([TABLE_TAG, *HTML_TAGS])
+_EDGE = re.compile(rf"<({_NAMES})\b|</({_NAMES}){_SPACES}>", re.I)
+_ROW, _CELL, _OPENING = re.compile(TABLE_ROW), re.compile(TABLE_CELL), re.compile(ANY_OPEN_TAG)
+_GAP = re.compile(rf"\n{_SPACES}\n")
+
+
+def _elements(text):
+    """Start, end and name of each opening tag with the first closing tag of its name behind
+    it: tags wait by name, and the next closing one takes all that wait."""
+    waiting, out = {}, []
+    for edge in _EDGE.finditer(text):
+        if edge.group(1):
+            waiting.setdefault(edge.group(1).lower(), []).append(edge.start())
+        else:
+            name = edge.group(2).lower()
+            out += [(a, edge.end(), name) for a in waiting.pop(name, ())]
+    return sorted(out)
+
+
+def _outermost_free(spans, busy):
+    upto = 0
+    for a, b, _ in spans:
+        if a >= upto and not busy.touches(a, b):
+            upto = b
+            yield a, b
+
+
+def _paragraphs(text, busy, least):
+    for a, b in busy.gaps(len(text)):
+        segment = text[a:b]
+        at = a + len(segment) - len(segment.lstrip(WHITESPACE))
+        body = segment.strip(WHITESPACE)
+        if len(body) < least:
+            continue
+        begin = 0
+        for end, after in [*(m.span() for m in _GAP.finditer(body)), (len(body), None)]:
+            part = body[begin:end]
+            yield at + begin + len(part) - len(part.lstrip(WHITESPACE)), part.strip(WHITESPACE)
+            begin = after
+
+
+_TAGGED = [("s", T.IntegerType()), ("e", T.IntegerType()), ("text", T.StringType())]
+_LAYOUT_TYPE = T.StructType(
+    [
+        T.StructField("tables", _array_of(**dict(_TAGGED), rows=T.IntegerType(), cols=T.IntegerType())),
+        T.StructField("html", _array_of(**dict(_TAGGED), opened=T.IntegerType(), closed=T.IntegerType())),
+        T.StructField("runs", _CSV_TYPE),
+        T.StructField("raw", _array_of(s=T.IntegerType(), text=T.StringType())),
+    ]
+)
+_TAGGED_ARROW = [("s", pa.int32()), ("e", pa.int32()), ("text", pa.string())]
+_LAYOUT_ARROW = pa.struct(
+    [
+        ("tables", pa.list_(pa.struct([*_TAGGED_ARROW, ("rows", pa.int32()), ("cols", pa.int32())]))),
+        ("html", pa.list_(pa.struct([*_TAGGED_ARROW, ("opened", pa.int32()), ("closed", pa.int32())]))),
+        ("runs", _CSV_ARROW),
+        ("raw", pa.list_(pa.struct([("s", pa.int32()), ("text", pa.string())]))),
     ]
-    return pa.array(out, type=_CSV_ARROW)
+)
+
+
+def _layout(text, taken, least_html, least_raw):
+    """What the text holds outside the spans taken, kind by kind: each reserves its own for
+    the next.  One pass for tags, one for lines, one for what is left."""
+    taken = [(t["s"], t["e"]) for t in taken]
+    tables, html = [], []
+    if "<" in text:
+        elements = _elements(text)
+        for a, b in _outermost_free([x for x in elements if x[2] == TABLE_TAG], _Busy(taken)):
+            cells = [len(_CELL.findall(row)) for row in _ROW.split(text[a:b])[1:]]
+            tables.append({"s": a, "e": b, "text": text[a:b], "rows": len(cells), "cols": max(cells, default=0)})
+        taken = taken + [(t["s"], t["e"]) for t in tables]
+        wide = [x for x in elements if x[2] != TABLE_TAG and x[1] - x[0] > least_html]
+        for a, b in _outermost_free(wide, _Busy(taken)):
+            inner = text[a:b]
+            html.append({"s": a, "e": b, "text": inner, "opened": len(_OPENING.findall(inner)), "closed": inner.count(ANY_CLOSE_TAG)})
+        taken = taken + [(t["s"], t["e"]) for t in html]
+    busy = _Busy(taken)
+    runs = []
+    if any(d in text for d in CSV_DELIMITERS):
+        runs = [dict(zip(_CSV_NAMES, r)) for r in _csv_runs(text, [{"s": a, "e": b} for a, b in taken])]
+    return {"tables": tables, "html": html, "runs": runs, "raw": [{"s": a, "text": t} for a, t in _paragraphs(text, busy, least_raw)]}
+
+
+@F.arrow_udf(_LAYOUT_TYPE)
+def layout(text: pa.Array, taken: pa.Array, least_html: pa.Array, least_raw: pa.Array) -> pa.Array:
+    """Tables, HTML blocks, delimited runs and paragraphs of each document outside the spans
+    taken; of nested elements the outermost.  A null text has none."""
+    columns = (c.to_pylist() for c in (text, taken, least_html, least_raw))
+    return pa.array([_layout(t or "", *rest) for t, *rest in zip(*columns)], type=_LAYOUT_ARROW)
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def outermost(blocks: pa.Array) -> pa.Array:
+    """For blocks ``e, rank`` in order of start, whether no earlier one of the same or a lower
+    rank reaches as far: the furthest end of every rank is all that is remembered."""
+    out = []
+    for row in blocks.to_pylist():
+        reach, kept = {}, []
+        for b in row:
+            kept.append(all(rank > b["rank"] or far < b["e"] for rank, far in reach.items()))
+            reach[b["rank"]] = max(reach.get(b["rank"], -1), b["e"])
+        out.append(kept)
+    return pa.array(out, type=pa.list_(pa.bool_()))
 
 
 @F.arrow_udf(T.DoubleType())

@@ -16,7 +16,6 @@ from ..functions.columns import (
     cached,
     contains_any,
     empty,
-    first_fit,
     is_blank,
     let,
     lines,
@@ -26,7 +25,7 @@ from ..functions.columns import (
     regex_spans,
     trim_ws,
 )
-from ..functions.kernels import csv_runs, object_spans
+from ..functions.kernels import layout, object_spans, outermost
 
 _META = "meta:array<struct<key:string,value:string>>"
 _BLOCK = f"struct<s:int,back:int,det:int,e:int,format:string,confidence:double,text:string,{_META}>"
@@ -197,128 +196,17 @@ def object_block(o: Column) -> Column:
     )
 
 
-def html_elements(text: Column) -> Column:
-    """Each opening tag with the first closing tag of its name: ``array<struct<s,e,name>>``.
+def table_block(x: Column) -> Column:
+    """Block of one table found by the kernel."""
+    confidence = F.when(x["cols"] >= 1, F.lit(0.95)).otherwise(F.lit(0.6))
+    return _block(_TABLE, "HTML_TABLE", x["s"], x["e"], confidence, x["text"], rows=x["rows"], cols=x["cols"])
 
-    Closing tags are written to one string, a letter per name, so that "next closing
-    tag of this name" is a substring search.
-    """
-    names = [rules.TABLE_TAG, *rules.HTML_TAGS]
-    either = "|".join(names)
-    letters = "abcdefghi"
-    letter = F.create_map(*[F.lit(x) for pair in zip(names, letters) for x in pair])
-    tags = regex_spans(
-        text, rf"(?Uid)<({either})\b|</({either})\s*>", opened=1, closed=2
-    )
-
-    def pair_up(ts: Column) -> Column:
-        marks = F.array_join(
-            F.transform(
-                ts,
-                lambda t: F.when(t["opened"] != "", F.lit(".")).otherwise(
-                    F.try_element_at(letter, F.lower(t["closed"]))
-                ),
-            ),
-            "",
-        )
-
-        def element(t: Column, i: Column, ms: Column) -> Column:
-            at = F.position(
-                F.try_element_at(letter, F.lower(t["opened"])), ms, i + 2
-            )
-            return F.when(
-                t["opened"] != "",
-                F.struct(
-                    t["s"].alias("s"),
-                    F.get(ts, at - 1)["e"].alias("e"),
-                    F.lower(t["opened"]).alias("name"),
-                ),
-            )
 
-        return let(
-            marks,
-            lambda ms: F.filter(
-                F.transform(ts, lambda t, i: element(t, i, ms)), lambda x: x["e"].isNotNull()
-            ),
-        )
-
-    return let(tags, pair_up)
-
-
-def _text_between(text: Column, s: Column, e: Column) -> Column:
-    return F.substring(text, s + 1, e - s)
-
-
-def table_blocks(elements: Column, taken: Column, text: Column) -> Column:
-    """Tables that touch nothing reserved; of nested ones the outermost."""
-    free = let(
-        taken,
-        lambda busy: F.filter(
-            elements,
-            lambda x: (x["name"] == rules.TABLE_TAG) & ~overlaps_any(busy, x["s"], x["e"]),
-        ),
-    )
-
-    def block(x: Column) -> Column:
-        return let(
-            _text_between(text, x["s"], x["e"]),
-            lambda html: let(
-                F.transform(
-                    F.slice(F.split(html, rules.TABLE_ROW, -1), 2, F.length(html)),
-                    lambda row: F.regexp_count(row, F.lit(rules.TABLE_CELL)),
-                ),
-                lambda cells: _block(
-                    _TABLE,
-                    "HTML_TABLE",
-                    x["s"],
-                    x["e"],
-                    F.when(F.array_max(cells) >= 1, F.lit(0.95)).otherwise(F.lit(0.6)),
-                    html,
-                    rows=F.size(cells),
-                    cols=F.coalesce(F.array_max(cells), F.lit(0)),
-                ),
-            ),
-        )
-
-    return F.transform(first_fit(free, "struct<s:int,e:int,name:string>"), block)
-
-
-def html_blocks(elements: Column, taken: Column, text: Column) -> Column:
-    """Block elements up to the first closing tag of their name, outermost first."""
-    free = let(
-        taken,
-        lambda busy: F.filter(
-            elements,
-            lambda x: (x["name"] != rules.TABLE_TAG)
-            & (x["e"] - x["s"] > rules.MIN_HTML_CHARS)
-            & ~overlaps_any(busy, x["s"], x["e"]),
-        ),
-    )
-
-    def block(x: Column) -> Column:
-        return let(
-            _text_between(text, x["s"], x["e"]),
-            lambda html: let(
-                F.struct(
-                    F.regexp_count(html, F.lit(rules.ANY_OPEN_TAG)).alias("opened"),
-                    F.regexp_count(html, F.lit(rules.ANY_CLOSE_TAG)).alias("closed"),
-                ),
-                lambda n: _block(
-                    _HTML,
-                    "HTML",
-                    x["s"],
-                    x["e"],
-                    F.lit(0.5)
-                    + F.least(
-                        F.lit(0.4), F.least(n["opened"], n["closed"]).cast("double") * F.lit(0.03)
-                    ),
-                    html,
-                    tag_count=n["opened"],
-                ),
-            ),
-        )
-
-    return F.transform(first_fit(free, "struct<s:int,e:int,name:string>"), block)
+def html_block(x: Column) -> Column:
+    """Block of one element found by the kernel."""
+    pairs = F.least(x["opened"], x["closed"]).cast("double")
+    confidence = F.lit(0.5) + F.least(F.lit(0.4), pairs * F.lit(0.03))
+    return _block(_HTML, "HTML", x["s"], x["e"], confidence, x["text"], tag_count=x["opened"])
 
 
 def csv_block(run: Column) -> Column:
@@ -421,120 +309,34 @@ def sql_blocks(text: Column, taken: Column) -> Column:
     )
 
 
-def free_spans(taken: Column, size: Column) -> Column:
-    """What the reserved spans leave over: the gaps between them and both ends."""
-    swept = F.aggregate(
-        F.array_sort(taken),
-        F.struct(F.lit(0).alias("upto"), empty(_SPAN).alias("gaps")),
-        lambda acc, o: F.struct(
-            F.greatest(acc["upto"], o["e"]).alias("upto"),
-            F.when(
-                o["s"] > acc["upto"],
-                F.array_append(acc["gaps"], F.struct(acc["upto"].alias("s"), o["s"].alias("e"))),
-            )
-            .otherwise(acc["gaps"])
-            .alias("gaps"),
-        ),
-        lambda acc: F.when(
-            size > acc["upto"],
-            F.array_append(acc["gaps"], F.struct(acc["upto"].alias("s"), size.alias("e"))),
-        ).otherwise(acc["gaps"]),
-    )
-    return swept
-
-
-def raw_blocks(text: Column, taken: Column) -> Column:
-    """Paragraphs of the unreserved text."""
-
-    def paragraphs(gap: Column) -> Column:
-        segment = _text_between(text, gap["s"], gap["e"])
-        lead = lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(rules.WHITESPACE)))
-
-        def split_up(raw: Column) -> Column:
-            body = trim_ws(raw)
-            parts = F.struct(
-                F.split(body, rules.PARAGRAPH_BREAK, -1).alias("texts"),
-                F.regexp_extract_all(body, F.lit(rules.PARAGRAPH_BREAK), F.lit(0)).alias("breaks"),
-                (gap["s"] + lead(raw)).alias("base"),
-            )
-            return F.when(
-                F.length(body) >= rules.MIN_RAW_CHARS,
-                let(
-                    parts,
-                    lambda p: let(
-                        offsets(
-                            F.zip_with(
-                                p["texts"],
-                                p["breaks"],
-                                lambda t, b: F.length(t) + F.coalesce(F.length(b), F.lit(0)),
-                            )
-                        ),
-                        lambda at: F.zip_with(
-                            p["texts"],
-                            at,
-                            lambda t, a: let(
-                                F.struct(
-                                    (p["base"] + a + lead(t)).alias("s"), trim_ws(t).alias("body")
-                                ),
-                                lambda x: _block(
-                                    _RAW,
-                                    "RAW_TEXT",
-                                    x["s"],
-                                    x["s"] + F.length(x["body"]),
-                                    0.35,
-                                    x["body"],
-                                ),
-                            ),
-                        ),
-                    ),
-                ),
-            ).otherwise(empty(_BLOCK))
-
-        return let(segment, split_up)
-
-    return F.flatten(F.transform(free_spans(taken, F.length(text)), paragraphs))
+def raw_block(x: Column) -> Column:
+    """Block of one paragraph found by the kernel."""
+    return _block(_RAW, "RAW_TEXT", x["s"], x["s"] + F.length(x["text"]), 0.35, x["text"])
 
 
-def keep_outermost(blocks: Column) -> Column:
-    """Sorted blocks with ``kept`` false for those inside one of equal or higher priority.
+def laid_out(text: Column, taken: Column, min_html: int = rules.MIN_HTML_CHARS, min_raw: int = rules.MIN_RAW_CHARS) -> Column:
+    """Tables, HTML blocks, delimited runs and paragraphs outside the spans taken.  Elements of
+    up to ``min_html`` and leftovers of less than ``min_raw`` characters are left out."""
+    return layout(text, taken, F.lit(min_html), F.lit(min_raw))
 
-    In order of start a block can only be contained by an earlier one, so the furthest
-    end seen per priority is all that has to be remembered.
-    """
-    rank = F.create_map(*[F.lit(x) for pair in rules.PRIORITY.items() for x in pair])
-    start = F.struct(
-        F.array_repeat(F.lit(-1), len(rules.FORMATS)).alias("reach"),
-        empty("boolean").alias("kept"),
-    )
 
-    def step(acc: Column, b: Column) -> Column:
-        return let(
-            F.try_element_at(rank, b["format"]),
-            lambda p: F.struct(
-                F.transform(
-                    acc["reach"],
-                    lambda far, i: F.when(i == p, F.greatest(far, b["e"])).otherwise(far),
-                ).alias("reach"),
-                F.array_append(
-                    acc["kept"], F.array_max(F.slice(acc["reach"], F.lit(1), p + 1)) < b["e"]
-                ).alias("kept"),
-            ),
-        )
-
-    return let(
-        F.array_sort(blocks),
-        lambda bs: F.zip_with(
-            bs,
-            F.aggregate(bs, start, step, lambda acc: acc["kept"]),
-            lambda b, kept: F.struct(b.alias("block"), kept.alias("kept")),
-        ),
-    )
+def paragraphs(docs: DataFrame, text: str = "text", min_raw: int = rules.MIN_RAW_CHARS) -> DataFrame:
+    """``docs`` with ``blocks``: the paragraphs of whole texts."""
+    found = docs.withColumn("_layout", laid_out(F.col(text), empty(_SPAN), rules.MIN_HTML_CHARS, min_raw))
+    return found.withColumn("blocks", F.transform("_layout.raw", raw_block)).drop("_layout")
 
 
 def blocks(
-    docs: DataFrame, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), js_first: bool = False
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    keys: tuple[str, ...] = ("doc_id",),
+    js_first: bool = False,
+    min_html: int = rules.MIN_HTML_CHARS,
+    min_raw: int = rules.MIN_RAW_CHARS,
 ) -> DataFrame:
-    """One row per document: ``keys`` and ``blocks array<struct<block, kept>>``."""
+    """One row per document: ``keys`` and ``blocks array<struct<block, kept>>``.  Sorted blocks
+    inside one of equal or higher priority are not kept."""
     df = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     t = F.col("_text")
     # A literal that a detector cannot do without is looked for before its pattern runs.
@@ -556,10 +358,6 @@ def blocks(
         _sections=col("sections", lambda: only_if(has("---"), json_sections(t), no_spans)),
         _scripts=col("scripts", lambda: only_if(has("{"), js_heads(t), no_spans)),
         _first=F.lit(js_first),
-        _elements=col(
-            "elements",
-            lambda: only_if(has("<"), html_elements(t), "struct<s:int,e:int,name:string>"),
-        ),
     )
     braced = has("{") | (F.size("_ld") > 0) | (F.size("_sections") > 0)
     df = df.withColumn("_braced", F.when(braced, t)).withColumn(
@@ -574,20 +372,18 @@ def blocks(
             ),
         ),
     )
-    tags = F.col("_elements")
-    df = bind(
-        df, _tables=col("tables", lambda: table_blocks(tags, taken("_found", "_yaml"), t))
-    )
+    df = bind(df, _before=col("before", lambda: taken("_found", "_yaml")))
+    df = df.withColumn("_layout", laid_out(t, F.col("_before"), min_html, min_raw))
     df = bind(
-        df, _html=col("html", lambda: html_blocks(tags, taken("_found", "_yaml", "_tables"), t))
+        df,
+        _tables=col("tables", lambda: F.transform("_layout.tables", table_block)),
+        _html=col("html", lambda: F.transform("_layout.html", html_block)),
     )
     df = bind(
         df,
         _taken=col("taken", lambda: taken("_found", "_yaml", "_tables", "_html")),
         _lines=col("lines", lambda: lines(t)),
     )
-    delimited = F.when(has(*rules.CSV_DELIMITERS), t)
-    df = df.withColumn("_delimited", delimited).withColumn("_runs", csv_runs("_delimited", "_taken"))
     busy, lns = F.col("_taken"), F.col("_lines")
     every = lambda: F.concat(
         "_found",
@@ -595,21 +391,30 @@ def blocks(
         "_tables",
         "_html",
         js_blocks(F.col("_objects"), busy),
-        F.transform("_runs", csv_block),
+        F.transform("_layout.runs", csv_block),
         only_if(has(":", "="), key_value_blocks(lns, busy), _BLOCK),
         only_if(has(";"), sql_blocks(t, busy), _BLOCK),
-        raw_blocks(t, busy),
-    )
-    return df.select(
-        *keys, col("every", lambda: keep_outermost(every())).alias("blocks")
+        F.transform("_layout.raw", raw_block),
     )
+    df = bind(df, _every=col("every", lambda: F.array_sort(every())))
+    rank = F.create_map(*[F.lit(x) for pair in rules.PRIORITY.items() for x in pair])
+    ranked = F.transform("_every", lambda b: F.struct(b["e"].alias("e"), F.try_element_at(rank, b["format"]).alias("rank")))
+    df = df.withColumn("_kept", outermost(ranked))
+    pair = lambda b, kept: F.struct(b.alias("block"), kept.alias("kept"))
+    return df.select(*keys, F.zip_with("_every", "_kept", pair).alias("blocks"))
 
 
 def fragments(
-    docs: DataFrame, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), js_first: bool = False
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    keys: tuple[str, ...] = ("doc_id",),
+    js_first: bool = False,
+    min_html: int = rules.MIN_HTML_CHARS,
+    min_raw: int = rules.MIN_RAW_CHARS,
 ) -> DataFrame:
     """Fragments of each document with offsets, confidence and ``ord`` in document order."""
-    df = blocks(docs, text=text, keys=keys, js_first=js_first)
+    df = blocks(docs, text=text, keys=keys, js_first=js_first, min_html=min_html, min_raw=min_raw)
     kept = F.filter("blocks", lambda x: x["kept"])
     return (
         df.select(*keys, F.posexplode(kept).alias("ord", "x"))
@@ -629,10 +434,16 @@ def fragments(
 
 
 def skipped_fragments(
-    docs: DataFrame, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), js_first: bool = False
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    keys: tuple[str, ...] = ("doc_id",),
+    js_first: bool = False,
+    min_html: int = rules.MIN_HTML_CHARS,
+    min_raw: int = rules.MIN_RAW_CHARS,
 ) -> DataFrame:
     """Blocks dropped by containment, each with the first kept block that holds it."""
-    df = blocks(docs, text=text, keys=keys, js_first=js_first)
+    df = blocks(docs, text=text, keys=keys, js_first=js_first, min_html=min_html, min_raw=min_raw)
     rank = F.create_map(*[F.lit(x) for pair in rules.PRIORITY.items() for x in pair])
     slim = F.transform(
         "blocks",

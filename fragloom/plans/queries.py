@@ -534,9 +534,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = corpus.spread(table(spark, sf, "documents"))
-    found = docs.select(
-        "doc_id", F.explode(detect.raw_blocks(F.col("text"), empty("struct<s:int,e:int>"))).alias("b")
-    )
+    found = detect.paragraphs(docs).select("doc_id", F.explode("blocks").alias("b"))
     return found.groupBy("doc_id").agg(
         F.count("*").alias("n_paragraphs"), F.sum(F.length("b.text")).alias("n_chars")
     )
