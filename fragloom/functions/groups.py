@@ -7,7 +7,37 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 
-BUCKETS = 64
+#: Keys that are looked at for being hot, and buckets a whole table's worth of rows gets per
+#: shuffle partition: a key with a tenth of the rows is spread over 0.4 x the partitions.
+HOT_KEYS, BUCKETS_PER_PARTITION = 256, 4
+
+
+def hot_buckets(facts: DataFrame, on: list[str]) -> dict[int, int]:
+    """Number of buckets of each key that needs more than one, by the key's hash.
+
+    A frequent-items sketch over the keys, one pass without a shuffle, finds at most
+    ``HOT_KEYS`` of them, whatever the data.  A key that shares its hash with a hot one is
+    spread like it, which changes no result.
+    """
+    spark = facts.sparkSession
+    room = BUCKETS_PER_PARTITION * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = facts.select(F.xxhash64(*on).alias("key"))
+    top = f"approx_top_k(key, {HOT_KEYS}, {64 * HOT_KEYS})"
+    found = keys.agg(F.count("*").alias("n"), F.expr(top).alias("top")).first()
+    shares = ((row["item"], -(-row["count"] * room // found["n"])) for row in found["top"] or ())
+    return {key: int(n) for key, n in shares if n > 1}
+
+
+def _bucketed(facts: DataFrame, on: list[str], spread: list[str], hot: dict[int, int]) -> DataFrame:
+    """``facts`` with ``_bucket``: 0 for the keys that are not hot."""
+    return facts.withColumn("_bucket", F.pmod(F.xxhash64(*spread), _buckets(on, hot)).cast("int"))
+
+
+def _buckets(on: list[str], hot: dict[int, int]) -> Column:
+    if not hot:
+        return F.lit(1)
+    known = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.xxhash64(*on)), F.lit(1))
 
 
 def join_spread(
@@ -15,23 +45,23 @@ def join_spread(
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` (one row per ``on``) with hot keys spread over buckets.
 
-    Facts get a bucket from ``spread``.  The buckets each key really occurs in come from
-    a pre-aggregated pass, so a look-up row is repeated only where it is needed: never
-    more often than its key has facts.
+    Which keys are hot, and over how many buckets they go, is measured.  Facts of a hot key
+    get a bucket from ``spread`` and its look-up row is repeated for each; all others take an
+    ordinary join.
     """
-    bucket = F.pmod(F.xxhash64(*spread), F.lit(BUCKETS)).cast("int")
-    salted = facts.withColumn("_bucket", bucket)
-    used = salted.select(*on, "_bucket").distinct()
-    spread_lookup = used.join(lookup, on, how)
-    return salted.join(spread_lookup, [*on, "_bucket"], how).drop("_bucket")
+    hot = hot_buckets(facts, on)
+    salted = _bucketed(facts, on, spread, hot)
+    repeated = lookup.withColumn("_bucket", F.explode(F.sequence(F.lit(0), _buckets(on, hot) - 1)))
+    return salted.join(repeated, [*on, "_bucket"], how).drop("_bucket")
 
 
 def attach_best(
     facts: DataFrame, on: list[str], best: Column, name: str, spread: list[str]
 ) -> DataFrame:
-    """Add the smallest ``best`` of each group of ``on`` to all of the group's rows."""
-    bucket = F.pmod(F.xxhash64(*spread), F.lit(BUCKETS)).cast("int")
-    salted = facts.withColumn("_bucket", bucket)
+    """Add the smallest ``best`` of each group of ``on`` to all of the group's rows.  Hot
+    groups are spread as in :func:`join_spread`."""
+    hot = hot_buckets(facts, on)
+    salted = _bucketed(facts, on, spread, hot)
     partial = salted.groupBy(*on, "_bucket").agg(F.min(best).alias(name))
     lookup = (
         partial.groupBy(*on)
