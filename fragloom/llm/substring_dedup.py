@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_value, kept_in_process
+from .shared import by_value, kept_in_process, staged
 
 by_value(__name__)
 
@@ -43,11 +43,9 @@ PREFIX = 6
 GROUP = 2000
 SALTS = 16
 _BEFORE = WINDOW - PREFIX
-_TIE = 40  # a document's place: 16 bits of its text's hash, then the word's position
-_POSITION = (1 << _TIE) - 1
 _ROWS = 20_000
 _KNOWN = 1_000_000
-_COPIES, _NONE = 200_000, np.iinfo(np.int64).max
+_COPIES = 200_000
 
 
 class _Words(dict):
@@ -63,10 +61,6 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _tie(text: str | None) -> int:
-    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) & 0xFFFF
-
-
 def _rolled(hashes: np.ndarray, length: int) -> np.ndarray:
     """A hash of each run of ``length`` words."""
     n = len(hashes) - length + 1
@@ -103,7 +97,7 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
                 if found is not None:
                     out[0].append(found[0])
                     out[1].append(np.full(len(found[0]), doc, np.int64))
-                    out[2].append(found[1] + (_tie(text) << _TIE))
+                    out[2].append(found[1])
             columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out]
             yield pa.RecordBatch.from_arrays(columns, names=["hash", "doc", "at"])
 
@@ -150,22 +144,19 @@ def _suffixes(marked: DataFrame, group: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tie = _tie(text) << _TIE
-                often = {m["at"] - tie: m["n"] for m in marks if m["at"] & ~_POSITION == tie}
-                if not often:
-                    continue
+                often = {m["at"]: m["n"] for m in marks}
                 words = _split(text)
                 for key, place, first, last in zip(*(x.tolist() for x in anchors(words)), strict=True):
                     n = often.get(place, 0)
                     if not n:
                         continue
                     if n <= group:
-                        out.append((key, doc, tie + place, place - first, place - last, place - first, b" ".join(words[first : last + WINDOW])))
+                        out.append((key, doc, place, place - first, place - last, place - first, b" ".join(words[first : last + WINDOW])))
                         continue
                     known_earlier = 0
                     for start in range(first, last + 1):
                         prefix = xxhash.xxh3_128_digest(b" ".join(words[start : start + WINDOW]))
-                        mine = (doc, tie + start)
+                        mine = (doc, start)
                         known = least.setdefault(prefix, mine)
                         if known < mine:
                             known_earlier |= 1 << place - start
@@ -173,7 +164,7 @@ def _suffixes(marked: DataFrame, group: int) -> DataFrame:
                             least[prefix] = mine
                             out.append((known[0] ^ key, *known, -1, 1, 0, b""))
                     if known_earlier:
-                        out.append((doc ^ key, doc, tie + place, -1, known_earlier, 0, b""))
+                        out.append((doc ^ key, doc, place, -1, known_earlier, 0, b""))
                 if len(least) > _COPIES:
                     out += whole()
                     least.clear()
@@ -282,10 +273,7 @@ def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words, kept = _split(text), None
                 if found:
-                    tie = _tie(text) << _TIE
-                    starts = {
-                        m["at"] - tie - o for m in found if m["at"] & ~_POSITION == tie for o in range(_BEFORE + 1) if m["mask"] >> o & 1
-                    }
+                    starts = {m["at"] - o for m in found for o in range(_BEFORE + 1) if m["mask"] >> o & 1}
                     gone = _covered(len(words), sorted(starts))
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = words if kept is None else kept
@@ -312,11 +300,40 @@ def remove_repeats(
     are judged on the input: earlier is a smaller doc_id or, in one document, an earlier
     start.  Null and short texts have no windows and keep all their words.  A null id is
     larger than every other.  Rows that share an id are told apart by their texts, of
-    which the one of smaller hash counts as earlier; rows that repeat id and text are one
+    which the one of smaller SHA-256 counts as earlier; rows that repeat id and text are one
     document and get the same result.  Empty tables give an empty result.
     """
-    own: Column = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NONE)))
-    rows = docs.select(own.alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shared = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if shared.isEmpty():
+        return _judged(rows.withColumn("doc", F.col("doc_id")), group, with_text)
+    found = _judged(_numbered(rows).withColumn("doc_id", F.struct("doc_id", "copies")), group, with_text)
+    rest = [c for c in found.columns if c != "doc_id"]
+    copies = F.explode(F.sequence(F.lit(1), F.col("doc_id.copies"))).alias("_copy")
+    return found.select("doc_id.doc_id", *rest, copies).drop("_copy")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``doc, doc_id, text, copies``: rows that repeat id and text taken as one, numbered in
+    the order of ids (nulls last) and, of one id, of their texts' digests.
+
+    Numbers are places in range partitions after the rows of the partitions before, so that
+    no id, not even the null one, is a key that rows meet under.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    alike = rows.groupBy("doc_id", digest.alias("digest")).agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    order = [F.col("no_id"), F.col("doc_id"), F.col("digest")]
+    ranged = alike.withColumn("no_id", F.col("doc_id").isNull()).repartitionByRange(*order)
+    placed = staged(ranged.withColumn("part", F.spark_partition_id()), "numbered-texts")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return placed.join(starts, "part").select((F.col("start") + own).alias("doc"), "doc_id", "text", "copies")
+
+
+def _judged(rows: DataFrame, group: int, with_text: bool) -> DataFrame:
+    """The result for ``rows(doc, doc_id, text)``, where ``doc`` is unique and in id order."""
     marks = repeated_anchors(rows).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
     # Both joins take the same columns of the texts, so that they read one shuffle of them.
     marked = rows.join(marks, "doc")

@@ -169,3 +169,19 @@ def test_no_rows(no_docs):
     assert exact_dedup.groups(no_docs).count() == exact_dedup.dedup(no_docs).count() == 0
     assert simhash_dedup.groups(no_docs).count() == simhash_dedup.near_dedup(no_docs).count() == 0
     assert substring_dedup.remove_repeats(no_docs).count() == 0
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids: each text is a document, after the others by id, then digest."""
+    rng = random.Random(8)
+    pool = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(4)]
+    rows = [(None if i % 3 == 0 else i // 2, f"{pool[rng.randrange(4)]} own{i} {pool[rng.randrange(4)] if i % 4 else ''}") for i in range(60)]
+    rows += [(1, pool[0]), (None, pool[1] + " x"), (None, " ".join(f"only{i}" for i in range(40))), rows[5], rows[5], (None, None), (None, ""), (0, None)]
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    distinct = sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, sha(r[1])))
+    number = {r: i for i, r in enumerate(distinct)}
+    by_number = _removed([(i, r[1]) for r, i in number.items()])
+    want = Counter((r[0], *by_number[number[r[0], r[1] or ""]]) for r in rows)
+    for n in (1, 5):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
