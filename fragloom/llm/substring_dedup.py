@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import by_value, kept_in_process, staged
+from .word_arrays import byte_classes, slices, words_of
 
 by_value(__name__)
 
@@ -44,6 +45,9 @@ GROUP = 2000
 SALTS = 16
 _BEFORE = WINDOW - PREFIX
 _ROWS = 20_000
+#: Bytes of text that are worked on together.
+SLICE = 1 << 22
+_CLASSES = byte_classes(b" \t\n\x0b\x0c\r")
 _KNOWN = 1_000_000
 _COPIES = 200_000
 
@@ -72,16 +76,35 @@ def _rolled(hashes: np.ndarray, length: int) -> np.ndarray:
     return (total ^ total >> np.uint64(29)).view(np.int64)
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """``hash, position, first, last`` of the anchors of all windows: the six-gram's hash
-    and place, and the first and last window start it is the anchor of."""
-    if len(words) < WINDOW:
-        return None
-    grams = _rolled(_word_hashes(words), PREFIX)
-    place = np.lib.stride_tricks.sliding_window_view(grams, _BEFORE + 1).argmin(axis=1) + np.arange(len(words) - WINDOW + 1)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    last = np.r_[first[1:], len(place)] - 1
-    return grams[place[first]], place[first], first, last
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` values the place of its least one, the first of equals."""
+    best, reach = np.arange(len(values)), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        left, right = best[: len(best) - step], best[step:]
+        best = np.where(values[left] <= values[right], left, right)
+        reach += step
+    return best
+
+
+def anchors(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """``hash, doc, position, first, last`` of the anchors of all windows of some texts: the
+    six-gram's hash, its text and place there, and the first and last window start it is the
+    anchor of.  In order of text and place."""
+    words = words_of(texts, _CLASSES)
+    n = len(words.ids)
+    start = np.flatnonzero(words.doc[: max(n - WINDOW + 1, 0)] == words.doc[WINDOW - 1 :])
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 5
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words.vocabulary.to_pylist()), np.uint64, len(words.vocabulary))
+    grams = _rolled(own[words.ids], PREFIX)
+    place = _least(grams, _BEFORE + 1)[start]
+    begins = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    place, first, last = place[begins], start[begins], start[np.r_[begins[1:], len(start)] - 1]
+    doc = words.doc[place]
+    counts = np.bincount(words.doc, minlength=len(texts))
+    base = (np.cumsum(counts) - counts)[doc]
+    return grams[place], doc, place - base, first - base, last - base
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -90,16 +113,10 @@ def _split(text: str | None) -> list[bytes]:
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = anchors(_split(text))
-                if found is not None:
-                    out[0].append(found[0])
-                    out[1].append(np.full(len(found[0]), doc, np.int64))
-                    out[2].append(found[1])
-            columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out]
-            yield pa.RecordBatch.from_arrays(columns, names=["hash", "doc", "at"])
+        for part in (part for batch in batches for part in slices(batch, 1, SLICE)):
+            key, doc, place, _, _ = anchors(part.column(1))
+            owner = part.column(0).to_numpy()[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(place)], names=["hash", "doc", "at"])
 
     return rows.select("doc", "text").mapInArrow(run, "hash long, doc long, at long")
 
@@ -141,15 +158,16 @@ def _suffixes(marked: DataFrame, group: int) -> DataFrame:
                 (int.from_bytes(prefix[:8], "little", signed=True), *at, 0, 0, 0, b64encode(prefix[8:])) for prefix, at in least.items()
             ]
 
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch, 1, SLICE)):
             out: list[tuple] = []
-            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                often = {m["at"]: m["n"] for m in marks}
-                words = _split(text)
-                for key, place, first, last in zip(*(x.tolist() for x in anchors(words)), strict=True):
-                    n = often.get(place, 0)
-                    if not n:
-                        continue
+            keys, owner, places, firsts, lasts = anchors(batch.column(1))
+            begins = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            for i, (doc, text, marks) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                words, own = _split(text), slice(begins[i], begins[i + 1])
+                often = sorted((m["at"], m["n"]) for m in marks)
+                at = begins[i] + np.searchsorted(places[own], [p for p, _ in often])
+                found = zip(keys[at].tolist(), firsts[at].tolist(), lasts[at].tolist(), often, strict=True)
+                for key, first, last, (place, n) in found:
                     if n <= group:
                         out.append((key, doc, place, place - first, place - last, place - first, b" ".join(words[first : last + WINDOW])))
                         continue

@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -185,3 +186,18 @@ def test_rows_without_an_id_of_their_own(spark):
     for n in (1, 5):
         got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+
+
+def test_anchors_of_many_texts_are_those_of_each():
+    rng = random.Random(4)
+    texts = [None, "", "a b"] + [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(0, 90))) for _ in range(40)] + ["short one"] * 20
+    whole = list(zip(*(x.tolist() for x in substring_dedup.anchors(pa.array(texts, pa.string()))), strict=True))
+    single = []
+    for i, text in enumerate(texts):
+        one = substring_dedup.anchors(pa.array([text], pa.string()))
+        single += [(k, i, *rest) for k, _, *rest in zip(*(x.tolist() for x in one), strict=True)]
+        covered = sorted(s for first, last in zip(one[3].tolist(), one[4].tolist(), strict=True) for s in range(first, last + 1))
+        assert covered == list(range(len((text or "").split()) - 19))
+        assert all(0 <= p - s <= 14 for p, first, last in zip(*(x.tolist() for x in one[2:]), strict=True) for s in (first, last))
+    assert whole == single
+    assert len(substring_dedup.anchors(pa.array(["a b"] * 30))[0]) == 0
