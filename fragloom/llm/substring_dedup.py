@@ -49,7 +49,7 @@ _ROWS = 20_000
 SLICE = 1 << 22
 _CLASSES = byte_classes(b" \t\n\x0b\x0c\r")
 _KNOWN = 1_000_000
-_COPIES = 200_000
+_COPIES, _NO_ID = 200_000, int(np.iinfo(np.int64).max)
 
 
 class _Words(dict):
@@ -324,7 +324,10 @@ def remove_repeats(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shared = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
     if shared.isEmpty():
-        return _judged(rows.withColumn("doc", F.col("doc_id")), group, with_text)
+        # Not the id itself: of two equal columns one would be left out of one of the two
+        # shuffles of the texts, and they would no longer be the same.
+        key = F.coalesce("doc_id", F.lit(_NO_ID))
+        return _judged(rows.select(key.alias("doc"), "doc_id", "text"), group, with_text)
     found = _judged(_numbered(rows).withColumn("doc_id", F.struct("doc_id", "copies")), group, with_text)
     rest = [c for c in found.columns if c != "doc_id"]
     copies = F.explode(F.sequence(F.lit(1), F.col("doc_id.copies"))).alias("_copy")
