@@ -2,9 +2,9 @@
 
 Features are TF-IDF weights of hashed character n-grams.  The weights are learnt with
 follow-the-regularised-leader (proximal, per-coordinate rates) under an elastic-net
-penalty, on a sample of labelled rows whose bound is a parameter; IDF belongs to the
-fitted features and comes from the same rows.  A part of the sample that takes no part in
-learning sets the temperature of the scores.
+penalty, on a sample of labelled rows whose bound is a parameter; IDF is a statistic of
+the corpus and counted over every row that may be learnt from.  A part of the sample that
+takes no part in learning sets the temperature of the scores.
 """
 
 from __future__ import annotations
@@ -87,15 +87,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def learn(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """Fit on ``(label, n-grams, counts)`` rows in a fixed order."""
+def learn(rows: list[tuple[str, np.ndarray, np.ndarray]], seen: np.ndarray, n_docs: int) -> Model:
+    """Fit on ``(label, n-grams, counts)`` rows in a fixed order.
+
+    ``seen`` is the number of documents that hold each n-gram, of ``n_docs`` in all.
+    """
     labels = sorted({r[0] for r in rows})
-    idf = np.zeros(1 << BUCKET_BITS)
+    idf = np.log((1 + n_docs) / (1 + seen)) + 1
     if not labels:
         return Model([], idf, np.zeros((len(idf), 0), np.float32), 1.0)
-    for _, found, _ in rows:
-        idf[found] += 1
-    idf = np.log((1 + len(rows)) / (1 + idf)) + 1
     model = Model(labels, idf, np.zeros((len(idf), len(labels))), 1.0)
     place = {label: i for i, label in enumerate(labels)}
     examples = [(place[label], found, model.vector(found, n)) for label, found, n in rows]
@@ -147,11 +147,35 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many of all texts hold each n-gram, and how many have a letter at all.
+
+    Each task adds its texts up before anything is shuffled; the driver gets one row per
+    bucket, ``2**BUCKET_BITS + 1`` at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((1 << BUCKET_BITS) + 1, np.int64)  # the last is of texts
+        for batch in batches:
+            for text in batch.column(0):
+                grams = counts(text.as_py())
+                if grams is not None:
+                    seen[grams[0]] += 1
+                    seen[-1] += 1
+        found = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(seen[found], pa.int64())], names=["bucket", "n"])
+
+    seen = np.zeros((1 << BUCKET_BITS) + 1, np.int64)
+    for r in texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        seen[r["bucket"]] = r["n"]
+    return seen[:-1], int(seen[-1])
+
+
 def fit(docs: DataFrame, learnable: Column, id_col: str, text_col: str, label_col: str, rows_per_label: int = ROWS_PER_LABEL) -> Model:
     """A model of the rows that are ``learnable``, have a label and an id.
 
-    About ``rows_per_label`` rows of each label are drawn by a hash of the id; their
-    n-gram counts come to the driver, where the model is fitted: at most
+    IDF is counted over all of them.  About ``rows_per_label`` rows of each label are drawn
+    by a hash of the id for fitting the weights; their n-gram counts come to the driver, where the model is fitted: at most
     ``rows_per_label`` x labels x 2**16 entries, expected.
     """
     usable = docs.filter(learnable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
@@ -159,7 +183,7 @@ def fit(docs: DataFrame, learnable: Column, id_col: str, text_col: str, label_co
     )
     n = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}  # one row per label
     if not n:
-        return learn([])
+        return learn([], np.zeros(1 << BUCKET_BITS, np.int64), 0)
     draw = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) / 1_000_000.0
     shares = F.create_map(*[F.lit(x) for label, k in n.items() for x in (label, min(1.0, rows_per_label / k))])
     drawn = usable.filter(draw < shares[F.col("label")])
@@ -177,7 +201,8 @@ def fit(docs: DataFrame, learnable: Column, id_col: str, text_col: str, label_co
 
     rows = drawn.mapInArrow(run, "id string, label string, grams binary, n binary").collect()
     rows.sort(key=lambda r: (r["id"], r["label"], bytes(r["grams"])))
-    return learn([(r["label"], np.frombuffer(r["grams"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<i4")) for r in rows])
+    sample = [(r["label"], np.frombuffer(r["grams"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<i4")) for r in rows]
+    return learn(sample, *document_counts(usable.select("text")))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str, *keep: str) -> DataFrame:
