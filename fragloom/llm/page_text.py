@@ -6,8 +6,9 @@ merged tree knows how its presentation (the elements inside) and its content (th
 inside) vary over the host's pages; the entropy of each, on a scale of 0 to 1, says how
 much of it is the page's own.  A branch in which neither varies is decoration of the site
 and is taken out of each page, as are elements whose name or class says that they are
-navigation, advert, form or the like.  What remains inside ``article`` or ``main``, or on
-a page without them in the body, is the text.
+navigation, advert, form or the like.  A form round most of the page's paragraphs, or round
+its article, is a frame of the page and stays.  What remains inside ``article`` or ``main``
+is the text if it is at least half of all that remains; otherwise all of that is.
 
 The counts are combined per (host, path, value) and then per (host, path), so that a host
 with a third of all pages is counted like any other.  A branch is judged if it stands on
@@ -51,7 +52,7 @@ _INLINE = set(
     "sup time tt u var".split()
 )
 #: Elements that hold no main text, by name, role, and word of class or id.
-_NAMES = set("head nav footer aside form script style noscript template iframe svg math button select textarea dialog object canvas menu title xmp".split())
+_NAMES = set("head nav footer aside script style noscript template iframe svg math button select textarea dialog object canvas menu title xmp".split())
 _ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _WORDS = set(
     "ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
@@ -67,6 +68,7 @@ _CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
     "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"},
 }
+_CONTROLS = set("input select textarea button label".split())
 _LONG = (1 << 63) - 1
 
 
@@ -79,7 +81,8 @@ class Page:
 
     ``nodes`` are ``[parent, path, dropped, framed, plain]``: the place of the parent, the
     hash of the path, whether the element is dropped by name or class, whether it stands
-    in ``article`` or ``main``, and whether the path below those has no attributes.
+    in ``article`` or ``main``, and whether the path below those has no attributes.  Texts
+    of dropped elements count in no branch.
     Inline elements are no nodes; they neither part words nor hold text of their own.
     """
 
@@ -87,26 +90,25 @@ class Page:
         html = html or ""
         self.nodes: list[list] = [[-1, 0, False, False, False]]
         self.texts: list[tuple[int, str]] = []  # node, text; an empty text parts blocks
-        self.spans: list[list[int]] = [[0, 0, 0, 0]]  # content and presentation sums, at begin and end
-        self.has_frame = False
-        content = style = at = 0
+        self.spans: list[list[int]] = [[0, 0, 0, 0]]  # number of texts and presentation sum, at begin and end
+        self.forms: set[int] = set()
+        self.paragraphs: set[int] = set()
+        self.fields: set[int] = set()  # what holds a control or a label directly
+        style = at = 0
         stack = [("", 0)]
         hashes: dict[str, int] = {}
 
         def text(until: int) -> None:
-            nonlocal content
             if until > at:
                 found = html[at:until]
                 if "&" in found:
                     found = unescape(found)
                 self.texts.append((stack[-1][1], found))
-                if not self.nodes[stack[-1][1]][2] and (words := found.strip()):
-                    content += _hash(words)
 
         def close(depth: int) -> None:
             while len(stack) > depth:
                 _, node = stack.pop()
-                self.spans[node][2:] = content, style
+                self.spans[node][2:] = len(self.texts), style
             self.texts.append((stack[-1][1], ""))
 
         position = 0
@@ -127,6 +129,8 @@ class Page:
                 else:
                     self.texts.append((stack[-1][1], ""))
                 continue
+            if name in _CONTROLS:
+                self.fields.add(stack[-1][1])
             if name in _RAW:
                 end = _RAW[name].search(html, position)
                 position = at = end.end() if end else len(html)
@@ -155,24 +159,51 @@ class Page:
                 framed,
                 framed and (not parent[3] or parent[4]) and (name in _FRAMES or not attributes),
             ]
-            if framed and not node[2]:
-                self.has_frame = True
+            if name == "form":
+                self.forms.add(len(self.nodes))
+            elif name == "p":
+                self.paragraphs.add(len(self.nodes))
             style += hashes[label]
             stack.append((name, len(self.nodes)))
             self.nodes.append(node)
-            self.spans.append([content, style, 0, 0])
+            self.spans.append([len(self.texts), style, 0, 0])
             if rest.endswith("/") and name not in _FRAMES and name in ("svg", "math"):
                 close(len(stack) - 1)
         text(len(html))
         close(1)
+        if self.forms:
+            self._drop_forms()
+
+    def _drop_forms(self) -> None:
+        """Drop the forms that frame neither an article nor most of the page's paragraphs."""
+        read = [0] * len(self.nodes)  # characters of paragraphs in each element
+        for node, text in self.texts:
+            if not self.nodes[node][2]:
+                read[node] += len("".join(text.split()))
+        total = sum(read)
+        holds = [n if i in self.paragraphs and i not in self.fields else 0 for i, n in enumerate(read)]
+        for i in range(len(self.nodes) - 1, 0, -1):  # children come after their parents
+            if not self.nodes[i][2]:
+                holds[self.nodes[i][0]] += holds[i]
+        framed = {self.nodes[i][0] for i in range(1, len(self.nodes)) if self.nodes[i][3] and not self.nodes[i][2]}
+        for i in range(len(self.nodes) - 1, 0, -1):
+            if i in framed:
+                framed.add(self.nodes[i][0])
+        for i, node in enumerate(self.nodes[1:], 1):
+            kept = i not in self.forms or (i in framed and not self.nodes[node[0]][3]) or 2 * holds[i] > total
+            node[2] = node[2] or not kept or self.nodes[node[0]][2]
 
     def branches(self) -> dict[int, tuple[int, int]]:
         """Presentation and content of each judged path, as hashes."""
         found: dict[int, tuple[int, int]] = {}
-        for (_, path, dropped, _, plain), (c0, s0, c1, s1) in zip(self.nodes[1:], self.spans[1:], strict=True):
+        content = [0]  # sums of the texts' hashes
+        for node, text in self.texts:
+            words = "" if self.nodes[node][2] else text.strip()
+            content.append(content[-1] + _hash(words) if words else content[-1])
+        for (_, path, dropped, _, plain), (t0, s0, t1, s1) in zip(self.nodes[1:], self.spans[1:], strict=True):
             if not dropped and not plain:
-                style, content = found.get(path, (0, 0))
-                found[path] = (style + s1 - s0) & _LONG, (content + c1 - c0) & _LONG
+                style, own = found.get(path, (0, 0))
+                found[path] = (style + s1 - s0) & _LONG, (own + content[t1] - content[t0]) & _LONG
         return found
 
     def text(self, decoration: set[int]) -> str:
@@ -180,7 +211,14 @@ class Page:
         removed = [True] * len(self.nodes)
         for i, (parent, path, dropped, _, plain) in enumerate(self.nodes):
             removed[i] = dropped or (parent >= 0 and removed[parent]) or (not plain and path in decoration)
-        wanted = [not gone and (node[3] or not self.has_frame) for gone, node in zip(removed, self.nodes, strict=True)]
+        framed = total = 0
+        for node, text in self.texts:
+            if text and not removed[node]:
+                n = len("".join(text.split()))
+                total += n
+                framed += n if self.nodes[node][3] else 0
+        frames_only = total > 0 and 2 * framed >= total
+        wanted = [not gone and (node[3] or not frames_only) for gone, node in zip(removed, self.nodes, strict=True)]
         blocks, block = [], []
         for node, text in self.texts:
             if not text:

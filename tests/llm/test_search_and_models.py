@@ -118,9 +118,34 @@ def test_languages_of_awkward_rows(docs, no_docs):
     assert stay.columns == docs.columns and stay.count() == len(got) - 5
 
 
+def test_idf_is_of_every_row_that_may_be_learnt_from(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learnable = ~language_id.held_out("doc_id")
+    model = language_id.fit(docs, learnable, "doc_id", "text", "lang", rows_per_label=5)
+    seen, n = np.zeros(1 << language_id.BUCKET_BITS, np.int64), 0
+    for r in docs.filter(learnable & F.col("lang").isNotNull()).collect():
+        grams = language_id.counts(r.text)
+        if grams is not None:
+            seen[grams[0]] += 1
+            n += 1
+    assert n > 20 and np.allclose(model.idf, np.log((1 + n) / (1 + seen)) + 1)
+
+
+def test_a_language_never_learnt_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = ["съешь же ещё этих мягких французских булок да выпей чаю", "いろはにほへと散りぬるを我が世誰ぞ常ならむ"]
+    strange = spark.createDataFrame([(10**9 + i, t, None, "x", len(t)) for i, t in enumerate(texts)], docs.schema)
+    stay = language_id.identified(docs.unionByName(strange), 0.35)
+    assert stay.filter(F.col("doc_id") >= 10**9).count() == 0
+    assert stay.count() >= 0.99 * docs.filter(F.col("text").rlike("[A-Za-z]")).count()
+
+
 def test_penalty_and_temperature():
     rows = [("a", *language_id.counts(f"aba bab {i}")) for i in range(40)] + [("b", *language_id.counts(f"xyx yxy {i}")) for i in range(40)]
-    model = language_id.learn(rows)
+    seen = np.zeros(1 << language_id.BUCKET_BITS, np.int64)
+    for _, grams, _ in rows:
+        seen[grams] += 1
+    model = language_id.learn(rows, seen, len(rows))
     assert (model.weights == 0).mean() > 0.9
     assert model.predict("bab aba")[0] == "a" and model.predict("xyx")[0] == "b"
     held = [(0, np.array([0.1, 0.0]))] * 3 + [(1, np.array([0.1, 0.0]))]
@@ -138,6 +163,11 @@ PAGES = [
      "a b c <d> é"),
     ('<article class="post has-comments"><p>kept</p></article><article class="comment">no</article>', "kept"),
     ("a < b and <3", "a < b and <3"), (None, ""), ("", ""), ("<nav>only</nav>", ""), ('<p title="a>b">x</p><p hidden>y</p>', "x"),
+    ('<form id="aspnetForm"><nav>menu</nav><div class="body"><p>all of the text</p><p>of this page</p></div></form>', "all of the text of this page"),
+    ('<form><article>framed text</article><p><label>Find</label><input></p></form>', "framed text"),
+    ('<div><p>text</p></div><form><p><label>Your name and where you live</label><input></p></form>', "text"),
+    ('<article>text<form>a form that is longer than its article</form></article>', "text"),
+    ('<div class="long"><p>the page tells its tale here</p></div><article>Teaser</article>', "the page tells its tale here Teaser"),
     ("<ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table>", "one two c1 c2"), ("<article><p>" + "w " * 50_000 + "</article>", ("w " * 50_000).strip()),
 ]
 
