@@ -533,6 +533,95 @@ def live_view(df: DataFrame, columns: DataFrame, name: str | None = None) -> Dat
     return shown
 
 
+# --- rows of many types at once -------------------------------------------------
+
+STEP = ["pos", "name", "reads", "sql_type"]
+
+
+def _steps(df: DataFrame, version: Column, to: Column) -> DataFrame:
+    """The steps of each version as one list, which is as wide as a row of that version."""
+    listed = df.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct(*STEP))).alias("steps"))
+    return listed.select("entity_type", version.alias("version"), to.alias("to"), "steps")
+
+
+def row_steps(fields: DataFrame, *, rollback: bool = False) -> DataFrame:
+    """What rows of each type and ``version`` become one version on, or one back.
+
+    ``entity_type, version, to, steps``: for each field of version ``to``, in order, its name,
+    the field that it reads (none for one that is added) and, where the base type changes,
+    the SQL type that values are cast to.
+    """
+    pairs = staged(field_pairs(fields), "row-pairs")
+    target, source = ("old", "new") if rollback else ("new", "old")
+    renamed = renames(pairs).select(*PAIR, F.col(f"{target}_name").alias("field"), F.col(f"{source}_name").alias("renamed"))
+    t, s = F.col(target), F.col(source)
+    each = pairs.filter(t.isNotNull()).join(renamed, [*PAIR, "field"], "left").select(
+        *PAIR,
+        t["pos"].alias("pos"),
+        F.col("field").alias("name"),
+        F.coalesce("renamed", F.when(s.isNotNull(), F.col("field"))).alias("reads"),
+        F.when(t["base_type"] != s["base_type"], t["sql_type"]).alias("sql_type"),
+    )
+    before, after = F.col("version") - 1, F.col("version")
+    return _steps(each, *((after, before) if rollback else (before, after)))
+
+
+def view_steps(fields: DataFrame) -> DataFrame:
+    """How rows of each version are shown under the names of the version before it."""
+    shown = view_columns(fields).select(
+        *PAIR, "pos", F.col("field").alias("name"), "reads", F.lit(None).cast("string").alias("sql_type")
+    )
+    return _steps(shown, F.col("version"), F.col("version") - 1)
+
+
+def move_rows(rows: DataFrame, steps: DataFrame, spread: list[str]) -> DataFrame:
+    """Rows of any types and versions after the step for their own type and version.
+
+    ``rows`` has ``entity_type``, ``version``, ``values`` (a map from field to text) and
+    whatever else, which is kept.  Values that have no text in their new type become null;
+    rows without a step stay as they are.  One plan moves all types: a type with much of the
+    rows is spread by the columns ``spread``.
+    """
+    known = steps.select(*PAIR, F.struct("to", "steps").alias("_step"))
+    met = join_spread(rows, known, PAIR, spread, "left")
+    moved = F.map_from_entries(
+        F.transform(
+            F.col("_step.steps"),
+            lambda s: F.struct(s["name"], _cast_text(F.try_element_at(F.col("values"), s["reads"]), s["sql_type"])),
+        )
+    )
+    is_moved = F.col("_step").isNotNull()
+    return met.select(
+        *[
+            F.when(is_moved, F.col("_step.to")).otherwise(F.col("version")).alias(c) if c == "version"
+            else F.when(is_moved, moved).otherwise(F.col("values")).alias(c) if c == "values"
+            else F.col(f"`{c}`")
+            for c in rows.columns
+        ]
+    )
+
+
+#: Scales that a column of an exported table may have.
+_SCALES = range(19)
+
+
+def _cast_text(value: Column, sql_type: Column) -> Column:
+    """The text of a value after a cast to ``sql_type``; as it is where that is null."""
+    kind = F.upper(sql_type)
+    digits = F.regexp_extract(kind, r"^DECIMAL\((\d+)", 1).try_cast("int")
+    scale = F.coalesce(F.regexp_extract(kind, r"^DECIMAL\(\d+, *(\d+)\)", 1).try_cast("int"), F.lit(0))
+    whole = F.coalesce(value.try_cast("bigint"), value.try_cast("decimal(38,18)").try_cast("bigint"))
+    out = F.when(kind == "INTEGER", whole.cast("string"))
+    for name in ("BOOLEAN", "DATE", "TIMESTAMP"):
+        out = out.when(kind == name, value.try_cast(name.lower()).cast("string"))
+    is_decimal = F.startswith(kind, F.lit("DECIMAL"))
+    for s in _SCALES:
+        text = value.try_cast(f"decimal(38,{s})").cast("string")
+        before_point = F.length(F.regexp_replace(text, r"^-?0*|\..*$", ""))
+        out = out.when(is_decimal & (scale == s), F.when(before_point <= F.coalesce(digits, F.lit(38)) - s, text))
+    return out.otherwise(value)
+
+
 # --- registry reports ---------------------------------------------------------
 
 

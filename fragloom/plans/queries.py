@@ -118,6 +118,19 @@ def _meta(name: str):
     return F.try_element_at("meta", F.lit(name)).alias(name)
 
 
+def _sections_cte() -> str:
+    names = [n for n, _ in corpus.SECTION_PIECES]
+    texts = ", ".join(f"{e} AS t_{n}" for n, e in corpus.SECTION_PIECES)
+    starts, before = [], []
+    for n in names:
+        starts.append(f"{' + '.join(before) or '0'} AS s_{n}")
+        before.append(f"length(t_{n})")
+    return (
+        f"WITH pieces AS (SELECT s_suppkey AS doc_id, s_suppkey, {texts} FROM supplier), "
+        f"doc AS (SELECT *, {', '.join(starts)} FROM pieces) "
+    )
+
+
 # --- sources and sinks ------------------------------------------------------------
 
 
@@ -137,6 +150,47 @@ def _(spark, sf):
     return files.select("filename", "size", "source_id", "version", "status")
 
 
+LANDED_BYTES = 20_000
+
+
+def _landing_folder(spark, sf) -> str:
+    """A folder with one file per supplier; some are too large and some are no UTF-8."""
+    path = f"{checkpoint_dir(spark)}/landing-{_run_id()}"
+    text, key = F.col("text"), F.col("doc_id") % 10
+    large = F.concat(text, F.repeat(F.lit("x"), F.lit(LANDED_BYTES)))
+    broken = F.concat(text, F.unhex(F.lit("FF")).cast("string"))
+    docs = corpus.sections(table(spark, sf, "supplier"))
+    written = docs.withColumn("text", F.when(key == 3, large).when(key == 7, broken).otherwise(text))
+    written.write.partitionBy("doc_id").text(path)
+    return path
+
+
+LANDED = (
+    f"{_sections_cte()}, landed AS (SELECT doc_id, s_good, t_good, "
+    f"concat({', '.join(f't_{n}' for n, _ in corpus.SECTION_PIECES)}, chr(10)) AS text, "
+    f"CASE doc_id % 10 WHEN 3 THEN 'larger than {LANDED_BYTES} bytes' WHEN 7 THEN 'not UTF-8' END AS reason, "
+    f"CASE doc_id % 10 WHEN 3 THEN {LANDED_BYTES} WHEN 7 THEN 1 ELSE 0 END AS more FROM doc) "
+)
+
+
+def _landed_key():
+    return F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("supplier")
+
+
+@register(
+    "src_2_landing_content",
+    LANDED + "SELECT doc_id AS supplier, CAST(strlen(text) + more AS BIGINT) AS size, 'driver' AS source_id, '1' AS version, "
+    "reason, CASE WHEN reason IS NULL THEN sha256(text) END AS digest FROM landed",
+)
+def _(spark, sf):
+    kept, refused = readers.read_landing(spark, _landing_folder(spark, sf), "driver", "1", LANDED_BYTES)
+    shown = [_landed_key(), "size", "source_id", "version"]
+    none = F.lit(None).cast("string")
+    return kept.select(*shown, none.alias("reason"), F.sha2(F.encode("text", "UTF-8"), 256).alias("digest")).unionByName(
+        refused.select(*shown, "reason", none.alias("digest"))
+    )
+
+
 def _brand_schemas(spark, sf) -> DataFrame:
     """Schemas to register: per brand one version for each size in use, smallest first."""
     field = lambda name, pos, base, sql, nullable: F.struct(
@@ -322,19 +376,6 @@ def _(spark, sf):
     return _shown(_of(page_fragments(spark, sf), "YAML_FRONTMATTER"), _meta("colon_ratio"))
 
 
-def _sections_cte() -> str:
-    names = [n for n, _ in corpus.SECTION_PIECES]
-    texts = ", ".join(f"{e} AS t_{n}" for n, e in corpus.SECTION_PIECES)
-    starts, before = [], []
-    for n in names:
-        starts.append(f"{' + '.join(before) or '0'} AS s_{n}")
-        before.append(f"length(t_{n})")
-    return (
-        f"WITH pieces AS (SELECT s_suppkey AS doc_id, s_suppkey, {texts} FROM supplier), "
-        f"doc AS (SELECT *, {', '.join(starts)} FROM pieces) "
-    )
-
-
 SECTIONS = _sections_cte()
 
 
@@ -1901,6 +1942,62 @@ def _(spark, sf):
     return shown.withColumns({c: F.col(c).cast("double") for c in ("price_usd", "stock")})
 
 
+def _typed_rows(spark, sf) -> DataFrame:
+    """A row of each of versions 1 and 2 of every part's type, as texts by field."""
+    part = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    colour = F.when(k % 4 == 1, F.col("p_brand"))
+    size = F.col("p_size").cast("string")
+    stock = F.when(k % 11 == 0, F.lit("many")).otherwise(size)
+    key = k.cast("string")
+    first = {"id": key, "price_usd": price, "stock": stock, "note": F.col("p_name"), "colour": colour}
+    second = {
+        "id": key, "price": price, "stock": F.concat(size, F.lit(".00")), "note": F.col("p_name"), "color": colour,
+        "currency": F.lit("EUR"),
+    }
+    as_map = lambda d: F.map_filter(
+        F.create_map(*[x for n, c in d.items() for x in (F.lit(n), c)]), lambda n, v: v.isNotNull()
+    )
+    versions = F.array(*[F.struct(F.lit(i).alias("version"), as_map(d).alias("values")) for i, d in ((1, first), (2, second))])
+    return part.select(F.concat(F.lit("type"), k).alias("entity_type"), F.inline(versions), k.alias("part"))
+
+
+def _field_values(rows: DataFrame) -> DataFrame:
+    return rows.select("entity_type", "version", F.explode("values").alias("field", "value"))
+
+
+_PRICE_TEXT = "CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR)"
+
+
+@register(
+    "evo_14_every_type",
+    PLAN + "SELECT f.entity_type, CAST(f.version AS INTEGER) AS version, f.field, CASE f.field WHEN 'id' THEN CAST(k AS VARCHAR) "
+    f"WHEN 'price' THEN {_PRICE_TEXT} WHEN 'stock' THEN CASE WHEN f.version = 3 OR k % 11 > 0 THEN concat(p_size, '.00') END "
+    "WHEN 'note' THEN p_name WHEN 'color' THEN p_brand WHEN 'currency' THEN CASE WHEN f.version = 3 THEN 'EUR' END END AS value "
+    "FROM fields f JOIN part ON p_partkey = k WHERE f.version > 1 "
+    # Rows of version 2 whose type has no third stay as they are.
+    "UNION ALL SELECT entity_type, 2, field, CASE field WHEN 'id' THEN CAST(k AS VARCHAR) "
+    f"WHEN 'price' THEN {_PRICE_TEXT} WHEN 'stock' THEN concat(p_size, '.00') WHEN 'note' THEN p_name "
+    "WHEN 'color' THEN p_brand WHEN 'currency' THEN 'EUR' END FROM fields JOIN part ON p_partkey = k WHERE version = 2 AND k % 3 = 0",
+)
+def _(spark, sf):
+    steps = staged(evolve.row_steps(_version_fields(spark, sf)), "row-steps")
+    return _field_values(evolve.move_rows(_typed_rows(spark, sf), steps, ["part"]))
+
+
+@register(
+    "evo_13_every_type",
+    PLAN + "SELECT entity_type, 1 AS version, field, CASE field WHEN 'id' THEN CAST(k AS VARCHAR) "
+    f"WHEN 'price_usd' THEN {_PRICE_TEXT} WHEN 'stock' THEN concat(p_size, '.00') WHEN 'note' THEN p_name "
+    "WHEN 'colour' THEN p_brand END AS value FROM fields JOIN part ON p_partkey = k WHERE version = 1",
+)
+def _(spark, sf):
+    steps = staged(evolve.view_steps(_version_fields(spark, sf)), "view-steps")
+    second = _typed_rows(spark, sf).filter("version = 2")
+    return _field_values(evolve.move_rows(second, steps, ["part"]))
+
+
 _OUTCOME = (
     _CHANGES + "SELECT v.entity_type, CAST(v.version AS INTEGER) AS version, v.version = 1 AS is_initial, CAST(count(c.field_name) AS BIGINT) "
     "AS n_changes, coalesce(bool_or(c.breaking), false) AS breaking_changes, coalesce(string_agg(CASE WHEN c.change_type = 'renamed' "
@@ -2260,6 +2357,20 @@ def _(spark, sf):
     return spark.read.parquet(f"{made}/out").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@register(
+    "str_1_landing_folder",
+    LANDED + "SELECT doc_id AS supplier, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, "
+    "CASE WHEN reason IS NULL THEN CAST(s_good AS BIGINT) END AS frag_start, CASE WHEN reason IS NULL THEN t_good END AS text FROM landed",
+)
+def _(spark, sf):
+    made = f"{checkpoint_dir(spark)}/stream-{_run_id()}"
+    landing = _landing_folder(spark, sf)
+    ingest.stream_landing(spark, landing, f"{made}/out", f"{made}/checkpoint", max_bytes=LANDED_BYTES).awaitTermination()
+    files, found = ingest.read_landed(spark, f"{made}/out")
+    objects = found.filter("format = 'JSON'").select("doc_id", F.col("start").cast("bigint").alias("frag_start"), "text")
+    return files.drop("text").join(objects, "doc_id", "left").select(_landed_key(), "status", "reason", "frag_start", "text")
+
+
 @register(
     "str_2_streamed_versions",
     BRANDS + "SELECT entity_type, CAST(count(*) AS BIGINT) AS n_versions, max(version) AS newest FROM versions GROUP BY entity_type",

@@ -20,10 +20,13 @@ def landed(
 ) -> DataFrame:
     """Files of a landing folder with their provenance; works on streams as well.
 
-    Every file is there.  ``status`` is ``accepted``, or ``rejected`` with the ``reason``;
-    without ``max_bytes`` no size is refused.
+    Every file that Spark reads is there, which empty ones are not.  ``status`` is ``accepted``, or ``rejected`` with the ``reason``: too
+    large (without ``max_bytes`` no size is refused) or no UTF-8.
     """
-    refused = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    broken = F.when(~F.is_valid_utf8(F.col("content").cast("string")), F.lit("not UTF-8"))
+    reason = broken if max_bytes is None else F.when(
+        F.col("length") > max_bytes, F.lit(f"larger than {max_bytes} bytes")
+    ).otherwise(broken)
     return files.select(
         F.xxhash64("path").alias("doc_id"),
         F.element_at(F.split("path", "/"), -1).alias("filename"),
@@ -32,8 +35,8 @@ def landed(
         F.lit(source_id).cast("string").alias("source_id"),
         F.lit(version).cast("string").alias("version"),
         F.col("modificationTime").alias("uploaded_at"),
-        F.when(refused, F.lit("rejected")).otherwise(F.lit("accepted")).alias("status"),
-        F.when(refused, F.lit(f"larger than {max_bytes} bytes")).alias("reason"),
+        F.when(reason.isNotNull(), F.lit("rejected")).otherwise(F.lit("accepted")).alias("status"),
+        reason.alias("reason"),
         "content",
     )
 
@@ -45,8 +48,9 @@ def read_landing(
     version: str | None = None,
     max_bytes: int | None = rules.MAX_FILE_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Accepted documents and rejected files of a landing folder."""
-    files = landed(spark.read.format("binaryFile").load(path), source_id, version, max_bytes)
+    """Accepted documents and rejected files of a landing folder and its subfolders."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = landed(found, source_id, version, max_bytes)
     return accepted(files), rejected(files)
 
 

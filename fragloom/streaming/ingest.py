@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import rules
 from ..operators import detect, evolve
 from ..plans.staging import staged
 from ..sources.readers import accepted, landed, read_registry, rejected
@@ -36,6 +37,55 @@ def stream_rejects(spark: SparkSession, landing: str, output: str, checkpoint: s
     )
 
 
+def land_batch(
+    files: DataFrame, batch_id: int, output: str, *, max_bytes: int | None = rules.MAX_FILE_BYTES, js_first: bool = False
+) -> None:
+    """One micro-batch of landed files: every file once, accepted or refused, and the fragments
+    of those accepted.
+
+    The files are read once, into ``files/batch-N``; fragments are cut from there into
+    ``fragments/batch-N``.  Both folders are replaced when the batch runs again, so a batch
+    that fails at whatever point leaves nothing behind that counts twice.
+    """
+    seen = landed(files, max_bytes=max_bytes)
+    text = F.when(F.col("status") == "accepted", F.decode("content", "UTF-8")).alias("text")
+    path = batch_folder(f"{output}/files", batch_id)
+    seen.select(*[c for c in seen.columns if c != "content"], text).write.mode("overwrite").parquet(path)
+    docs = files.sparkSession.read.parquet(path).filter("status = 'accepted'")
+    found = detect.fragments(docs.select("doc_id", "path", "text"), keys=("doc_id", "path"), js_first=js_first)
+    found.write.mode("overwrite").parquet(batch_folder(f"{output}/fragments", batch_id))
+
+
+def stream_landing(
+    spark: SparkSession,
+    landing: str,
+    output: str,
+    checkpoint: str,
+    *,
+    max_bytes: int | None = rules.MAX_FILE_BYTES,
+    max_files: int = 100_000,
+    js_first: bool = False,
+) -> StreamingQuery:
+    """Every file that lands, in whatever subfolder, through :func:`land_batch`, until nothing
+    new is left.  A batch takes ``max_files``; the rest waits for the next."""
+    reader = spark.readStream.format("binaryFile").schema(_FILES)
+    files = reader.option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(landing)
+    return (
+        files.writeStream.foreachBatch(
+            lambda batch, batch_id: land_batch(batch, batch_id, output, max_bytes=max_bytes, js_first=js_first)
+        )
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_landed(spark: SparkSession, output: str) -> tuple[DataFrame, DataFrame]:
+    """The files that :func:`stream_landing` has seen, and their fragments."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    return reader.parquet(f"{output}/files"), reader.parquet(f"{output}/fragments")
+
+
 def stream_documents(
     docs: DataFrame,
     output: str,

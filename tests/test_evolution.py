@@ -199,3 +199,95 @@ def test_level_schemas_get_the_same_versions_in_every_run(spark):
     none = spark.createDataFrame([], evolve.VERSIONS_DDL)
     ids = [sorted(r.schema_id for r in evolve.register(given.repartition(n), none, ["at"]).collect()) for n in (1, 3, 7)]
     assert ids[0] == ids[1] == ids[2]
+
+
+# --- rows of many types --------------------------------------------------------------
+
+ROW_FIELDS = [
+    ("a", 1, "id", 0, "identifier", "VARCHAR(50)", False), ("a", 1, "price_usd", 1, "decimal", "DECIMAL(10,2)", True),
+    ("a", 1, "n", 2, "string", "VARCHAR(255)", True), ("a", 1, "gone", 3, "date", "DATE", True),
+    ("a", 2, "id", 0, "identifier", "VARCHAR(50)", False), ("a", 2, "price", 1, "decimal", "DECIMAL(10,2)", True),
+    ("a", 2, "n", 2, "integer", "INTEGER", True), ("a", 2, "more", 3, "boolean", "BOOLEAN", True),
+    ("b", 1, "x", 0, "string", "TEXT", True), ("b", 2, "x", 0, "decimal", "DECIMAL(4,1)", True),
+]
+ROWS = "entity_type string, version int, values map<string,string>, part long"
+
+
+def _moved(rows, steps):
+    moved = evolve.move_rows(rows, steps, ["part"])
+    assert moved.columns == rows.columns
+    return {(r["entity_type"], r["part"]): (r["version"], r["values"]) for r in moved.collect()}
+
+
+def test_rows_of_every_type_move_in_one_plan(spark):
+    fields = spark.createDataFrame(ROW_FIELDS, FIELDS)
+    texts = ["12.34", "-0.05", "1234.5", "abc", None, "999.96"]
+    rows = [("a", 1, {"id": f"i{i}", "price_usd": "1.50", "n": f"{i}.7", "gone": "2020-01-01"}, i) for i in range(300)]  # a hot type
+    rows += [("b", 1, {"x": x}, i) for i, x in enumerate(texts)]
+    rows += [("b", 1, {}, 6), ("b", 1, None, 7), ("b", 2, {"x": "stays"}, 8), ("c", 1, {"y": "no step"}, 9), (None, None, None, None)]
+    df = spark.createDataFrame(rows, ROWS)
+    got = _moved(df, evolve.row_steps(fields))
+    assert len(got) == len(rows)
+    assert all(got["a", i] == (2, {"id": f"i{i}", "price": "1.50", "n": str(i), "more": None}) for i in range(300))
+    assert [got["b", i] for i in range(8)] == [(2, {"x": x}) for x in ("12.3", "-0.1", None, None, None, None, None, None)]
+    assert got["b", 8] == (2, {"x": "stays"}) and got["c", 9] == (1, {"y": "no step"}) and got[None, None] == (None, None)
+    assert evolve.move_rows(df.limit(0), evolve.row_steps(fields), ["part"]).count() == 0
+
+
+def test_rows_go_back_and_are_shown_under_old_names(spark):
+    fields = spark.createDataFrame(ROW_FIELDS, FIELDS)
+    rows = [("a", 2, {"id": "i", "price": "1.50", "n": "4", "more": "true"}, 0), ("b", 2, {"x": "12.3"}, 1), ("a", 1, {"id": "old"}, 2)]
+    df = spark.createDataFrame(rows, ROWS)
+    back = _moved(df, evolve.row_steps(fields, rollback=True))
+    assert back["a", 0] == (1, {"id": "i", "price_usd": "1.50", "n": "4", "gone": None})
+    assert back["b", 1] == (1, {"x": "12.3"}) and back["a", 2] == (1, {"id": "old"})
+    shown = _moved(df, evolve.view_steps(fields))
+    assert shown["a", 0] == (1, {"id": "i", "price_usd": "1.50", "n": "4"})  # what is gone is left out
+
+
+def test_values_take_the_text_of_their_new_type(spark):
+    cases = [
+        ("5.7", "INTEGER", "5"), ("x", "INTEGER", None), ("yes", "BOOLEAN", "true"), ("2020-02-30", "DATE", None),
+        ("2020-02-03", "DATE", "2020-02-03"), ("2020-02-03 04:05:06", "timestamp", "2020-02-03 04:05:06"), ("1", "DECIMAL(10,2)", "1.00"),
+        ("00012.345", "decimal(10, 2)", "12.35"), ("7.5", "DECIMAL(3)", "8"), ("any", "VARCHAR(2)", "any"), ("any", "TEXT[]", "any"), ("any", None, "any"),
+    ]
+    df = spark.createDataFrame(cases, "v string, t string, want string")
+    assert [(r.v, r.t, r.got) for r in df.withColumn("got", evolve._cast_text(F.col("v"), F.col("t"))).collect()] == cases
+
+
+def test_a_landing_batch_killed_between_its_writes(spark, tmp_path, monkeypatch):
+    landing = tmp_path / "in" / "deeper"
+    landing.mkdir(parents=True)
+    (landing / "a.txt").write_text("k: v\nm: n\n", encoding="utf-8")
+    (landing / "exact.txt").write_bytes(b"y" * 100)
+    (landing / "big.txt").write_bytes(b"x" * 101)
+    (landing / "latin.txt").write_bytes("caf\xe9".encode("latin-1"))
+    (landing / "empty.txt").write_bytes(b"")  # Spark reads no empty files
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def run():
+        ingest.stream_landing(spark, str(tmp_path / "in"), out, mark, max_bytes=100).awaitTermination()
+
+    def killed(*_, **__):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest.detect, "fragments", killed)
+        try:
+            run()
+        except Exception as error:  # the query's own kind of exception
+            assert "killed" in str(error)
+        else:
+            raise AssertionError("the stream went on")
+    run()
+    (landing / "b.txt").write_text("p: q\nr: s\n", encoding="utf-8")
+    run()
+    run()  # nothing is new
+    files, found = ingest.read_landed(spark, out)
+    assert sorted(((r["filename"], r["reason"]) for r in files.collect()), key=lambda x: x[0]) == [
+        ("a.txt", None), ("b.txt", None), ("big.txt", "larger than 100 bytes"), ("exact.txt", None), ("latin.txt", "not UTF-8"),
+    ]
+    assert files.filter("status = 'rejected' and text is not null").count() == 0
+    assert sorted(r["text"] for r in found.filter("format = 'KEY_VALUE'").collect()) == ["k: v\nm: n", "p: q\nr: s"]
+    kept, refused = readers.read_landing(spark, str(tmp_path / "in"), "s", "1", max_bytes=None)
+    assert kept.count() == 4 and [r["reason"] for r in refused.collect()] == ["not UTF-8"]
