@@ -27,7 +27,7 @@ from ..operators import (
     resolve,
     schema,
 )
-from ..sources import readers, writers
+from ..sources import documents, readers, writers
 from ..streaming import ingest
 from . import corpus, pipeline
 from .staging import checkpoint_dir, staged
@@ -329,6 +329,50 @@ def _(spark, sf):
     return back.groupBy("category").agg(F.sum(size).alias("n_validators"))
 
 
+def _in_documents(spark, path: str, suffix: str) -> DataFrame:
+    """Texts of written documents, with the name that each had before it was numbered."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]*?)(?:-[0-9]{{5}})?\.{suffix}$", 1)
+    # Quoted once by the sink and once more in the file's address.
+    return spark.read.text(path, wholetext=True).select(F.url_decode(F.url_decode(name)).alias("name"), "value")
+
+
+@register("snk_2_sql_documents", _category_counts("n_tables"))
+def _(spark, sf):
+    path = f"{checkpoint_dir(spark)}/ddl-{_run_id()}"
+    typed, heads = _page_schemas(spark, sf)
+    ddl = schema.postgresql(typed, heads)
+    documents.write_sql_documents(ddl, path, F.col("category"), [F.col(c) for c in schema.SCHEMA], "ddl")
+    made = F.size(F.split("value", "CREATE TABLE IF NOT EXISTS ")) - 1
+    return _in_documents(spark, path, "sql").groupBy(F.col("name").alias("category")).agg(F.sum(made).alias("n_tables"))
+
+
+@register("snk_3_json_documents", _category_counts("n_validators"))
+def _(spark, sf):
+    path = f"{checkpoint_dir(spark)}/validators-{_run_id()}"
+    typed, heads = _page_schemas(spark, sf)
+    key = F.concat_ws("/", *schema.SCHEMA)
+    documents.write_json_documents(schema.document_validators(typed, heads), path, F.col("category"), key, "validator")
+    size = F.size(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}))
+    return _in_documents(spark, path, "json").groupBy(F.col("name").alias("category")).agg(F.sum(size).alias("n_validators"))
+
+
+@register(
+    "snk_4_migration_documents",
+    BRANDS + "SELECT concat(entity_type, '_v', version, '_', script) AS name, CAST(1 AS BIGINT) AS n FROM versions, "
+    "(VALUES ('forward'), ('view')) AS v(script) WHERE version > 1 AND (script = 'view' OR size % 3 <> size_before % 3)",
+)
+def _(spark, sf):
+    path = f"{checkpoint_dir(spark)}/migrations-{_run_id()}"
+    fields = evolve.version_fields(staged(_brand_versions(spark, sf), "versions"))
+    changes = staged(evolve.changes(fields), "changes")
+    forward = evolve.migrations(evolve.migration_steps(changes, fields)).select(*evolve.PAIR, F.lit("forward").alias("script"), F.col("forward").alias("sql"))
+    views = evolve.compatibility_views(fields).select(*evolve.PAIR, F.lit("view").alias("script"), F.col("view").alias("sql"))
+    name = F.concat("entity_type", F.lit("_v"), "version", F.lit("_"), "script")
+    documents.write_sql_documents(forward.unionByName(views), path, name, [], "sql")
+    back = _in_documents(spark, path, "sql")
+    return back.filter(F.length("value") > 1).groupBy("name").agg(F.count("*").alias("n"))
+
+
 @register(
     "snk_4_migration_files",
     BRANDS + "SELECT entity_type, version, script FROM versions, (VALUES ('forward'), ('rollback'), ('view')) "
