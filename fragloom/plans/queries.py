@@ -331,7 +331,7 @@ def _(spark, sf):
 
 def _in_documents(spark, path: str, suffix: str) -> DataFrame:
     """Texts of written documents, with the name that each had before it was numbered."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]*?)(?:-[0-9]{{5}})?\.{suffix}$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]*?)(?:[+][0-9]{{5}})?\.{suffix}$", 1)
     # Quoted once by the sink and once more in the file's address.
     return spark.read.text(path, wholetext=True).select(F.url_decode(F.url_decode(name)).alias("name"), "value")
 

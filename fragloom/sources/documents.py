@@ -3,7 +3,8 @@
 Rows ``(document, value)`` come range-partitioned and sorted by document.  A task writes its
 rows one by one into files of its own attempt; only when all tasks are done are the files of
 successful attempts moved to their names.  A document that fits a partition is one file
-(``orders.sql``); a larger one is several, each whole in itself (``orders-00003.sql``).
+(``orders.sql``); a larger one is several, each whole in itself (``orders+00003.sql``).
+Names are quoted as in addresses, so that no two documents share a file.
 """
 
 from __future__ import annotations
@@ -91,9 +92,9 @@ class _Writer(DataSourceWriter):
             for document, name in message.files if message else ():
                 parts.setdefault(document, []).append((message.partition, name))
         for document, found in parts.items():
-            title = quote(document or "_", safe="")
+            title = quote(document, safe="") or "%"
             for partition, name in found:
-                number = f"-{partition:05d}" if len(found) > 1 else ""
+                number = f"+{partition:05d}" if len(found) > 1 else ""
                 store.move(f"{folder}/{self.attempts}/{name}", f"{folder}/{title}{number}{self.suffix}")
         self.abort(messages)
 
@@ -109,12 +110,13 @@ def write_documents(df: DataFrame, path: str, document: Column, order: list[Colu
     documents of the same suffix are replaced.  No values, no files.
 
     The partitions are ranges of (document, order), so that a document with most of the values
-    is shared out among tasks; each value is held in memory alone.
+    is shared out among tasks; each value is held in memory alone.  Documents of no name (null
+    or empty) are one, named ``%``; null values are empty.
     """
     df.sparkSession.dataSource.register(TextDocuments)
     keys = [f"_order{i}" for i in range(len(order))]
     rows = df.select(
-        document.cast("string").alias("document"), value.alias("value"), *[c.alias(k) for c, k in zip(order, keys, strict=True)]
+        F.coalesce(document.cast("string"), F.lit("")).alias("document"), value.alias("value"), *[c.alias(k) for c, k in zip(order, keys, strict=True)]
     )
     ranged = rows.repartitionByRange("document", *keys).sortWithinPartitions("document", *keys)
     ranged.select("document", "value").write.format("text_documents").options(**options).mode("overwrite").save(path)
