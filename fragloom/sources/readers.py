@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -21,12 +21,19 @@ def landed(
     """Files of a landing folder with their provenance; works on streams as well.
 
     Every file that Spark reads is there, which empty ones are not.  ``status`` is ``accepted``, or ``rejected`` with the ``reason``: too
-    large (without ``max_bytes`` no size is refused) or no UTF-8.
+    large (without ``max_bytes`` no size is refused) or no UTF-8.  The content of files that
+    are too large is not read, and null.
     """
     broken = F.when(~F.is_valid_utf8(F.col("content").cast("string")), F.lit("not UTF-8"))
-    reason = broken if max_bytes is None else F.when(
-        F.col("length") > max_bytes, F.lit(f"larger than {max_bytes} bytes")
-    ).otherwise(broken)
+    if max_bytes is None:
+        return _landed(files, broken, source_id, version)
+    # A filter on the length reaches the scan, which then opens no other files.
+    fitting = _landed(files.filter(F.col("length") <= max_bytes), broken, source_id, version)
+    large = files.filter(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+    return fitting.unionByName(_landed(large, F.lit(f"larger than {max_bytes} bytes"), source_id, version))
+
+
+def _landed(files: DataFrame, reason: Column, source_id: str | None, version: str | None) -> DataFrame:
     return files.select(
         F.xxhash64("path").alias("doc_id"),
         F.element_at(F.split("path", "/"), -1).alias("filename"),

@@ -18,7 +18,7 @@ NAMES = [
     "frg_6_html_blocks_of_web_pages", "frg_13_paragraphs_of_documents", "frg_14_containment", "nrm_1_strict_json",
     "nrm_11_flatten", "ent_2_emails_of_documents", "ent_4_known_mentions_skipped", "res_4_canonical_entities",
     "mrg_7_conflicts", "typ_2_string_subtypes", "typ_8_consensus", "exp_1_postgresql", "evo_11_forward_migrations",
-    "evo_13_compatibility_views", "qry_7_unknown_columns", "qry_8_dangerous_statements", "agg_3_totals",
+    "evo_13_compatibility_views", "evo_14_every_type", "str_1_landing_folder", "qry_7_unknown_columns", "qry_8_dangerous_statements", "agg_3_totals",
 ]
 
 
