@@ -2011,18 +2011,18 @@ def _field_values(rows: DataFrame) -> DataFrame:
     return rows.select("entity_type", "version", F.explode("values").alias("field", "value"))
 
 
-_PRICE_TEXT = "CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR)"
+_PART_PRICE = "CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR)"
 
 
 @register(
     "evo_14_every_type",
     PLAN + "SELECT f.entity_type, CAST(f.version AS INTEGER) AS version, f.field, CASE f.field WHEN 'id' THEN CAST(k AS VARCHAR) "
-    f"WHEN 'price' THEN {_PRICE_TEXT} WHEN 'stock' THEN CASE WHEN f.version = 3 OR k % 11 > 0 THEN concat(p_size, '.00') END "
+    f"WHEN 'price' THEN {_PART_PRICE} WHEN 'stock' THEN CASE WHEN f.version = 3 OR k % 11 > 0 THEN concat(p_size, '.00') END "
     "WHEN 'note' THEN p_name WHEN 'color' THEN p_brand WHEN 'currency' THEN CASE WHEN f.version = 3 THEN 'EUR' END END AS value "
     "FROM fields f JOIN part ON p_partkey = k WHERE f.version > 1 "
     # Rows of version 2 whose type has no third stay as they are.
     "UNION ALL SELECT entity_type, 2, field, CASE field WHEN 'id' THEN CAST(k AS VARCHAR) "
-    f"WHEN 'price' THEN {_PRICE_TEXT} WHEN 'stock' THEN concat(p_size, '.00') WHEN 'note' THEN p_name "
+    f"WHEN 'price' THEN {_PART_PRICE} WHEN 'stock' THEN concat(p_size, '.00') WHEN 'note' THEN p_name "
     "WHEN 'color' THEN p_brand WHEN 'currency' THEN 'EUR' END FROM fields JOIN part ON p_partkey = k WHERE version = 2 AND k % 3 = 0",
 )
 def _(spark, sf):
@@ -2033,7 +2033,7 @@ def _(spark, sf):
 @register(
     "evo_13_every_type",
     PLAN + "SELECT entity_type, 1 AS version, field, CASE field WHEN 'id' THEN CAST(k AS VARCHAR) "
-    f"WHEN 'price_usd' THEN {_PRICE_TEXT} WHEN 'stock' THEN concat(p_size, '.00') WHEN 'note' THEN p_name "
+    f"WHEN 'price_usd' THEN {_PART_PRICE} WHEN 'stock' THEN concat(p_size, '.00') WHEN 'note' THEN p_name "
     "WHEN 'colour' THEN p_brand END AS value FROM fields JOIN part ON p_partkey = k WHERE version = 1",
 )
 def _(spark, sf):
