@@ -174,5 +174,5 @@ def version_fields(part: DataFrame) -> DataFrame:
         )
         for v, f, p, b, s, n, c in FIELD_PLAN
     ]
-    keyed = part.select(F.col("p_partkey").alias("k"), F.concat(F.lit("type"), "p_partkey").alias("entity_type"))
+    keyed = spread(part).select(F.col("p_partkey").alias("k"), F.concat(F.lit("type"), "p_partkey").alias("entity_type"))
     return keyed.select("entity_type", F.inline(F.array(*rows))).filter("used").drop("used")

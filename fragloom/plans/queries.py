@@ -1988,7 +1988,7 @@ def _(spark, sf):
 
 def _typed_rows(spark, sf) -> DataFrame:
     """A row of each of versions 1 and 2 of every part's type, as texts by field."""
-    part = table(spark, sf, "part")
+    part = corpus.spread(table(spark, sf, "part"))
     k = F.col("p_partkey")
     price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
     colour = F.when(k % 4 == 1, F.col("p_brand"))
@@ -2134,7 +2134,7 @@ _LOGGED = "concat('SELECT id, price_usd FROM types WHERE PRICE_USD < ', p_partke
     f"concat('SELECT id, price FROM types WHERE price < ', p_partkey, ' AND colour IS NULL AND price_usd_old > 1') AS q FROM part)",
 )
 def _(spark, sf):
-    log = table(spark, sf, "part").select(
+    log = corpus.spread(table(spark, sf, "part")).select(
         "p_partkey",
         F.concat(F.lit("type"), "p_partkey").alias("entity_type"),
         F.lit(1).alias("from_version"),
@@ -2157,7 +2157,7 @@ MANY = 50
 def _(spark, sf):
     """Every part is a type of 50 versions: a field renamed in each of them, two that swap
     their names in each, and a name that is removed and later given to another field."""
-    keyed = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("type"), "p_partkey").alias("entity_type"))
+    keyed = corpus.spread(table(spark, sf, "part")).select("p_partkey", F.concat(F.lit("type"), "p_partkey").alias("entity_type"))
     step = lambda kind, field, old, new: F.struct(
         F.lit(kind).alias("change_type"), field.alias("field_name"), old.alias("old_value"), new.alias("new_value")
     )

@@ -291,3 +291,17 @@ def test_a_landing_batch_killed_between_its_writes(spark, tmp_path, monkeypatch)
     assert sorted(r["text"] for r in found.filter("format = 'KEY_VALUE'").collect()) == ["k: v\nm: n", "p: q\nr: s"]
     kept, refused = readers.read_landing(spark, str(tmp_path / "in"), "s", "1", max_bytes=None)
     assert kept.count() == 4 and [r["reason"] for r in refused.collect()] == ["not UTF-8"]
+
+
+def test_many_small_versions_are_paired_directly_and_not_broadcast(spark):
+    """Removed and added names of narrow versions make no row per letter, and no side of a join
+    that grows with the versions goes through the driver."""
+    kinds = spark.range(400).select(F.concat(F.lit("t"), "id").alias("entity_type"))
+    field = lambda v, n: F.struct(F.lit(v).alias("version"), F.lit(n).alias("field"), F.lit(0).alias("pos"), F.lit("string").alias("base_type"), F.lit("TEXT").alias("sql_type"), F.lit(True).alias("nullable"))
+    fields = kinds.select("entity_type", F.inline(F.array(field(1, "colour"), field(1, "price_usd"), field(2, "color"), field(2, "price"))))
+    found = evolve.rename_candidates(evolve.field_pairs(fields))
+    assert "near" not in found._jdf.queryExecution().analyzed().toString()
+    got = Counter((r.old_name, r.new_name) for r in found.collect())
+    assert got == {("colour", "color"): 400, ("price_usd", "price"): 400}
+    steps = evolve.migration_steps(evolve.changes(fields), fields)
+    assert "BroadcastHashJoin" not in steps._jdf.queryExecution().sparkPlan().toString()
