@@ -2476,7 +2476,7 @@ def _(spark, sf):
 
 
 def _part_docs(spark, sf, text: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(text).alias("text"))
+    return corpus.spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), F.expr(text).alias("text"))
 
 
 @register(

@@ -171,3 +171,14 @@ def test_delimited_runs_are_those_of_the_rule():
     begin = time.process_time()
     list(kernels._csv_runs(mixed, []))
     assert time.process_time() - begin < 10  # the time grows with the lines, not with their square
+
+
+def test_documents_of_parts_are_dealt_over_all_cores(spark, tmp_path):
+    """A file of one partition must not keep detection in one task."""
+    from fragloom.plans import queries
+
+    keys = spark.range(40).select(F.col("id").alias("p_partkey")).coalesce(1)
+    keys.write.parquet(f"{tmp_path}/part.parquet")
+    docs = queries._part_docs(spark, str(tmp_path), "concat('text ', p_partkey)")
+    assert docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert docs.count() == 40
