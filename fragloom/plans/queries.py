@@ -2396,7 +2396,9 @@ def _(spark, sf):
     columns = table(spark, sf, "part").schema
     # A single file is not a folder: match it by pattern.
     rows = spark.readStream.schema(columns).option("pathGlobFilter", "part.parquet").parquet(sf)
-    docs = rows.select(F.col("p_partkey").alias("doc_id"), F.expr(corpus.page_text()).alias("text"))
+    # Rows are short and a file of many may come as one split: pages are cut by all cores.
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism)
+    docs = dealt.select(F.col("p_partkey").alias("doc_id"), F.expr(corpus.page_text()).alias("text"))
     ingest.stream_documents(docs, f"{made}/out", f"{made}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{made}/out").groupBy("doc_id").agg(F.count("*").alias("n"))
 
