@@ -2,8 +2,10 @@
 
 Rows ``(document, value)`` come range-partitioned and sorted by document.  A task writes its
 rows one by one into files of its own attempt; only when all tasks are done are the files of
-successful attempts moved to their names.  A document that fits a partition is one file
-(``orders.sql``); a larger one is several, each whole in itself (``orders+00003.sql``).
+successful attempts moved to their names.  A document that fits a partition and a file is one
+file (``orders.sql``); a larger one is several, numbered in order, each whole in itself
+(``orders+00003.sql``).  A file takes no further value once it has ``file_bytes``, so that
+readers who need a file as a whole can hold it.
 Names are quoted as in addresses, so that no two documents share a file.
 """
 
@@ -24,6 +26,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 # Executors need no installation.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Size from which a document goes on in another file.
+FILE_BYTES = 16 << 20
+
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     named = "://" in path or path.startswith("file:")
@@ -37,7 +42,7 @@ class _Written(WriterCommitMessage):
 
 
 class TextDocuments(DataSource):
-    """``format("text_documents")`` with options ``suffix, open, between, close``."""
+    """``format("text_documents")`` with options ``suffix, open, between, close, file_bytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -52,6 +57,7 @@ class _Writer(DataSourceWriter):
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.suffix = options.get("suffix", "")
         self.open, self.between, self.close = (options.get(k, "") for k in ("open", "between", "close"))
+        self.file_bytes = int(options.get("file_bytes", FILE_BYTES))
         self.attempts = f"_attempts-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
@@ -62,7 +68,7 @@ class _Writer(DataSourceWriter):
         current = out = None
         try:
             for document, value in iterator:
-                if out is None or document != current:
+                if out is None or document != current or out.tell() >= self.file_bytes:
                     if out is not None:
                         out.write(self.close.encode())
                         out.close()
@@ -87,14 +93,14 @@ class _Writer(DataSourceWriter):
             for old in store.get_file_info(fs.FileSelector(folder)):
                 if old.type == fs.FileType.File and old.base_name.endswith(self.suffix):
                     store.delete_file(old.path)
-        parts: dict[str, list[tuple[int, str]]] = {}
-        for message in messages:
-            for document, name in message.files if message else ():
-                parts.setdefault(document, []).append((message.partition, name))
+        parts: dict[str, list[str]] = {}
+        for message in sorted(filter(None, messages), key=lambda m: m.partition):
+            for document, name in message.files:
+                parts.setdefault(document, []).append(name)
         for document, found in parts.items():
             title = quote(document, safe="") or "%"
-            for partition, name in found:
-                number = f"+{partition:05d}" if len(found) > 1 else ""
+            for i, name in enumerate(found):
+                number = f"+{i:05d}" if len(found) > 1 else ""
                 store.move(f"{folder}/{self.attempts}/{name}", f"{folder}/{title}{number}{self.suffix}")
         self.abort(messages)
 

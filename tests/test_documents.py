@@ -39,6 +39,16 @@ def test_a_large_document_is_several_whole_ones(spark, tmp_path):
     assert sum(map(len, parts)) == 5000
 
 
+def test_no_file_grows_with_a_partition(spark, tmp_path):
+    value = F.to_json(F.struct("id", F.repeat(F.lit("x"), F.lit(1 << 20)).alias("x")))
+    df = spark.range(40).coalesce(1).select(F.lit("hot").alias("d"), F.format_string("k%02d", "id").alias("k"), value.alias("j"))
+    path = str(tmp_path / "out")
+    documents.write_json_documents(df, path, F.col("d"), F.col("k"), "j")
+    assert max(os.path.getsize(os.path.join(path, n)) for n in os.listdir(path)) < 20 << 20
+    parts = [json.loads(t) for t in _read(path).values()]
+    assert [k for p in parts for k in p] == [f"k{i:02d}" for i in range(40)]
+
+
 def test_a_failed_job_leaves_no_documents(spark, tmp_path):
     df = spark.range(100).select(F.lit("d").alias("d"), F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise("x").alias("s"))
     path = str(tmp_path / "out")
