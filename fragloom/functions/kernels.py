@@ -24,6 +24,28 @@ from ..rules import ANY_CLOSE_TAG, ANY_OPEN_TAG, CSV_DELIMITERS, HTML_TAGS, LINE
 # Executors need not have this package installed: ship the functions themselves.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows and characters whose results are Python objects at a time; a batch has far more.
+_SLICE_ROWS, _SLICE_CHARS = 256, 1 << 20
+
+
+def _in_slices(kind: pa.DataType, of_row, first: pa.Array, *more: pa.Array) -> pa.Array:
+    """``of_row`` of each row of a batch, whose ``first`` column is a text or a list.
+
+    Rows are read one by one and results turned into Arrow slice by slice, so that the
+    objects a worker holds beside the batch do not grow with its rows or texts.
+    """
+    made, out, size = [], [], 0
+    for head, *rest in zip(first, *more):
+        value = head.as_py()
+        out.append(of_row(value, *(x.as_py() for x in rest)))
+        size += len(value or "")
+        if len(out) >= _SLICE_ROWS or size >= _SLICE_CHARS:
+            made.append(pa.array(out, type=kind))
+            out, size = [], 0
+    made.append(pa.array(out, type=kind))
+    return pa.concat_arrays(made) if len(made) > 1 else made[0]
+
+
 _MARK = re.compile(r"[{}\"']")
 _REST_OF_STRING = {
     '"': re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.S),
@@ -162,16 +184,11 @@ def object_spans(
     text: pa.Array, reserved: pa.Array, sections: pa.Array, scripts: pa.Array, first: pa.Array
 ) -> pa.Array:
     """Brace-delimited spans of each document; a null text has none."""
-    out = []
-    for t, r, s, j, f in zip(text, reserved, sections, scripts, first):
-        t = t.as_py()
-        found = (
-            []
-            if t is None
-            else _scan_document(t, r.as_py(), s.as_py(), j.as_py(), f.as_py())
-        )
-        out.append([dict(zip(_SPAN_NAMES, span)) for span in found])
-    return pa.array(out, type=_SPAN_ARROW)
+
+    def spans(t, *rest):
+        return [] if t is None else [dict(zip(_SPAN_NAMES, span)) for span in _scan_document(t, *rest)]
+
+    return _in_slices(_SPAN_ARROW, spans, text, reserved, sections, scripts, first)
 
 
 def _leaf(value):
@@ -264,8 +281,7 @@ def json_rows(text: pa.Array) -> pa.Array:
     ``row_idx`` is null for a single object, the position for the items of a list (those
     that are no objects have the key ``value``) and -1 for a bare scalar.
     """
-    out = [None if t is None else _json_rows(t) for t in text.to_pylist()]
-    return pa.array(out, type=_ROW_ARROW)
+    return _in_slices(_ROW_ARROW, lambda t: None if t is None else _json_rows(t), text)
 
 
 _PIECE = re.compile(
@@ -309,7 +325,7 @@ def _repaired(text):
 def repaired_json(text: pa.Array) -> pa.Array:
     """Damaged JSON with its small faults mended: single quotes, bare keys, comments, commas
     before a closer, and closers missing at the end.  What stands inside quotes stays."""
-    return pa.array([None if t is None else _repaired(t) for t in text.to_pylist()], type=pa.string())
+    return _in_slices(pa.string(), lambda t: None if t is None else _repaired(t), text)
 
 
 _CSV_TYPE = _array_of(
@@ -503,22 +519,22 @@ def _layout(text, taken, least_html, least_raw):
 def layout(text: pa.Array, taken: pa.Array, least_html: pa.Array, least_raw: pa.Array) -> pa.Array:
     """Tables, HTML blocks, delimited runs and paragraphs of each document outside the spans
     taken; of nested elements the outermost.  A null text has none."""
-    columns = (c.to_pylist() for c in (text, taken, least_html, least_raw))
-    return pa.array([_layout(t or "", *rest) for t, *rest in zip(*columns)], type=_LAYOUT_ARROW)
+    return _in_slices(_LAYOUT_ARROW, lambda t, *rest: _layout(t or "", *rest), text, taken, least_html, least_raw)
 
 
 @F.arrow_udf(T.ArrayType(T.BooleanType()))
 def outermost(blocks: pa.Array) -> pa.Array:
     """For blocks ``e, rank`` in order of start, whether no earlier one of the same or a lower
     rank reaches as far: the furthest end of every rank is all that is remembered."""
-    out = []
-    for row in blocks.to_pylist():
+
+    def kept_of(row):
         reach, kept = {}, []
         for b in row:
             kept.append(all(rank > b["rank"] or far < b["e"] for rank, far in reach.items()))
             reach[b["rank"]] = max(reach.get(b["rank"], -1), b["e"])
-        out.append(kept)
-    return pa.array(out, type=pa.list_(pa.bool_()))
+        return kept
+
+    return _in_slices(pa.list_(pa.bool_()), kept_of, blocks)
 
 
 @F.arrow_udf(T.DoubleType())
@@ -546,8 +562,7 @@ def cell_texts(cells: pa.Array) -> pa.Array:
     def visible(cell):
         return "".join(unescape(piece).strip() for piece in _TAG.split(cell))
 
-    out = [
-        None if table is None else [[visible(cell) for cell in row] for row in table]
-        for table in cells.to_pylist()
-    ]
-    return pa.array(out, type=_CELLS_ARROW)
+    def texts(table):
+        return None if table is None else [[visible(cell) for cell in row] for row in table]
+
+    return _in_slices(_CELLS_ARROW, texts, cells)

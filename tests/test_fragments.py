@@ -182,3 +182,25 @@ def test_documents_of_parts_are_dealt_over_all_cores(spark, tmp_path):
     docs = queries._part_docs(spark, str(tmp_path), "concat('text ', p_partkey)")
     assert docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert docs.count() == 40
+
+
+def test_a_batch_of_many_rows_is_not_held_as_objects():
+    """What a worker holds as Python objects does not grow with the rows of an Arrow batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    piece = '{"id": "prod-1", "specs": {"size": 1}}\n\n<table><tr><td>a</td></tr></table>\n\na,b\n1,2\n\n'
+    span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("ld", pa.bool_())]))
+
+    def peak(n):
+        columns = pa.array([piece + f"Some words that are left over {i}." for i in range(n)]), pa.array([[]] * n, type=span), pa.array([20] * n), pa.array([20] * n)
+        tracemalloc.start()
+        made = kernels.layout.func(*columns)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(made) == n and made[n - 1].as_py() == kernels._layout(columns[0][n - 1].as_py(), [], 20, 20)
+        return most
+
+    peak(500)
+    assert peak(6000) < 1.5 * peak(1500)
