@@ -12,6 +12,15 @@ from ..plans.staging import staged
 HOT_KEYS, BUCKETS_PER_PARTITION = 256, 4
 
 
+def as_large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input and must not be sent to the driver.
+
+    Catalyst takes the size of an encoded file for that of its rows and counts no row that an
+    array is exploded into, so that it would broadcast some of these.
+    """
+    return df.hint("merge")
+
+
 def hot_buckets(facts: DataFrame, on: list[str]) -> dict[int, int]:
     """Number of buckets of each key that needs more than one, by the key's hash.
 
@@ -69,7 +78,7 @@ def attach_best(
         .withColumn("_bucket", F.explode("_buckets"))
         .drop("_buckets")
     )
-    return salted.join(lookup, [*on, "_bucket"]).drop("_bucket")
+    return salted.join(as_large(lookup), [*on, "_bucket"]).drop("_bucket")
 
 
 def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
@@ -86,7 +95,7 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     starts = counts.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(group, "_part").orderBy(*order)
     return (
-        placed.join(starts, [group, "_part"])
+        placed.join(as_large(starts), [group, "_part"])
         .withColumn(name, (F.col("_start") + F.row_number().over(inside)).cast("int"))
         .drop("_part", "_start")
     )

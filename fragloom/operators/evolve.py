@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.columns import let
-from ..functions.groups import join_spread, ranked
+from ..functions.groups import as_large, join_spread, ranked
 from ..functions.kernels import name_ratio
 from ..plans.staging import staged
 
@@ -31,15 +31,6 @@ DIRECT_PAIRS = 16
 _KIND_ORDER = {"added": 0, "renamed": 1, "removed": 2, "type_changed": 3, "nullable_changed": 4}
 
 
-def _as_large(df: DataFrame) -> DataFrame:
-    """A side of a join that grows with the input and must not be sent to the driver.
-
-    Catalyst takes the size of an encoded file for that of its rows and counts no row that an
-    array is exploded into, so that it would broadcast some of these.
-    """
-    return df.hint("merge")
-
-
 def schema_id(entity_type: Column, version: Column, fields: Column) -> Column:
     """``<type>_v<n>_<first 8 digits of the md5 of the sorted fields>``."""
     digest = F.substring(F.md5(F.to_json(F.array_sort(fields))), 1, 8)
@@ -57,7 +48,7 @@ def register(incoming: DataFrame, registry: DataFrame, order: list[str]) -> Data
         "entity_type", F.col("version").alias("_last"), F.col("schema_id").alias("_last_id")
     )
     told = incoming.withColumn("_digest", F.md5(F.to_json(F.array_sort("fields"))))
-    numbered = ranked(told, "entity_type", [*order, "_digest"], "_n").join(_as_large(newest), "entity_type", "left")
+    numbered = ranked(told, "entity_type", [*order, "_digest"], "_n").join(as_large(newest), "entity_type", "left")
     version = (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("int")
     made = numbered.select(
         schema_id(F.col("entity_type"), version, F.col("fields")).alias("schema_id"),
@@ -69,7 +60,7 @@ def register(incoming: DataFrame, registry: DataFrame, order: list[str]) -> Data
     previous = made.select(
         "entity_type", (F.col("version") + 1).alias("version"), F.col("schema_id").alias("_previous")
     )
-    return made.join(_as_large(previous), PAIR, "left").select(
+    return made.join(as_large(previous), PAIR, "left").select(
         "schema_id",
         "entity_type",
         "version",
@@ -102,7 +93,7 @@ def feed(schema_fields: DataFrame, schemas: DataFrame, key: str = "category") ->
     on = ["scope", "schema_id", "is_child"]
     listed = schema_fields.groupBy(*on).agg(F.array_sort(F.collect_list(item)).alias("fields"))
     heads = schemas.select("scope", "schema_id", F.col("is_normalized_table").alias("is_child"), types[key].alias("entity_type"))
-    return listed.join(_as_large(heads), on).select("entity_type", "scope", "schema_id", "fields")
+    return listed.join(as_large(heads), on).select("entity_type", "scope", "schema_id", "fields")
 
 
 def changed(incoming: DataFrame, registry: DataFrame, order: list[str]) -> DataFrame:
@@ -115,7 +106,7 @@ def changed(incoming: DataFrame, registry: DataFrame, order: list[str]) -> DataF
     numbered = staged(ranked(told, "entity_type", [*order, "_digest"], "_n"), "numbered-schemas")
     known = latest_versions(registry).select("entity_type", F.lit(0).alias("_before"), schema_digest(F.col("fields")).alias("_known"))
     ahead = numbered.select("entity_type", F.col("_n").alias("_before"), F.col("_digest").alias("_known")).unionByName(known)
-    beside = numbered.withColumn("_before", F.col("_n") - 1).join(_as_large(ahead), ["entity_type", "_before"], "left")
+    beside = numbered.withColumn("_before", F.col("_n") - 1).join(as_large(ahead), ["entity_type", "_before"], "left")
     return beside.filter(~F.col("_digest").eqNullSafe(F.col("_known"))).select(*incoming.columns)
 
 
@@ -158,8 +149,8 @@ def field_pairs(fields: DataFrame) -> DataFrame:
     known = new.select(*PAIR).distinct()
     old = fields.select(
         "entity_type", (F.col("version") + 1).alias("version"), "field", f("old")
-    ).join(_as_large(known), PAIR, "left_semi")
-    return old.join(_as_large(new), [*PAIR, "field"], "full_outer")
+    ).join(as_large(known), PAIR, "left_semi")
+    return old.join(as_large(new), [*PAIR, "field"], "full_outer")
 
 
 def _plain(name: Column) -> Column:
@@ -205,7 +196,7 @@ def _rare_first(names: DataFrame) -> DataFrame:
     distinct = names.select("plain").distinct()
     told = distinct.withColumn("token", F.explode(tokens))
     counts = told.groupBy("token").agg(F.count("*").alias("often"))
-    ranked_tokens = join_spread(told, _as_large(counts), ["token"], ["plain"])
+    ranked_tokens = join_spread(told, as_large(counts), ["token"], ["plain"])
     is_letter = ~F.col("token").rlike("(?s)^[123]:.")
     ordered = lambda wanted: F.array_sort(F.collect_list(F.when(wanted, F.struct("often", "token"))))
     listed = ranked_tokens.groupBy("plain").agg(
@@ -213,7 +204,7 @@ def _rare_first(names: DataFrame) -> DataFrame:
         F.get(ordered(~is_letter), F.lit(0))["token"].alias("own"),
     )
     none = F.array().cast("array<string>")
-    joined = names.join(_as_large(listed), "plain", "left")
+    joined = names.join(as_large(listed), "plain", "left")
     return joined.withColumn("letters", F.coalesce("letters", none)).withColumn("own", F.coalesce("own", F.lit("")))
 
 
@@ -254,7 +245,7 @@ def _met(names: DataFrame, keys: list[str]) -> DataFrame:
         *PAIR, "base_type", *keys, F.col("name").alias(name), F.col("plain").alias(plain), F.col("letters").alias(letters)
     )
     on = [*PAIR, "base_type", *keys]
-    return side(True, "old_name", "a", "a_letters").join(_as_large(side(False, "new_name", "b", "b_letters")), on)
+    return side(True, "old_name", "a", "a_letters").join(as_large(side(False, "new_name", "b", "b_letters")), on)
 
 
 def rename_candidates(pairs: DataFrame) -> DataFrame:
@@ -312,10 +303,10 @@ def renames(pairs: DataFrame) -> DataFrame:
     while not taken or not open_.isEmpty():
         best = open_.groupBy(*PAIR, "old_name").agg(F.min(order).alias("best")).select(*PAIR, "best.*")
         wanted = open_.groupBy(*PAIR, "new_name").agg(F.min(order).alias("best")).select(*PAIR, "best.old_name", "best.new_name")
-        mutual = best.join(_as_large(wanted), [*PAIR, "old_name", "new_name"]).select(*PAIR, "old_name", "new_name", (-F.col("minus")).alias("score"))
+        mutual = best.join(as_large(wanted), [*PAIR, "old_name", "new_name"]).select(*PAIR, "old_name", "new_name", (-F.col("minus")).alias("score"))
         taken.append(staged(mutual, "renames"))
         for name in ("old_name", "new_name"):
-            open_ = open_.join(_as_large(taken[-1].select(*PAIR, name)), [*PAIR, name], "left_anti")
+            open_ = open_.join(as_large(taken[-1].select(*PAIR, name)), [*PAIR, name], "left_anti")
         open_ = staged(open_, "rename-candidates")
     return reduce(DataFrame.unionByName, taken)
 
@@ -342,7 +333,7 @@ def changes(fields: DataFrame) -> DataFrame:
     handled = found.select(*PAIR, F.explode(F.array("old_name", "new_name")).alias("field"), F.lit(True).alias("handled"))
     one_sided = F.col("old").isNull() | F.col("new").isNull()
     # Only fields on one side can have been renamed; the rest need no look-up.
-    lonely = pairs.filter(one_sided).join(_as_large(handled), [*PAIR, "field"], "left_anti")
+    lonely = pairs.filter(one_sided).join(as_large(handled), [*PAIR, "field"], "left_anti")
     both = pairs.filter(~one_sided)
     o, n, name = F.col("old"), F.col("new"), F.col("field")
     shown = lambda c: F.initcap(c.cast("string"))
@@ -406,7 +397,7 @@ def migration_steps(changes: DataFrame, fields: DataFrame) -> DataFrame:
         F.struct("sql_type", "nullable").alias("old"),
     )
     on = [*PAIR, "field_name"]
-    df = changes.join(_as_large(new), on, "left").join(_as_large(old), on, "left")
+    df = changes.join(as_large(new), on, "left").join(as_large(old), on, "left")
     kind = F.col("change_type")
     alter = F.concat(F.lit("ALTER TABLE "), table_name(F.col("entity_type")), F.lit(" "))
     update = F.concat(F.lit("UPDATE "), table_name(F.col("entity_type")), F.lit(" SET "))
@@ -476,7 +467,7 @@ def view_columns(fields: DataFrame) -> DataFrame:
     """What each old field reads from in the next version; dropped fields are left out."""
     pairs = field_pairs(fields)
     found = renames(pairs).select(*PAIR, F.col("old_name").alias("field"), "new_name")
-    old = pairs.filter(F.col("old").isNotNull()).join(_as_large(found), [*PAIR, "field"], "left")
+    old = pairs.filter(F.col("old").isNotNull()).join(as_large(found), [*PAIR, "field"], "left")
     target = F.coalesce(
         "new_name", F.when(F.col("new").isNotNull(), F.col("field"))
     )
@@ -585,7 +576,7 @@ def row_steps(fields: DataFrame, *, rollback: bool = False) -> DataFrame:
     target, source = ("old", "new") if rollback else ("new", "old")
     renamed = renames(pairs).select(*PAIR, F.col(f"{target}_name").alias("field"), F.col(f"{source}_name").alias("renamed"))
     t, s = F.col(target), F.col(source)
-    each = pairs.filter(t.isNotNull()).join(_as_large(renamed), [*PAIR, "field"], "left").select(
+    each = pairs.filter(t.isNotNull()).join(as_large(renamed), [*PAIR, "field"], "left").select(
         *PAIR,
         t["pos"].alias("pos"),
         F.col("field").alias("name"),
@@ -613,7 +604,7 @@ def move_rows(rows: DataFrame, steps: DataFrame, spread: list[str]) -> DataFrame
     rows is spread by the columns ``spread``.
     """
     known = steps.select(*PAIR, F.struct("to", "steps").alias("_step"))
-    met = join_spread(rows, _as_large(known), PAIR, spread, "left")
+    met = join_spread(rows, as_large(known), PAIR, spread, "left")
     moved = F.map_from_entries(
         F.transform(
             F.col("_step.steps"),
@@ -666,15 +657,15 @@ def process(
         incoming = changed(incoming, registry, order)
     versions = staged(register(incoming, registry, order), "versions")
     touched = versions.select("entity_type").distinct()
-    before = latest_versions(registry).join(_as_large(touched), "entity_type", "left_semi")
+    before = latest_versions(registry).join(as_large(touched), "entity_type", "left_semi")
     fields = version_fields(before.unionByName(versions))
     firsts = versions.select(*PAIR)
-    found = staged(changes(fields).join(_as_large(firsts), PAIR, "left_semi"), "changes")
+    found = staged(changes(fields).join(as_large(firsts), PAIR, "left_semi"), "changes")
     return {
         "versions": versions,
         "changes": found,
         "migrations": migrations(migration_steps(found, fields)),
-        "views": compatibility_views(fields).join(_as_large(firsts), PAIR, "left_semi"),
+        "views": compatibility_views(fields).join(as_large(firsts), PAIR, "left_semi"),
         "outcome": outcome(versions, found),
     }
 
@@ -689,7 +680,7 @@ def outcome(versions: DataFrame, changes: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.when(renamed, F.struct("old_value", "new_value"))))
         ).alias("field_mappings"),
     )
-    return versions.join(_as_large(summary), PAIR, "left").select(
+    return versions.join(as_large(summary), PAIR, "left").select(
         *PAIR,
         "schema_id",
         (F.col("version") == 1).alias("is_initial"),
@@ -706,7 +697,7 @@ def history(versions: DataFrame, changes: DataFrame, entity_type: str | None = N
     item = F.struct("change_type", "field_name", "old_value", "new_value", "breaking", "migration_notes")
     listed = changes.groupBy(*PAIR).agg(F.array_sort(F.collect_list(item)).alias("changes"))
     return (
-        versions.join(_as_large(listed), PAIR, "left")
+        versions.join(as_large(listed), PAIR, "left")
         .select(*PAIR, "schema_id", "created_at", "changes", "parent_version")
         .orderBy(*PAIR)
     )
@@ -755,7 +746,7 @@ def present_names(changes: DataFrame) -> DataFrame:
         ahead = state.select(
             "entity_type", F.col("name").alias("_name"), F.col("version").alias("next"), F.col("present").alias("_present"), F.col("next").alias("_next")
         )
-        open_ = state.filter("next IS NOT NULL").withColumn("_name", F.lower("present")).join(_as_large(ahead), ["entity_type", "_name", "next"])
+        open_ = state.filter("next IS NOT NULL").withColumn("_name", F.lower("present")).join(as_large(ahead), ["entity_type", "_name", "next"])
         moved = open_.select("entity_type", "name", "version", F.col("_present").alias("present"), F.col("_next").alias("next"))
         state = staged(state.filter("next IS NULL").unionByName(moved), "rename-chains")
     return state.drop("next")
@@ -779,9 +770,9 @@ def rewrite_queries(queries: DataFrame, changes: DataFrame, keys: list[str]) ->
     asked = words.select("entity_type", "name", F.col("from_version").cast("int").alias("version")).distinct()
     first = _next_event(asked, _name_events(changes)).filter("event.new IS NOT NULL")
     named = first.select("entity_type", "name", F.col("version").alias("from_version"), F.col("event.version").alias("version")).join(
-        _as_large(chains), ["entity_type", "name", "version"]
+        as_large(chains), ["entity_type", "name", "version"]
     )
-    found = join_spread(words, _as_large(named.select("entity_type", "name", "from_version", "present")), ["entity_type", "name", "from_version"], ["_row"])
+    found = join_spread(words, as_large(named.select("entity_type", "name", "from_version", "present")), ["entity_type", "name", "from_version"], ["_row"])
     mapped = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("name", "present"))).alias("_names"))
 
     # Names that are no single word are few: those of a type are listed with their steps.
@@ -791,7 +782,7 @@ def rewrite_queries(queries: DataFrame, changes: DataFrame, keys: list[str]) ->
     literal = lambda s: F.regexp_replace(s, r"([\\$])", r"\\$1")
     word = lambda s: F.concat(F.lit(r"(?Uui)\b\Q"), s, F.lit(r"\E\b"))
     later = F.filter("_edges", lambda e: e["version"] > F.col("from_version"))
-    joined = join_spread(log.join(_as_large(mapped), "_row", "left"), _as_large(listed), ["entity_type"], [*keys, "_row"], "left")
+    joined = join_spread(log.join(as_large(mapped), "_row", "left"), as_large(listed), ["entity_type"], [*keys, "_row"], "left")
     parts = F.regexp_extract_all("query", F.lit(r"(?U)\w+|\W+"), 0)
     spelt = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("_names", F.lower(p)), p)), "")
     known = F.when(F.col("_names").isNotNull(), spelt).otherwise(F.col("query"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.columns import bind, trim_ws
-from ..functions.groups import join_spread
+from ..functions.groups import as_large, join_spread
 from .mentions import FRAGMENT_KEY
 from .normalize import clean_object
 from .resolve import format_rank
@@ -82,7 +82,7 @@ def facts(
     if exclusions is not None:
         source = source.join(exclusions.select(*keys, "start"), [*keys, "start"], "left_anti")
     wanted = entity_fragments.select(*ENTITY, *keys, *FRAGMENT_KEY)
-    joined = source.join(wanted, [*keys, *FRAGMENT_KEY])
+    joined = source.join(as_large(wanted), [*keys, *FRAGMENT_KEY])
     exploded = joined.select(
         *ENTITY, *keys, *FRAGMENT_KEY, "start", F.explode("rows").alias("r")
     ).filter(
@@ -166,7 +166,7 @@ def conflicts(facts: DataFrame, merged: DataFrame, *, keys: tuple[str, ...] = ("
     )
     lost = join_spread(
         facts.filter(~F.col("overwrites")),
-        disputed.select(*ENTITY, "key", F.col("same_as").alias("winning")),
+        as_large(disputed.select(*ENTITY, "key", F.col("same_as").alias("winning"))),
         [*ENTITY, "key"],
         [*keys, "frag_id"],
     ).filter(F.col("same_as") != F.col("winning"))
@@ -202,7 +202,7 @@ def merged(merged_fields: DataFrame, entity_fragments: DataFrame) -> DataFrame:
     )
     n = F.coalesce(F.col("n_fields"), F.lit(0))
     k = F.coalesce(F.col("n_conflicts"), F.lit(0))
-    return sizes.join(fields, ENTITY, "left").select(
+    return sizes.join(as_large(fields), ENTITY, "left").select(
         *ENTITY,
         "fragment_count",
         n.alias("n_fields"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.groups import as_large
 from .merge import ENTITY
 
 
@@ -69,7 +70,7 @@ def evolution_summary(versions: DataFrame, changes: DataFrame) -> DataFrame:
     return (
         versions.groupBy("entity_type")
         .agg(F.count("*").alias("n_versions"))
-        .join(counted, "entity_type", "left")
+        .join(as_large(counted), "entity_type", "left")
         .select(
             "entity_type",
             "n_versions",

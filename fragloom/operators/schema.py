@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.columns import bind, cached, contains_any
+from ..functions.groups import as_large
 from ..functions.types import null_info, type_info, varchar
 from .merge import ENTITY
 
@@ -252,10 +253,10 @@ def schemas(schema_fields: DataFrame, merged: DataFrame | None = None) -> DataFr
         schema_fields.filter(~F.col("is_child")).select(*ENTITY).distinct()
         .withColumn("has_parent", F.lit(True))
     )
-    grouped = grouped.join(parents, ENTITY, "left")
+    grouped = grouped.join(as_large(parents), ENTITY, "left")
     if merged is not None:
         totals = merged.select(*ENTITY, (F.col("n_conflicts") > 0).alias("disputed"))
-        grouped = grouped.join(totals, ENTITY, "left").withColumn(
+        grouped = grouped.join(as_large(totals), ENTITY, "left").withColumn(
             "has_conflicts", ~F.col("is_child") & F.coalesce("disputed", F.lit(False))
         )
     return grouped.select(
@@ -311,7 +312,7 @@ def postgresql(schema_fields: DataFrame, schemas: DataFrame) -> DataFrame:
             F.lit("("), sql_name(f), F.lit(");"),
         ),
     )
-    joined = schemas.join(columns, [*SCHEMA, "is_normalized_table"]).withColumn("table", table)
+    joined = schemas.join(as_large(columns), [*SCHEMA, "is_normalized_table"]).withColumn("table", table)
     body = F.concat_ws(",\n", F.concat("columns", key_line))
     return joined.select(
         *SCHEMA,
@@ -348,6 +349,6 @@ def document_validators(schema_fields: DataFrame, schemas: DataFrame) -> DataFra
             F.transform("fields", lambda f: F.struct(f["field"].alias("key"), f["prop"].alias("value")))
         ).alias("properties"),
     )
-    return schemas.join(fields, [*SCHEMA, "is_normalized_table"]).select(
+    return schemas.join(as_large(fields), [*SCHEMA, "is_normalized_table"]).select(
         *SCHEMA, "category", F.to_json(validator).alias("validator")
     )

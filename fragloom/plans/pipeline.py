@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.groups import as_large
 from ..operators import detect, evolve, mentions, merge, normalize, report, resolve, schema
 from .staging import staged
 
@@ -87,6 +88,6 @@ def evolve_schemas(
     order = ["scope", "schema_id"]
     if arrivals is not None:
         first = [c for c in arrivals.columns if c != "scope"]
-        incoming = incoming.join(arrivals, "scope")
+        incoming = incoming.join(as_large(arrivals), "scope")
         order = [*first, *order]
     return evolve.process(incoming, registry, order, only_changed=True)

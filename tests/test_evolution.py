@@ -6,7 +6,9 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from fragloom.operators import evolve
+from fragloom.functions import groups
+from fragloom.operators import evolve, schema
+from fragloom.plans import pipeline
 from fragloom.sources import readers, writers
 from fragloom.streaming import ingest
 
@@ -305,3 +307,25 @@ def test_many_small_versions_are_paired_directly_and_not_broadcast(spark):
     assert got == {("colour", "color"): 400, ("price_usd", "price"): 400}
     steps = evolve.migration_steps(evolve.changes(fields), fields)
     assert "BroadcastHashJoin" not in steps._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_sides_that_grow_with_the_schemas_are_not_broadcast(spark, monkeypatch):
+    """Heads, arrivals and the starts of a type's numbers are as many as the schemas."""
+    plain = lambda df: "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    info = F.struct(F.lit("string").alias("base_type"), F.lit("TEXT").alias("sql_type"), F.lit(True).alias("nullable"))
+    fields = spark.range(300).select(
+        F.col("id").cast("string").alias("scope"), F.concat(F.lit("e"), "id").alias("entity_id"), F.concat(F.lit("e"), "id").alias("schema_id"),
+        F.lit(False).alias("is_child"), F.lit("name").alias("field"), F.lit(1).alias("pos"), info.alias("type_info"),
+        F.lit(False).alias("is_key"), F.lit(False).alias("is_index"), F.lit(False).alias("has_conflict"),
+    )
+    merged = fields.select("scope", "entity_id", F.lit(0).alias("n_conflicts"))
+    heads = schema.schemas(fields, merged)
+    assert plain(heads) and heads.count() == 300
+    arrivals = fields.select("scope", F.col("scope").cast("long").alias("arrived"))
+    with monkeypatch.context() as m:
+        m.setattr(evolve, "process", lambda incoming, *_, **__: incoming)
+        incoming = pipeline.evolve_schemas(fields, heads, None, arrivals=arrivals)
+    assert plain(incoming) and incoming.count() == 300
+    numbered = groups.ranked(incoming, "entity_type", ["arrived"], "n")
+    assert plain(numbered)
+    assert [r.n for r in numbered.orderBy("arrived").collect()] == list(range(1, 301))
