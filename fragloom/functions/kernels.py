@@ -13,6 +13,7 @@ import re
 import sys
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -28,21 +29,26 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _SLICE_ROWS, _SLICE_CHARS = 256, 1 << 20
 
 
-def _in_slices(kind: pa.DataType, of_row, first: pa.Array, *more: pa.Array) -> pa.Array:
+def _slices(kind: pa.DataType, of_row, first: pa.Array, *more: pa.Array) -> Iterator[pa.Array]:
     """``of_row`` of each row of a batch, whose ``first`` column is a text or a list.
 
     Rows are read one by one and results turned into Arrow slice by slice, so that the
     objects a worker holds beside the batch do not grow with its rows or texts.
     """
-    made, out, size = [], [], 0
+    out, size = [], 0
     for head, *rest in zip(first, *more):
         value = head.as_py()
         out.append(of_row(value, *(x.as_py() for x in rest)))
         size += len(value or "")
         if len(out) >= _SLICE_ROWS or size >= _SLICE_CHARS:
-            made.append(pa.array(out, type=kind))
+            yield pa.array(out, type=kind)
             out, size = [], 0
-    made.append(pa.array(out, type=kind))
+    yield pa.array(out, type=kind)
+
+
+def _in_slices(kind: pa.DataType, of_row, first: pa.Array, *more: pa.Array) -> pa.Array:
+    """All slices of :func:`_slices` as one array."""
+    made = list(_slices(kind, of_row, first, *more))
     return pa.concat_arrays(made) if len(made) > 1 else made[0]
 
 
@@ -179,16 +185,19 @@ _SPAN_ARROW = pa.list_(
 )
 
 
-@F.arrow_udf(_SPAN_TYPE)
-def object_spans(
-    text: pa.Array, reserved: pa.Array, sections: pa.Array, scripts: pa.Array, first: pa.Array
-) -> pa.Array:
-    """Brace-delimited spans of each document; a null text has none."""
+def _spans_of(text, *rest):
+    return [] if text is None else [dict(zip(_SPAN_NAMES, span)) for span in _scan_document(text, *rest)]
+
 
-    def spans(t, *rest):
-        return [] if t is None else [dict(zip(_SPAN_NAMES, span)) for span in _scan_document(t, *rest)]
+@F.arrow_udf(_SPAN_TYPE)
+def object_spans(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Brace-delimited spans of each document (``text, reserved, sections, scripts,
+    scripts first``); a null text has none.
 
-    return _in_slices(_SPAN_ARROW, spans, text, reserved, sections, scripts, first)
+    Spans hold nearly the whole text again: they leave the worker slice by slice.
+    """
+    for columns in batches:
+        yield from _slices(_SPAN_ARROW, _spans_of, *columns)
 
 
 def _leaf(value):

@@ -204,3 +204,19 @@ def test_a_batch_of_many_rows_is_not_held_as_objects():
 
     peak(500)
     assert peak(6000) < 1.5 * peak(1500)
+
+
+def test_spans_of_long_texts_leave_a_batch_slice_by_slice():
+    """Texts of a whole batch are never held a second time as results, and no row is lost."""
+    import pyarrow as pa
+
+    span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("ld", pa.bool_())]))
+    head = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("label", pa.string())]))
+    texts = ['{"a": "' + "x" * 700_000 + '"}', None, "no braces", '{"b": 1} {"c": 2}'] * 8
+    n = len(texts)
+    columns = pa.array(texts), pa.array([[]] * n, type=span), pa.array([[]] * n, type=head), pa.array([[]] * n, type=head), pa.array([False] * n)
+    made = list(kernels.object_spans.func(iter([columns, columns])))
+    rows = [row for part in made for row in part.to_pylist()]
+    assert max(part.nbytes for part in made) < 4_000_000 and len(rows) == 2 * n
+    assert [[x["text"] for x in row] for row in rows[:4]] == [[texts[0]], [], [], ['{"b": 1}', '{"c": 2}']]
+    assert rows == rows[:4] * 16
