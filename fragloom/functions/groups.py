@@ -58,12 +58,18 @@ def join_spread(
     get a bucket from ``spread`` and its look-up row is repeated for each; all others take an
     ordinary join.
     """
-    hot = hot_buckets(facts, on)
-    salted = _bucketed(facts, on, spread, hot)
-    repeated = lookup.withColumn("_bucket", F.explode(F.sequence(F.lit(0), _buckets(on, hot) - 1)))
+    salted, repeated = dealt(facts, lookup, on, spread, hot_buckets(facts, on))
     return salted.join(repeated, [*on, "_bucket"], how).drop("_bucket")
 
 
+def dealt(
+    facts: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], hot: dict[int, int]
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_bucket``: facts of a hot key have one, look-up rows are repeated for each."""
+    repeated = lookup.withColumn("_bucket", F.explode(F.sequence(F.lit(0), _buckets(on, hot) - 1)))
+    return _bucketed(facts, on, spread, hot), repeated
+
+
 def attach_best(
     facts: DataFrame, on: list[str], best: Column, name: str, spread: list[str]
 ) -> DataFrame:

@@ -575,3 +575,62 @@ def cell_texts(cells: pa.Array) -> pa.Array:
         return None if table is None else [[visible(cell) for cell in row] for row in table]
 
     return _in_slices(_CELLS_ARROW, texts, cells)
+
+
+#: Rows of :func:`names_behind_blocks`, by ``kind``: the end of a name that is not followed
+#: further, the end of one that is, a question, a question that is settled.
+CLOSED, OPEN, ASKED, SETTLED = range(4)
+NAMES_DDL = "entity_type string, name string, version int, new string, kind int, asked int"
+_NAMES_ARROW = pa.schema(
+    [("entity_type", pa.string()), ("name", pa.string()), ("version", pa.int32()), ("new", pa.string()), ("kind", pa.int32()), ("asked", pa.int32())]
+)
+_NAMES_IN = ["entity_type", "_bucket", "_block", "version", "name", "new", "after", "kind", "asked"]
+_NAMES_ROWS = 10_000
+
+
+def names_behind_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What names are called behind a block of versions, from rows sorted by type, bucket,
+    block and falling version.
+
+    An event says what a name becomes in a version (``new``, null if it is removed), a
+    question what it is called so far; ``after`` is the name that is looked up among the
+    events of later versions.  Numbers are never null.  Only the names of one block are remembered, each with its end.
+    Questions come out first, then the names of every block but the first, as events of it.
+    """
+    own, at, held, waiting, out = None, None, {}, [], []
+
+    def leave():
+        held.update(waiting)
+        if own and own[1] == 0 and own[2]:
+            out.extend((own[0], name, own[2], new, kind, 0) for name, (new, kind) in held.items())
+        held.clear()
+        waiting.clear()
+
+    def taken():
+        columns = zip(*out) if out else [()] * len(_NAMES_ARROW)
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NAMES_ARROW)], schema=_NAMES_ARROW)
+        out.clear()
+        return made
+
+    for batch in batches:
+        for entity_type, bucket, block, version, name, new, after, kind, asked in zip(*(batch.column(n).to_numpy(zero_copy_only=False).tolist() for n in _NAMES_IN)):
+            if own is None or entity_type != own[0] or block != own[2] or bucket != own[1]:
+                leave()
+                own, at = (entity_type, bucket, block), version
+            elif version != at:  # names of one version may swap: they change together
+                held.update(waiting)
+                waiting.clear()
+                at = version
+            behind = None if kind == CLOSED else held.get(after)
+            if behind is not None:
+                new, end = (new, CLOSED) if behind[0] is None else behind
+            else:
+                end = CLOSED if kind == CLOSED else OPEN
+            if kind == ASKED:
+                out.append((entity_type, name, block, new, SETTLED if end == CLOSED else ASKED, asked))
+            else:
+                waiting.append((name, (new, end)))
+            if len(out) >= _NAMES_ROWS:
+                yield taken()
+    leave()
+    yield taken()

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.columns import let
-from ..functions.groups import as_large, join_spread, ranked
-from ..functions.kernels import name_ratio
+from ..functions.groups import as_large, dealt, hot_buckets, join_spread, ranked
+from ..functions.kernels import ASKED, CLOSED, NAMES_DDL, OPEN, SETTLED, name_ratio, names_behind_blocks
 from ..plans.staging import staged
 
 PAIR = ["entity_type", "version"]
@@ -714,42 +714,40 @@ def _name_events(changes: DataFrame) -> DataFrame:
     )
 
 
-def _next_event(probes: DataFrame, events: DataFrame) -> DataFrame:
-    """``probes(entity_type, name, version, …)`` with ``event(version, new)``: the first event
-    of the name in a later version.  A name of a type has at most one event a version."""
-    carried = [c for c in probes.columns if c not in ("entity_type", "name", "version")]
-    event = F.struct("version", "new")
-    rows = probes.withColumn("event", F.lit(None).cast("struct<version:int,new:string>")).withColumn("_asks", F.lit(1)).unionByName(
-        events.select("entity_type", "name", "version", event.alias("event"), F.lit(0).alias("_asks")), allowMissingColumns=True
-    )
-    later = Window.partitionBy("entity_type", "name").orderBy(F.col("version").desc(), F.col("_asks").desc())
-    seen = F.last("event", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("event", seen).filter("_asks = 1").select("entity_type", "name", "version", *carried, "event")
+#: Versions of a type that one task looks through at a time.
+BLOCK = 64
 
 
-def present_names(changes: DataFrame) -> DataFrame:
-    """``entity_type, name, version, present`` of every rename: what the field that was called
-    ``name`` until ``version`` is called in the newest version.
+def present_names(asked: DataFrame, changes: DataFrame) -> DataFrame:
+    """``asked(entity_type, name, version)`` with ``present``: what the field that bore the name,
+    in small letters, in that version is called in the newest one, where it was ever renamed.
 
-    Chains of renames are followed by doubling: each round joins every rename to the end of
-    the stretch it has so far, so that n versions take log n rounds.  A name that is removed
-    ends its chain, whoever bears it later.
+    Versions are cut into blocks.  A task goes through a block backwards and knows what each
+    name is called behind it; these are the events of the next level, whose versions are the
+    blocks, so that n versions take log64 n passes.  Types that are asked for most are spread
+    over buckets.  A name that is removed ends its chain, whoever bears it later.
     """
-    events = staged(_name_events(changes), "name-events")
-    renamed = events.filter("new IS NOT NULL")
-    onward = _next_event(
-        renamed.select("entity_type", F.lower("new").alias("name"), "version", F.col("name").alias("old"), F.col("new").alias("present")), events
-    )
-    follows = F.when(F.col("event.new").isNotNull(), F.col("event.version"))
-    state = staged(onward.select("entity_type", F.col("old").alias("name"), "version", "present", follows.alias("next")), "rename-chains")
-    while not state.filter("next IS NOT NULL").isEmpty():
-        ahead = state.select(
-            "entity_type", F.col("name").alias("_name"), F.col("version").alias("next"), F.col("present").alias("_present"), F.col("next").alias("_next")
-        )
-        open_ = state.filter("next IS NOT NULL").withColumn("_name", F.lower("present")).join(as_large(ahead), ["entity_type", "_name", "next"])
-        moved = open_.select("entity_type", "name", "version", F.col("_present").alias("present"), F.col("_next").alias("next"))
-        state = staged(state.filter("next IS NULL").unionByName(moved), "rename-chains")
-    return state.drop("next")
+    hot = hot_buckets(asked, ["entity_type"])
+    asks = asked.select("entity_type", "name", "version", F.lit(None).cast("string").alias("new"), F.lit(ASKED).alias("kind"), F.col("version").alias("asked"))
+    events = _name_events(changes).select(
+        "entity_type", "name", F.col("version").cast("int").alias("version"), "new",
+        F.when(F.col("new").isNull(), F.lit(CLOSED)).otherwise(F.lit(OPEN)).alias("kind"), F.lit(0).alias("asked"),
+    )
+    asks, events = asks.filter("version IS NOT NULL"), events.filter("version IS NOT NULL")
+    block = F.greatest(F.floor(F.col("version") / BLOCK), F.lit(0)).cast("int")
+    place, found = ["entity_type", "_bucket", "_block"], None
+    while True:
+        salted, repeated = dealt(asks, events, ["entity_type"], ["name", "asked"], hot)
+        rows = salted.unionByName(repeated).withColumns({"_block": block, "after": F.coalesce(F.lower("new"), "name")})
+        sorted_rows = rows.repartition(*place).sortWithinPartitions(*place, F.col("version").desc(), "new")
+        done = staged(sorted_rows.mapInArrow(names_behind_blocks, NAMES_DDL), "present-names")
+        events, asks = done.filter(F.col("kind") < ASKED), done.filter(F.col("kind") == ASKED)
+        last = events.isEmpty()
+        settled = done.filter((F.col("kind") >= (ASKED if last else SETTLED)) & F.col("new").isNotNull())
+        named = settled.select("entity_type", "name", F.col("asked").alias("version"), F.col("new").alias("present"))
+        found = named if found is None else found.unionByName(named)
+        if last:
+            return found
 
 
 _WORDS = r"(?U)\w+"
@@ -764,15 +762,11 @@ def rewrite_queries(queries: DataFrame, changes: DataFrame, keys: list[str]) ->
     where one type has most of the queries.  A name that is not one word is replaced version
     by version wherever it stands between word boundaries.
     """
-    chains = staged(present_names(changes), "present-names")
     log = staged(queries.withColumn("_row", F.monotonically_increasing_id()), "query-log")
     words = log.select("_row", "entity_type", "from_version", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit(_WORDS), 0), F.lower))).alias("name"))
     asked = words.select("entity_type", "name", F.col("from_version").cast("int").alias("version")).distinct()
-    first = _next_event(asked, _name_events(changes)).filter("event.new IS NOT NULL")
-    named = first.select("entity_type", "name", F.col("version").alias("from_version"), F.col("event.version").alias("version")).join(
-        as_large(chains), ["entity_type", "name", "version"]
-    )
-    found = join_spread(words, as_large(named.select("entity_type", "name", "from_version", "present")), ["entity_type", "name", "from_version"], ["_row"])
+    named = present_names(asked, changes).withColumnRenamed("version", "from_version")
+    found = join_spread(words, as_large(named), ["entity_type", "name", "from_version"], ["_row"])
     mapped = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("name", "present"))).alias("_names"))
 
     # Names that are no single word are few: those of a type are listed with their steps.
