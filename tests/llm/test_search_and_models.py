@@ -75,6 +75,29 @@ def test_blocks_are_skipped():
     assert 0 < max(seen) < len(index.block) // 10
 
 
+def test_best_of_other_shards_rule_out_blocks():
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 50, 30) + 100 * (i // 640) for i in range(6400)]
+    index = bm25_search.Index(list(range(6400)), [t.astype(np.int64) for t in texts], 30.0)
+    terms = np.unique(texts[0])
+    ids, scores = index.top(terms, np.ones(len(terms)), 5)
+    index.begins = index.begins.view(_Counting)
+    index.begins.seen = seen = []
+    better = np.arange(-5, 0), np.full(5, scores[0] + 100)
+    assert np.array_equal(index.top(terms, np.ones(len(terms)), 5, *better)[0], better[0]) and not seen
+    both = index.top(terms, np.ones(len(terms)), 5, np.array([-1]), scores[2:3])
+    assert both[0].tolist() == [*ids[:2].tolist(), -1, *ids[2:4].tolist()]
+
+
+def test_queries_are_not_copied_to_shards(spark, docs):
+    asked = docs.select(F.col("doc_id").alias("query_id"), "text")
+    found = bm25_search.search(docs, asked, shard_docs=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Union" not in plan
+    alone = bm25_search.search(docs, asked, shard_docs=100)
+    assert sorted(map(str, found.collect())) == sorted(map(str, alone.collect()))
+
+
 class _Counting(np.ndarray):
     seen: list
 
