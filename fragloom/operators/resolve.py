@@ -8,7 +8,7 @@ aggregation with a spread-out join back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -111,9 +111,13 @@ def named_claims(
         format_rank(F.col("format")).alias("rank"),
         F.col("id"),
     )
-    named = attach_best(
-        _claims(tagged, keys, scope), ["scope", "group_id"], best, "best", [*keys, "start"]
-    )
+    claims = _claims(tagged, keys, scope)
+    if scope == "document":
+        # A group is part of one document, which was one row: its claims meet in one shuffle.
+        group = Window.partitionBy("scope", "group_id")
+        named = claims.withColumn("best", F.min(best).over(group))
+    else:
+        named = attach_best(claims, ["scope", "group_id"], best, "best", [*keys, "start"])
     return named.withColumn("entity_id", F.col("best.id")).drop("best", "plainness")
 
 

@@ -124,3 +124,14 @@ def test_equal_values_of_different_types(spark):
     lost = out["conflicts"].filter("not is_winner").collect()
     assert [r["value"] for r in lost] == ["1"]
     assert normalize.FIELDS_DDL and schema.SCHEMA
+
+
+def test_names_within_documents_take_one_shuffle(spark):
+    docs = spark.createDataFrame([(1, PAGE), (2, PAGE), (2, PAGE), (None, PAGE)], "doc_id long, text string")
+    tagged = staged(pipeline.tagged_fragments(docs), "tagged")
+    named = resolve.named_claims(tagged)
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Join" not in plan
+    rows = {(r.format, r.id, r.group_id, r.entity_id) for r in named.collect()}
+    best = resolve.attach_best(resolve._claims(tagged, ("doc_id",), "document"), ["scope", "group_id"], F.struct("plainness", "doc_id", "start", resolve.format_rank(F.col("format")), "id"), "best", ["start"])
+    assert rows == {(r.format, r.id, r.group_id, r.best.id) for r in best.collect()}
