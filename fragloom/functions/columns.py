@@ -3,7 +3,9 @@
 Spark inlines a projected expression into the lambdas that use it, and would then
 evaluate it once per element.  Two tools keep each expensive value computed once:
 ``let`` binds it to a lambda variable, ``bind`` puts it behind a one-row generator
-that projections are not merged across.
+that projections are not merged across.  The generator itself only unpacks what a
+projection below it has made: Spark compiles the projection's expressions but for their
+lambdas, a generator with a lambda anywhere it interprets as a whole.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def bind(df: DataFrame, **values: Column) -> DataFrame:
     """Add columns that later lambdas can use without evaluating them again."""
     fields = [value.alias(name) for name, value in values.items()]
-    return df.select("*", F.inline(F.array(F.struct(*fields))))
+    made = df.select("*", F.struct(*fields).alias("_bound"))
+    return made.select("*", F.inline(F.array("_bound"))).drop("_bound")
 
 
 def empty(ddl: str) -> Column:
@@ -92,12 +95,12 @@ def regex_spans(text: Column, pattern: str, **groups: int) -> Column:
     """All matches as ``array<struct<s, e, m, *groups>>`` with 0-based half-open offsets.
 
     Most texts match most patterns nowhere, which one look for a first match settles.
+    Groups are read from the match alone: a pattern with groups sees nothing around it but
+    what ``^`` and ``\\b`` tell of its begin.
     """
-    p = F.lit(pattern)
     parts = F.struct(
         F.split(text, pattern, -1).alias("gaps"),
-        F.regexp_extract_all(text, p, F.lit(0)).alias("ms"),
-        *[F.regexp_extract_all(text, p, F.lit(i)).alias(name) for name, i in groups.items()],
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("ms"),
     )
 
     def located(v: Column) -> Column:
@@ -112,7 +115,7 @@ def regex_spans(text: Column, pattern: str, **groups: int) -> Column:
                         s.alias("s"),
                         (s + F.length(F.get(v["ms"], i))).alias("e"),
                         F.get(v["ms"], i).alias("m"),
-                        *[F.get(v[name], i).alias(name) for name in groups],
+                        *[F.regexp_extract(F.get(v["ms"], i), pattern, g).alias(name) for name, g in groups.items()],
                     ),
                 ),
             ),
@@ -123,35 +126,35 @@ def regex_spans(text: Column, pattern: str, **groups: int) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """Lines as ``array<struct<raw, body, s, e, blank>>``; ``raw`` keeps its line end."""
+    """Lines as ``array<struct<raw, body, s, e>>``; ``raw`` keeps its line end."""
+    parted = lambda raw, body: F.struct(raw.alias("raw"), body.alias("body"))
     by_newline = let(
         F.split(text, "\n", -1),
         lambda ls: F.transform(
             ls,
-            lambda x, i: F.when(i < F.size(ls) - 1, F.concat(x, F.lit("\n"))).otherwise(x),
+            lambda x, i: parted(F.when(i < F.size(ls) - 1, F.concat(x, F.lit("\n"))).otherwise(x), x),
         ),
     )
-    by_any_end = F.regexp_extract_all(text, F.lit(rules.LINE_PATTERN), F.lit(0))
+    by_any_end = F.transform(
+        F.regexp_extract_all(text, F.lit(rules.LINE_PATTERN), F.lit(0)),
+        lambda r: parted(r, F.rtrim(r, F.lit(rules.LINE_ENDS))),
+    )
     raws = F.filter(
         F.when(text.rlike(rules.RARE_LINE_END), by_any_end).otherwise(by_newline),
-        lambda r: F.length(r) > 0,
+        lambda r: r["raw"] != "",
     )
 
     def located(rs: Column) -> Column:
         return let(
-            offsets(F.transform(rs, F.length)),
+            offsets(F.transform(rs, lambda r: F.length(r["raw"]))),
             lambda at: F.zip_with(
                 rs,
                 at,
-                lambda r, s: let(
-                    F.rtrim(r, F.lit(rules.LINE_ENDS)),
-                    lambda body: F.struct(
-                        r.alias("raw"),
-                        body.alias("body"),
-                        s.alias("s"),
-                        (s + F.length(body)).alias("e"),
-                        is_blank(body).alias("blank"),
-                    ),
+                lambda r, s: F.struct(
+                    r["raw"].alias("raw"),
+                    r["body"].alias("body"),
+                    s.alias("s"),
+                    (s + F.length(r["body"])).alias("e"),
                 ),
             ),
         )

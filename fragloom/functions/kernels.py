@@ -14,8 +14,10 @@ import sys
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,21 +31,66 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _SLICE_ROWS, _SLICE_CHARS = 256, 1 << 20
 
 
+def _cuts(first: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begin and number of the rows of each slice of a batch, whose ``first`` column is a text
+    or a list."""
+    lengths = pc.list_value_length if pa.types.is_nested(first.type) else pc.binary_length
+    begin, size = 0, 0
+    for i, n in enumerate(lengths(first).fill_null(0).to_numpy(), 1):
+        size += int(n)
+        if i - begin >= _SLICE_ROWS or size >= _SLICE_CHARS:
+            yield begin, i - begin
+            begin, size = i, 0
+    if begin < len(first) or not len(first):
+        yield begin, len(first) - begin
+
+
+def _is_listed(kind: pa.DataType) -> bool:
+    return pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)
+
+
+def _values(column: pa.Array) -> list:
+    """``to_pylist``, but lists of structs are read member column by member column."""
+    if not _is_listed(column.type):
+        return column.to_pylist()
+    members = column.flatten()
+    if members.null_count:
+        return column.to_pylist()
+    names = [f.name for f in members.type]
+    made = [dict(zip(names, m)) for m in zip(*(_values(c) for c in members.flatten()))]
+    out, at = [], 0
+    for n in pc.list_value_length(column).to_pylist():
+        out.append(None if n is None else made[at : at + n])
+        at += n or 0
+    return out
+
+
+def _filled(kind: pa.DataType, values: list) -> pa.Array:
+    """``pa.array``, but structs in lists are written member column by member column."""
+    if not _is_listed(kind):
+        return pa.array(values, type=kind)
+    members = [m for v in values if v for m in v]
+    columns = [_filled(f.type, [m[f.name] for m in members]) for f in kind.value_type]
+    ends = list(accumulate((len(v) if v else 0 for v in values), initial=0))
+    missing = pa.array([v is None for v in values], pa.bool_())
+    inner = pa.StructArray.from_arrays(columns, fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, type=kind, mask=missing)
+
+
 def _slices(kind: pa.DataType, of_row, first: pa.Array, *more: pa.Array) -> Iterator[pa.Array]:
     """``of_row`` of each row of a batch, whose ``first`` column is a text or a list.
 
-    Rows are read one by one and results turned into Arrow slice by slice, so that the
-    objects a worker holds beside the batch do not grow with its rows or texts.
+    Rows are read and results turned into Arrow slice by slice, so that the objects a worker
+    holds beside the batch do not grow with its rows or texts.
     """
-    out, size = [], 0
-    for head, *rest in zip(first, *more):
-        value = head.as_py()
-        out.append(of_row(value, *(x.as_py() for x in rest)))
-        size += len(value or "")
-        if len(out) >= _SLICE_ROWS or size >= _SLICE_CHARS:
-            yield pa.array(out, type=kind)
-            out, size = [], 0
-    yield pa.array(out, type=kind)
+    for at, n in _cuts(first):
+        rows = zip(*(_values(column.slice(at, n)) for column in (first, *more)))
+        made = [of_row(*row) for row in rows]
+        if pa.types.is_struct(kind):
+            columns = [_filled(f.type, [m[f.name] for m in made]) for f in kind]
+            yield pa.StructArray.from_arrays(columns, fields=list(kind))
+        else:
+            yield _filled(kind, made)
 
 
 def _in_slices(kind: pa.DataType, of_row, first: pa.Array, *more: pa.Array) -> pa.Array:

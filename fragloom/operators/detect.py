@@ -233,9 +233,9 @@ def key_value_blocks(lns: Column, taken: Column) -> Column:
         flags = F.array_join(
             F.transform(
                 v["lines"],
-                lambda ln: F.when(ln["body"].rlike(rules.KEY_VALUE_LINE), F.lit("k")).otherwise(
-                    F.lit(".")
-                ),
+                lambda ln: F.when(
+                    contains_any(ln["body"], [":", "="]) & ln["body"].rlike(rules.KEY_VALUE_LINE), F.lit("k")
+                ).otherwise(F.lit(".")),
             ),
             "",
         )

@@ -5,7 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from fragloom.functions.columns import lines, offsets, overlaps_any, regex_spans
+from fragloom import rules
+from fragloom.functions.columns import bind, lines, offsets, overlaps_any, regex_spans
 
 
 def test_overlap_among_many_spans(spark):
@@ -42,3 +43,22 @@ def test_lines_end_where_python_says(spark):
         assert [x["body"] for x in row["l"]] == t.splitlines()
         assert "".join(x["raw"] for x in row["l"]) == t
         assert all(t[x["s"]:x["e"]] == x["body"] for x in row["l"])
+
+
+def test_bound_values_are_compiled(spark):
+    """A lambda in one value leaves the generator that binds it to the compiler."""
+    df = spark.createDataFrame([([1, 2],), (None,), ([],)], "a array<int>")
+    made = bind(df, b=F.transform("a", lambda x: x + 1), c=F.coalesce(F.size("a"), F.lit(-1)))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.split("\n") if "Generate inline" in line and "*(" in line]
+    assert made.columns == ["a", "b", "c"]
+    assert [tuple(r) for r in made.collect()] == [([1, 2], [2, 3], 2), (None, None, -1), ([], [], 0)]
+
+
+def test_groups_of_matches_are_read_from_the_match(spark):
+    texts = ["---\na: 1\n---\n---\nb: 2\n---", "x\n---  \n\n\n---", "--- no\n---", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select(regex_spans(F.col("t"), rules.YAML_BLOCK, head=1, body=2).alias("m")).collect()
+    pattern = r"(?m)((?:^|\n)---\s*\n)([\s\S]*?)\n---"
+    for t, row in zip(texts, found):
+        assert [(m["s"], m["e"], m["head"], m["body"]) for m in row["m"]] == [(*m.span(), *m.groups()) for m in re.finditer(pattern, t)]

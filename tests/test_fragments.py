@@ -220,3 +220,21 @@ def test_spans_of_long_texts_leave_a_batch_slice_by_slice():
     assert max(part.nbytes for part in made) < 4_000_000 and len(rows) == 2 * n
     assert [[x["text"] for x in row] for row in rows[:4]] == [[texts[0]], [], [], ['{"b": 1}', '{"c": 2}']]
     assert rows == rows[:4] * 16
+
+
+def test_lists_of_structs_are_read_and_written_by_member():
+    import pyarrow as pa
+
+    pair = pa.struct([("k", pa.string()), ("n", pa.int32())])
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("pairs", pa.list_(pair))]))
+    rows = [None, [], [{"i": 1, "pairs": None}, {"i": None, "pairs": []}], [{"i": 2, "pairs": [{"k": "a", "n": 1}, {"k": None, "n": None}]}]] * 3
+    column = pa.array(rows, type=kind)
+    for at, n in ((0, 12), (1, 5), (3, 9), (4, 0)):
+        assert kernels._values(column.slice(at, n)) == rows[at : at + n]
+        assert kernels._filled(kind, rows[at : at + n]).equals(pa.array(rows[at : at + n], type=kind))
+    with_null = pa.array([[None, {"k": "a", "n": 1}]], type=pa.list_(pair))
+    assert kernels._values(with_null) == [[None, {"k": "a", "n": 1}]]
+    texts = pa.array(["x" * 600_000, None, "y", "z" * 600_000, "w"])
+    assert list(kernels._cuts(texts)) == [(0, 4), (4, 1)]
+    assert [n for _, n in kernels._cuts(pa.array(["a"] * 600))] == [256, 256, 88]
+    assert list(kernels._cuts(column)) == [(0, 12)] and list(kernels._cuts(texts.slice(0, 0))) == [(0, 0)]
